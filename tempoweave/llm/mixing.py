@@ -101,10 +101,10 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER r, 0)) / CAS
       FROM w WINDOW r AS (ORDER BY most / CAST(weight AS DOUBLE), sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), max(level) OVER () * weight) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
-             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(at + size, goal) - at) + greatest(0, least(at + source_size + size, goal) - at - source_size)
-            + greatest(0, least(at + 2 * source_size + size, goal) - at - 2 * source_size) AS BIGINT) AS taken
+       CAST(greatest(0, least(pos + size, goal) - pos) + greatest(0, least(pos + source_size + size, goal) - pos - source_size)
+            + greatest(0, least(pos + 2 * source_size + size, goal) - pos - 2 * source_size) AS BIGINT) AS taken
 FROM p
 """
