@@ -1,11 +1,15 @@
-"""The registered queries of the time-series operators."""
+"""All registered queries of the time-series operators."""
 
 from __future__ import annotations
 
+from tempoweave.catalog import Query, markers, naming, quality
 
-def queries() -> dict:
-    return {}
+FAMILIES = (markers.C, naming.C, quality.C)
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for family in FAMILIES for name, query in family.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for family in FAMILIES for name, sql in family.statements.items()}
