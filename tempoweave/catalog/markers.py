@@ -314,7 +314,7 @@ def crop_eeg(spark: SparkSession, d: str) -> DataFrame:
     return crop.crop_by_index(_windows(spark, d), ["recording", "channel"]).select("recording", "channel", "new_i", F.round("x", 6).alias("x"))
 
 
-@C.query(WINDOWS_SQL + """, f AS (SELECT *, t >= s - o AND t < e - o AS inside, bool_or(t >= s - o AND t < e - o) OVER (PARTITION BY recording, channel) AS some FROM x), k AS (SELECT * FROM f WHERE inside OR NOT some)
+@C.query(WINDOWS_SQL + """, f AS (SELECT *, t >= s - o AND t < e - o AS inside, bool_or(t >= s - o AND t < e - o) OVER (PARTITION BY recording, channel) AS has_any FROM x), k AS (SELECT * FROM f WHERE inside OR NOT has_any)
 SELECT recording, channel, round(t - min(t) OVER (PARTITION BY recording, channel), 6) AS t, round(x, 6) AS x FROM k""")
 def crop_fnirs(spark: SparkSession, d: str) -> DataFrame:
     return crop.crop_half_open(_windows(spark, d), ["recording", "channel"]).select("recording", "channel", F.round("t", 6).alias("t"), F.round("x", 6).alias("x"))

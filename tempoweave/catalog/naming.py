@@ -64,8 +64,8 @@ def _inventory(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 INVENTORY_SQL = f"""WITH {FILES_SQL}, s AS (SELECT id, name, path, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM fn), da AS (SELECT id, path, name AS file_name, lower(stem) AS key, id % 97 + 0.25 AS duration FROM s WHERE id % 5 <> 0),
 ma AS (SELECT DISTINCT 'Data/marker/' || stem || CASE WHEN id % 2 = 0 THEN '_input_marker.csv' ELSE '_marker.csv' END AS path, lower(stem) AS key FROM s WHERE id % 5 IN (0, 3)),
-c AS (SELECT key, count(*) AS n, min(path) AS only FROM ma GROUP BY key),
-m AS (SELECT da.*, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN only END AS marker_path FROM da LEFT JOIN c ON c.key = da.key),
+c AS (SELECT key, count(*) AS n, min(path) AS one FROM ma GROUP BY key),
+m AS (SELECT da.*, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN one END AS marker_path FROM da LEFT JOIN c ON c.key = da.key),
 orphan AS (SELECT * FROM ma WHERE path NOT IN (SELECT marker_path FROM m WHERE marker_path IS NOT NULL))"""
 
 

@@ -127,10 +127,11 @@ def run_trimmed_mean(spark: SparkSession, d: str) -> DataFrame:
     return _round(ops.run_scores(_composite(spark, d)), 5, "run_score")
 
 
-@C.query(COMPRE_SQL + """, g AS (SELECT recording, pair_base, avg(tsnr) AS score FROM ca GROUP BY ALL HAVING count(*) = 2 AND NOT bool_or(bad_final)), p AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY score DESC, pair_base) AS place, count(*) OVER (PARTITION BY recording) AS n FROM g)
+@C.query(COMPRE_SQL.replace("CAST(x AS DOUBLE) AS x", "CAST(x AS DOUBLE) + 1 AS x") + """, g AS (SELECT recording, pair_base, avg(tsnr) AS score FROM ca GROUP BY ALL HAVING count(*) = 2 AND NOT bool_or(bad_final)), p AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY score DESC, pair_base) AS place, count(*) OVER (PARTITION BY recording) AS n FROM g)
 SELECT recording, pair_base, round(score, 6) AS score, place FROM p WHERE place <= greatest(1, floor(n * 0.05))""")
 def best_pairs_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _round(ops.best_pairs(ops.comprehensive_assessment(signals(spark, d), FS)), 6, "score")
+    level = signals(spark, d).withColumn("x", F.col("x") + 1)  # about a level, so that some pairs pass the gates
+    return _round(ops.best_pairs(ops.comprehensive_assessment(level, FS)), 6, "score")
 
 
 # ---------------------------------------------------------------- spectra
@@ -199,7 +200,7 @@ j AS (SELECT w.recording, w.event, s.pair_base, s.ch_type, avg(CASE WHEN sample_
   covar_samp(CASE WHEN sample_idx < o THEN (sample_idx - b0) / 4.0::DOUBLE END, CASE WHEN sample_idx < o THEN x END) / var_pop(CASE WHEN sample_idx < o THEN (sample_idx - b0) / 4.0::DOUBLE END) AS sl
   FROM w JOIN sig s ON s.recording = w.recording AND sample_idx >= b0 AND sample_idx < r1 WHERE NOT small GROUP BY ALL),
 c AS (SELECT recording, event, pair_base, max(CASE WHEN ch_type = 'hbo' THEN abs(mb - mr) / sqrt(vb + vr + 1e-8) END) AS co, max(CASE WHEN ch_type = 'hbr' THEN abs(mb - mr) / sqrt(vb + vr + 1e-8) END) AS cr, max(abs(sl)) AS sl FROM j GROUP BY ALL)
-SELECT p.recording, w.event, p.pair_base, round(co, 5) AS cnr_hbo, round(cr, 5) AS cnr_hbr, NOT small AND NOT coalesce(co < 0.5 AND cr < 0.5, false) AND NOT coalesce(sl > 0.1, false) AND NOT (w.event = 3 AND p.recording % 2 = 0) AS good
+SELECT p.recording, w.event, p.pair_base, round(co, 5) AS cnr_hbo, round(cr, 5) AS cnr_hbr, NOT small AND NOT coalesce(co < 0.5 AND cr < 0.5, false) AND NOT coalesce(sl > 0.1, false) AND NOT (w.event > 1 AND p.recording % 2 = 0) AS good
 FROM (SELECT DISTINCT recording, pair_base FROM sig) p JOIN w ON w.recording = p.recording LEFT JOIN c ON c.recording = w.recording AND c.event = w.event AND c.pair_base = p.pair_base""")
 def task_cnr(spark: SparkSession, d: str) -> DataFrame:
     return _round(_task(spark, d), 5, "cnr_hbo", "cnr_hbr")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,38 +25,51 @@ def drift_endpoints(reference: DataFrame, device: DataFrame, keys: list[str], *,
     return out.select(*keys, "offset", "scale", fit.alias("r_squared"), F.when(enough, 2).otherwise(0).cast("long").alias("n_matches"))
 
 
-def _theil_sen(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Slope (median over pairs of events) and intercept (median of what remains)."""
-    a, b = pairs.select(*keys, F.col("i").alias("i1"), F.col("ref").alias("r1"), F.col("dev").alias("d1")), pairs.select(*keys, F.col("i").alias("i2"), F.col("ref").alias("r2"), F.col("dev").alias("d2"))
-    slopes = a.join(b, keys).filter("i1 < i2 AND abs(d2 - d1) > 1e-10").groupBy(*keys).agg(F.expr("percentile((r2 - r1) / (d2 - d1), 0.5)").alias("scale"))
-    lines = pairs.join(slopes, keys, "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
-    return lines.groupBy(*keys).agg(F.first("scale").alias("scale"), F.expr("percentile(ref - scale * dev, 0.5)").alias("offset"))
+def _median_line(ref: np.ndarray, dev: np.ndarray) -> tuple[float, float]:
+    """Scale (median of the slopes of all pairs of events) and offset (median of what remains)."""
+    if len(ref) < 2:
+        return 1.0, 0.0
+    i, j = np.triu_indices(len(ref), 1)
+    step = dev[j] - dev[i]
+    use = np.abs(step) > 1e-10
+    scale = float(np.median((ref[j] - ref[i])[use] / step[use])) if use.any() else 1.0
+    return scale, float(np.median(ref - scale * dev))
 
 
-def drift_theil_sen(pairs: DataFrame, keys: list[str], *, rounds: int = 3, min_pairs: int = 5) -> DataFrame:
-    """Per key: offset, scale, r_squared, n_matches of the robust line through matched events (i, ref, dev).
+def robust_line(ref: np.ndarray, dev: np.ndarray, *, rounds: int = 3, min_pairs: int = 5) -> tuple[float, float, float]:
+    """offset, scale and r_squared of ref = scale * dev + offset through matched events.
 
     After each round events whose residual is over twice the median are left out
     of the next, if the median is positive and `min_pairs` stay; the choice is
-    always made among all pairs.  Keys with fewer pairs are not estimated here
-    (the end point method is theirs).
+    always made among all events.
     """
-    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matches")).filter(F.col("n_matches") >= min_pairs)
-    pairs = pairs.join(sizes, keys)
-    line = _theil_sen(pairs, keys)
+    scale, offset = _median_line(ref, dev)
     for _ in range(rounds - 1):
-        off = pairs.join(line, keys).withColumn("off", F.abs(F.col("ref") - (F.col("scale") * F.col("dev") + F.col("offset"))))
-        middle = off.groupBy(*keys).agg(F.expr("percentile(off, 0.5)").alias("middle"))
-        inner = off.join(middle, keys).withColumn("near", F.col("off") <= 2 * F.col("middle"))
-        good = inner.groupBy(*keys).agg(F.sum(F.col("near").cast("int")).alias("n_near"))
-        inner = inner.join(good, keys)
-        chosen = inner.filter((F.col("middle") > 0) & (F.col("n_near") >= min_pairs) & F.col("near")).select(*keys, "i", "ref", "dev")
-        again = _theil_sen(chosen, keys).select(*keys, F.col("scale").alias("s"), F.col("offset").alias("o"))
-        line = line.join(again, keys, "left").select(*keys, F.coalesce("s", "scale").alias("scale"), F.coalesce("o", "offset").alias("offset"))
-    rest = F.col("ref") - (F.col("scale") * F.col("dev") + F.col("offset"))
-    fit = pairs.join(line, keys).groupBy(*keys).agg(F.first("offset").alias("offset"), F.first("scale").alias("scale"), F.var_pop(rest).alias("left"), F.var_pop("ref").alias("all"), F.first("n_matches").alias("n_matches"))
-    r2 = F.when(F.col("all") > 0, F.greatest(F.lit(0.0), 1 - F.col("left") / F.col("all"))).otherwise(0.0)
-    return fit.select(*keys, "offset", "scale", r2.alias("r_squared"), "n_matches")
+        off = np.abs(ref - (scale * dev + offset))
+        middle = np.median(off)
+        near = off <= 2 * middle
+        if middle > 0 and near.sum() >= min_pairs:
+            scale, offset = _median_line(ref[near], dev[near])
+    spread = np.var(ref)
+    return offset, scale, float(max(0.0, 1 - np.var(ref - (scale * dev + offset)) / spread)) if spread > 0 else 0.0
+
+
+def drift_theil_sen(pairs: DataFrame, keys: list[str], *, rounds: int = 3, min_pairs: int = 5) -> DataFrame:
+    """Per key: offset, scale, r_squared, n_matches of the robust line through matched events (ref, dev).
+
+    Keys with fewer pairs than `min_pairs` have no row (the end point method is theirs).
+    """
+    arrays = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dev", "ref"))).alias("p")).filter(F.size("p") >= min_pairs)
+    arrays = arrays.select(*keys, F.transform("p", lambda x: x["ref"]).alias("ref"), F.transform("p", lambda x: x["dev"]).alias("dev"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(np.array(r.as_py(), float), np.array(d.as_py(), float)) for r, d in zip(batch.column("ref"), batch.column("dev"), strict=True)]
+            lines = np.array([robust_line(r, d, rounds=rounds, min_pairs=min_pairs) for r, d in both], float).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *(pa.array(x) for x in lines), pa.array([len(r) for r, _ in both], pa.int64())], names=[*keys, "offset", "scale", "r_squared", "n_matches"])
+
+    kinds = dict(arrays.dtypes)
+    return arrays.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", offset double, scale double, r_squared double, n_matches long")
 
 
 def corrected(t: Column, offset: Column, scale: Column, *, convention: str = "reference") -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tempoweave.operators.drift import robust_line
 from tempoweave.plans.range_join import band_join
 
 Match = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -159,16 +160,6 @@ def match_in_order(left: DataFrame, right: DataFrame, keys: list[str], *, t: str
 # ---------------------------------------------------------------- drift of arrays, for the fold
 
 
-def _median_slope(r: np.ndarray, d: np.ndarray) -> tuple[float, float]:
-    if len(r) < 2:
-        return 1.0, 0.0
-    i, j = np.triu_indices(len(r), 1)
-    step = d[j] - d[i]
-    use = np.abs(step) > 1e-10
-    scale = float(np.median((r[j] - r[i])[use] / step[use])) if use.any() else 1.0
-    return scale, float(np.median(r - scale * d))
-
-
 def estimate_drift(ref: np.ndarray, dev: np.ndarray, method: str = "theil_sen", min_pairs: int = 5, rounds: int = 3) -> tuple[float, float, float, int, str]:
     """offset, scale, r_squared, n_matches, method of ref = scale * dev + offset."""
     ref, dev = np.sort(ref), np.sort(dev)
@@ -176,16 +167,8 @@ def estimate_drift(ref: np.ndarray, dev: np.ndarray, method: str = "theil_sen",
         i, j = assign_all(ref, dev)
         r, d = ref[i], dev[j]
         if len(r) >= min_pairs:
-            scale, offset = _median_slope(r, d)
-            for _ in range(rounds - 1):
-                off = np.abs(r - (scale * d + offset))
-                middle = np.median(off)
-                near = off <= 2 * middle
-                if middle > 0 and near.sum() >= min_pairs:
-                    scale, offset = _median_slope(r[near], d[near])
-            spread = np.var(r)
-            fit = max(0.0, 1 - np.var(r - (scale * d + offset)) / spread) if spread > 0 else 0.0
-            return offset, scale, float(fit), len(r), "theil_sen"
+            offset, scale, fit = robust_line(r, d, rounds=rounds, min_pairs=min_pairs)
+            return offset, scale, fit, len(r), "theil_sen"
     elif method not in ("endpoints", "linear"):
         raise ValueError(f"unknown drift method {method}")
     if len(ref) < 2 or len(dev) < 2:

@@ -30,6 +30,11 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Correlation of two columns that are null together; null without spread."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def time_metrics(signals: DataFrame, fs: float, *, keys: list[str] = KEYS) -> DataFrame:
     """Per channel: n, nan_ratio, near_flatline, range, cv, tsnr, rdi, drift, mad; null below 10 finite samples."""
     order, every = W.partitionBy(*keys).orderBy("sample_idx"), W.partitionBy(*keys)
@@ -66,7 +71,7 @@ def pair_metrics(signals: DataFrame) -> DataFrame:
     rows = signals.filter(F.col("ch_type").isin("hbo", "hbr") & _finite("x")).groupBy(*keys, "sample_idx").agg(F.max(F.when(F.col("ch_type") == "hbo", F.col("x"))).alias("a"), F.max(F.when(F.col("ch_type") == "hbr", F.col("x"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     order = W.partitionBy(*keys).orderBy("sample_idx")
     rows = rows.withColumn("da", F.col("a") - F.lag("a").over(order)).withColumn("db", F.col("b") - F.lag("b").over(order))
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.corr("a", "b").alias("r"), F.corr("da", "db").alias("dr"), F.stddev_pop("da").alias("sda"), F.stddev_pop("db").alias("sdb"))
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), correlation("a", "b").alias("r"), correlation("da", "db").alias("dr"), F.stddev_pop("da").alias("sda"), F.stddev_pop("db").alias("sdb"))
     enough = F.col("n") >= 10
     return stats.select(
         *keys, "n",
@@ -94,7 +99,7 @@ def basic_assessment(signals: DataFrame) -> DataFrame:
         F.expr("percentile(abs(dx - md), 0.5)").alias("deriv_mad"), F.stddev_pop("dx").alias("deriv_std"),
     )
     both = signals.filter(_finite("x")).groupBy("recording", "pair_base", "sample_idx").agg(F.max(F.when(F.col("ch_type") == "hbo", F.col("x"))).alias("a"), F.max(F.when(F.col("ch_type") == "hbr", F.col("x"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    corr = both.groupBy("recording", "pair_base").agg(F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0), F.corr("a", "b")).alias("hbo_hbr_corr"))
+    corr = both.groupBy("recording", "pair_base").agg(F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0), correlation("a", "b")).alias("hbo_hbr_corr"))
     run = W.partitionBy("recording")
     out = stats.join(corr, ["recording", "pair_base"], "left").withColumn("middle", F.expr("percentile(deriv_mad, 0.5)").over(run)).withColumn("spread", F.expr("percentile(abs(deriv_mad - middle), 0.5)").over(run))
     z = F.when(F.col("spread") > 0, 0.6745 * (F.col("deriv_mad") - F.col("middle")) / F.nullif(F.col("spread"), F.lit(0.0)))

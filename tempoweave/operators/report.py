@@ -17,7 +17,7 @@ def histogram(rows: DataFrame, keys: list[str], value: str, bins: int = 30) -> D
 
 def regression(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Per key slope, intercept and correlation of y over x."""
-    return pairs.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), (F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def heat_map(channels: DataFrame, flags: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def whole_texts(spark: SparkSession, paths: str | list[str], encoding: str | Non
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
         text = F.decode("content", encoding)
         return files.select("path", F.regexp_replace(text, "^﻿", "").alias("text"))
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(paths)
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
