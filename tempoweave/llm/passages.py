@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempoweave.llm._store import written
-from tempoweave.llm._text import BYTE_CODES, Ranges, chunks, column_bytes, longs, mix, word_codes, words
+from tempoweave.llm._text import BYTE_CODES, Ranges, chunks, column_bytes, longs, mix, slices, word_codes, words
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 20
@@ -110,7 +110,7 @@ _FIRST = "gram long, context long, doc_id long, lo long, rest int"
 
 def _scan(setup: Setup):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(batch.column("doc_id").is_valid())
             data, offsets = column_bytes(batch.column("text"))
             ids = longs(batch, "doc_id")
@@ -209,32 +209,34 @@ def _contexts(setup: Setup):
     """Of each open anchor the text under its left and its right windows, under a key of the half that these share."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(0, batch.num_rows, 200):
-                part = batch.slice(row, 200)
-                texts = unpacked(part.column("packed"))
-                buffer = b"".join(texts)
-                offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
-                codes, firsts, starts, ends = symbols(np.frombuffer(buffer, np.uint8), offsets, setup.by_words)
-                (lo, rest), at = lists(part.column("open"))
-                doc = np.repeat(np.arange(len(texts)), np.diff(at))
-                lo = lo + firsts[doc]
-                hi, anchor = lo + (rest & 255), lo + (rest >> 8 & 255)
-                fits = hi + setup.length <= firsts[doc + 1]  # else a row with another text under the same id
-                doc, lo, hi, anchor = doc[fits], lo[fits], hi[fits], anchor[fits]
-                ranges = Ranges(codes)
-                more = setup.length - setup.gram - setup.half + 1
-                left, right = lo <= anchor - setup.half, hi > anchor - setup.half
-                a = np.r_[lo[left], np.maximum(lo, anchor - setup.half + 1)[right]]
-                b = np.r_[np.minimum(hi, anchor - setup.half)[left], hi[right]]
-                key = np.r_[
-                    mix(ranges.of(anchor[left] - setup.half, anchor[left] + setup.gram) + np.uint64(1)),
-                    mix(ranges.of(anchor[right], anchor[right] + setup.gram + more) + np.uint64(2)),
-                ]
-                d = np.r_[doc[left], doc[right]]
-                texts = [buffer[s:e] for s, e in zip(starts[a].tolist(), ends[b + setup.length - 1].tolist(), strict=True)]
-                ids = longs(part, "doc_id")[d]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(a - firsts[d]), pa.array((b - a + 1).astype(np.int32)), pa.array(texts, pa.binary())], names=["key", "doc_id", "lo", "windows", "text"])
+        for part in slices(batches, 200):
+            texts = unpacked(part.column("packed"))
+            for i, j in chunks(np.r_[0, np.cumsum([len(t) for t in texts])]):
+                yield read(part.slice(i, j - i), texts[i:j])
+
+    def read(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        buffer = b"".join(texts)
+        offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+        codes, firsts, starts, ends = symbols(np.frombuffer(buffer, np.uint8), offsets, setup.by_words)
+        (lo, rest), at = lists(part.column("open"))
+        doc = np.repeat(np.arange(len(texts)), np.diff(at))
+        lo = lo + firsts[doc]
+        hi, anchor = lo + (rest & 255), lo + (rest >> 8 & 255)
+        fits = hi + setup.length <= firsts[doc + 1]  # else a row with another text under the same id
+        doc, lo, hi, anchor = doc[fits], lo[fits], hi[fits], anchor[fits]
+        ranges = Ranges(codes)
+        more = setup.length - setup.gram - setup.half + 1
+        left, right = lo <= anchor - setup.half, hi > anchor - setup.half
+        a = np.r_[lo[left], np.maximum(lo, anchor - setup.half + 1)[right]]
+        b = np.r_[np.minimum(hi, anchor - setup.half)[left], hi[right]]
+        key = np.r_[
+            mix(ranges.of(anchor[left] - setup.half, anchor[left] + setup.gram) + np.uint64(1)),
+            mix(ranges.of(anchor[right], anchor[right] + setup.gram + more) + np.uint64(2)),
+        ]
+        d = np.r_[doc[left], doc[right]]
+        under = [buffer[s:e] for s, e in zip(starts[a].tolist(), ends[b + setup.length - 1].tolist(), strict=True)]
+        ids = longs(part, "doc_id")[d]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(a - firsts[d]), pa.array((b - a + 1).astype(np.int32)), pa.array(under, pa.binary())], names=["key", "doc_id", "lo", "windows", "text"])
 
     return contexts
 
