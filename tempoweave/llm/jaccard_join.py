@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempoweave.llm._store import written
-from tempoweave.llm._text import FOLD, Ranges, chunks, column_bytes, longs, mix, word_codes, words
+from tempoweave.llm._text import FOLD, Ranges, chunks, column_bytes, longs, mix, slices, word_codes, words
 from tempoweave.llm.components import connected
 from tempoweave.llm.passages import packed_texts, unpacked, whole_groups
 
@@ -172,7 +172,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, bands: d
 
 def _chunks(batches: Iterator[pa.RecordBatch]):
     """Ids, document numbers, shingles, sizes and two fingerprints of each set."""
-    for batch in batches:
+    for batch in slices(batches):
         batch = batch.filter(batch.column("doc_id").is_valid())
         data, offsets = column_bytes(batch.column("text"))
         ids = longs(batch, "doc_id")
@@ -258,42 +258,64 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low, full = SIMILAR
-
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        texts = unpacked(column)
-        doc, shingle = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
-        return np.split(shingle, np.searchsorted(doc, np.arange(1, len(texts))))
-
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
+            # each document of these pairs is read once
+            ids, first, each = np.unique(np.r_[longs(part, "a"), longs(part, "b")], return_index=True, return_inverse=True)
+            n = part.num_rows
+            texts = [unpacked(part.column("left" if k < n else "right").slice(k % n, 1))[0] for k in first.tolist()]
+            sets = []
+            for i, j in chunks(np.r_[0, np.cumsum([len(t) for t in texts])]):
+                doc, shingle = shingle_sets(np.frombuffer(b"".join(texts[i:j]), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts[i:j]])])
+                sets += np.split(shingle, np.searchsorted(doc, np.arange(1, j - i)))
             linked = []
-            for x, y in zip(sets(part.column("left")), sets(part.column("right")), strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(full * common >= low * (len(x) + len(y) - common) and common > 0)
+            for x, y in zip(each[:n].tolist(), each[n:].tolist(), strict=True):
+                x, y = sorted((sets[x], sets[y]), key=len)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                linked.append(common > 0 and full * common >= low * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
+def _possible(i: np.ndarray, j: np.ndarray, size: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Whether sizes and histograms allow the similarity of rows i and j."""
+    low, full = SIMILAR
+    out = np.minimum(size[i], size[j]) * full >= np.maximum(size[i], size[j]) * low
+    for at in range(0, len(i), 4096):
+        part = np.arange(at, min(len(i), at + 4096))
+        part = part[out[part]]
+        a, b = bins[i[part]], bins[j[part]]
+        common = np.minimum(a, b).sum(1, dtype=np.int64)
+        common = np.where((a == 65535).any(1) & (b == 65535).any(1), np.minimum(size[i[part]], size[j[part]]), common)
+        out[part] = full * common >= low * (size[i[part]] + size[j[part]] - common)
+    return out
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a group's documents of different components whose histograms allow the similarity."""
-    low, full = SIMILAR
     for batch in whole_groups(batches, "group"):
-        key, doc, component = (longs(batch, n) for n in ("group", "doc_id", "component"))
+        key, doc, component, size = (longs(batch, n) for n in ("group", "doc_id", "component", "n"))
         bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)
-        size = longs(batch, "n")
-        bounds = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            for k in range(s, e - 1):
-                rest = np.arange(k + 1, e)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[start, len(key)])
+        left, right = [], []
+        for g in np.unique(sizes[sizes <= 32]).tolist():
+            at = start[sizes == g]
+            i, j = np.triu_indices(g, 1)
+            left.append((at[:, None] + i).ravel())
+            right.append((at[:, None] + j).ravel())
+        for s, g in zip(start[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+            for k in range(s, s + g - 1):
+                rest = np.arange(k + 1, s + g)
                 rest = rest[component[rest] != component[k]]
-                rest = rest[np.minimum(size[rest], size[k]) * full >= np.maximum(size[rest], size[k]) * low]
-                if len(rest):
-                    common = np.minimum(bins[rest], bins[k]).sum(1, dtype=np.int64)
-                    common = np.where((bins[rest] == 65535).any(1) & (bins[k] == 65535).any(), np.minimum(size[rest], size[k]), common)
-                    rest = rest[full * common >= low * (size[rest] + size[k] - common)]
-                    if len(rest):
-                        pair = np.sort(np.stack([np.full(len(rest), doc[k]), doc[rest]], 1), 1)
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                rest = rest[_possible(np.full(len(rest), k), rest, size, bins)]
+                left.append(np.full(len(rest), k))
+                right.append(rest)
+        i, j = np.concatenate(left), np.concatenate(right)
+        apart = component[i] != component[j]
+        pairs, first = np.unique(np.sort(np.stack([doc[i[apart]], doc[j[apart]]], 1), 1), axis=0, return_index=True)
+        fine = _possible(i[apart][first], j[apart][first], size, bins)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[fine, 0]), pa.array(pairs[fine, 1])], names=["a", "b"])
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +351,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     placed = reps.join(merged.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
     members = found.filter("group IS NOT NULL").select("group", F.col("a").alias("doc_id")).join(placed, "doc_id").select("group", "rep", "component").distinct()
-    several = members.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("group")
+    several = members.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print")).filter("x <> y")
+    several = several.groupBy("size", "print").agg(F.min("group").alias("group")).select("group")  # of groups of the same documents one
     split = written(members.join(several, "group"), "jaccard-split")
     if split.limit(1).count():
         full = split.join(sets.select(F.col("doc_id").alias("rep"), "n", "bins").dropDuplicates(["rep"]), "rep").select("group", F.col("rep").alias("doc_id"), "component", "n", "bins")
