@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempoweave.llm._store import least_hashed
 from tempoweave.llm._text import arrow_batch, chunks, column_bytes
 
 WINDOW = 256
@@ -144,7 +145,8 @@ def train_language_model(docs: DataFrame, *, sample: int = 3000) -> ByteNetwork
     """Fits on rows of doc_id, text, lang; of each sampled text one window, at a place that its id decides."""
     place = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int")
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("piece"), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "piece").limit(sample).collect()
+    n = docs.filter("lang IS NOT NULL").select("doc_id").count()
+    rows = sorted(least_hashed(rows, "doc_id", sample, n).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["piece"]))
     rows = [r for r in rows if any(c.isalpha() for c in r["piece"])]
     if not rows:
         return None
