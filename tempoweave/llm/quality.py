@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempoweave.llm._store import least_hashed
+
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -53,7 +55,7 @@ def _once(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
 def gram_weights(docs: DataFrame, labels: DataFrame, *, buckets: int = 8192, trusted: int = 20_000, smoothing: float = 1.0) -> list[float]:
     """The log-likelihood ratio of each bucket, from counts over every document and over the trusted ones."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
+    good = least_hashed(good, "doc_id", trusted, labels.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     flagged = texts.join(F.broadcast(good.withColumn("target", F.lit(1))), "doc_id", "left").select("text", "target")
     read = _once(flagged, ["target"], codes=_codes(_words(F.col("text"))))
