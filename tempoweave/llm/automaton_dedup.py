@@ -11,7 +11,9 @@ stretch, so it holds every place where a window with it can occur, and is
 streamed in order of documents: each context runs through the automaton of the
 earlier documents' contexts, and its matching statistics (the longest suffix
 that the automaton holds, word by word) mark the windows at or above `length`;
-then it is added, unless the automaton has it already.
+then it is added, unless the automaton has it already.  A gram of more than
+`most` open contexts has no automaton: its windows are compared by two
+fingerprints each, dealt over all tasks (passages.py).
 
 Sending the automata of the whole corpus to every task would make the work grow
 with the square of the corpus, so shards travel to their key instead.
@@ -126,10 +128,10 @@ def _settle(length: int):
     return settle
 
 
-def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16) -> DataFrame:
+def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, most: int = 1 << 13) -> DataFrame:
     """Per document: doc_id, packed (its compressed text), runs (see passages.repeated_windows)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return repeated_windows(texts, Setup(length, gram, True), _settle(length), "word-passages")
+    return repeated_windows(texts, Setup(length, gram, True, most), _settle(length), "word-passages")
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

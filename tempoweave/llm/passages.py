@@ -12,8 +12,10 @@ equals.  Equal windows have equal anchors at equal distances, so
 
 Only anchors with a common gram but different contexts - the ends of copied
 passages - stay open, and their windows are compared one by one, in groups that
-share half of the context as well.  Ranks are 64-bit fingerprints: two windows
-are taken as equal if two independent ones of them agree.
+share half of the context as well.  Where more than `most` of them have one
+gram, not their texts but two fingerprints of each window travel, so no task
+has to hold a frequent passage's contexts.  Ranks are 64-bit fingerprints: two
+windows are taken as equal if two independent ones of them agree.
 
 Rows of a batch that repeat within the batch are settled there and are spread
 over all tasks, so a passage in a third of all documents does not gather in one.
@@ -35,6 +37,9 @@ from tempoweave.llm._text import BYTE_CODES, Ranges, chunks, column_bytes, longs
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 20
+#: Windows of frequent grams that a task settles among themselves before it sends them on.
+_HELD = 1 << 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -42,6 +47,7 @@ class Setup:
     length: int
     gram: int
     by_words: bool
+    most: int
 
     @property
     def reach(self) -> int:
@@ -123,7 +129,7 @@ def _scan(setup: Setup):
                 lo, hi, anchor = lo - firsts[doc], hi - firsts[doc], anchor - firsts[doc]
                 doc = ids[i:j][doc]
                 settled = _settled(gram, context, doc, lo, setup.by_words)
-                spread = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64))
+                spread = mix(doc.astype(np.uint64) * _SPREAD + lo.astype(np.uint64))
                 gram, context = np.where(settled, spread, gram), np.where(settled, np.uint64(0), context)
                 rest = ((hi - lo) | (anchor - lo) << 8 | settled.astype(np.int64) << 16).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), doc, lo, rest)], names=["gram", "context", "doc_id", "lo", "rest"])
@@ -150,7 +156,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Rec
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    """One batch of all rows; 64-bit offsets, as combine_chunks parts a binary column at 2 GiB."""
+    if len(batches) == 1:
+        return batches[0]
+    table = pa.Table.from_batches(batches)
+    wide = pa.schema([f.with_type(pa.large_binary()) if pa.types.is_binary(f.type) else f for f in table.schema])
+    (whole,) = table.cast(wide).combine_chunks().to_batches()
+    return whole
 
 
 def _compare(setup: Setup):
@@ -174,7 +186,8 @@ def _compare(setup: Setup):
                     late = ~kind
                     open_ = kind & (np.bincount(group, kind)[group] > 1)
                 out.append((doc[late], lo[late], rest[late] & 0xFFFF))
-                out.append((doc[open_], lo[open_], rest[open_] & 0xFFFF | 1 << 16))
+                many = np.bincount(group[open_], minlength=group[-1] + 1)[group[open_]] > setup.most
+                out.append((doc[open_], lo[open_], rest[open_] & 0xFFFF | 1 << 16 | many.astype(np.int64) << 17))
             doc, lo, rest = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(rest.astype(np.int32))], names=["doc_id", "lo", "rest"])
 
@@ -205,16 +218,65 @@ def lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return [f.to_numpy(zero_copy_only=False) for f in flat.flatten()], np.r_[0, np.cumsum(sizes)]
 
 
+_OPEN = "key long, mate long, doc_id long, lo long, windows int, text binary"
+
+
+def _repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, by_words: bool) -> np.ndarray:
+    """Windows, in order of two fingerprints, document and place, that repeat an earlier one."""
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if by_words else ~new
+
+
+def _sent(held: list[tuple[np.ndarray, ...]], by_words: bool) -> pa.RecordBatch:
+    """Single windows under their rank, with the half's key as mate; runs that repeat one of these go anywhere, with a negative number of windows."""
+    rank, key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((place, doc, key, rank))
+    rank, key, doc, place = rank[order], key[order], doc[order], place[order]
+    late = _repeats(rank, key, doc, by_words)
+    d, at = doc[late], place[late]
+    order = np.lexsort((at, d))
+    d, at = d[order], at[order]
+    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)][: len(d)])
+    d, at, count = d[new], at[new], np.diff(np.r_[new, len(d)])
+    anywhere = mix(d.astype(np.uint64) * _SPREAD + at.astype(np.uint64))
+    columns = [np.r_[rank[~late], anywhere].view(np.int64), np.r_[key[~late].view(np.int64), np.zeros(len(d), np.int64)], np.r_[doc[~late], d], np.r_[place[~late], at], np.r_[np.zeros(np.sum(~late), np.int32), -count.astype(np.int32)]]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.binary())], names=["key", "mate", "doc_id", "lo", "windows", "text"])
+
+
+def _settled_windows(setup: Setup, settle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Settles what _sent sends, and leaves the texts of other contexts to `settle`."""
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "key"):
+            has_text = batch.column("text").is_valid()
+            if has_text.false_count:
+                key, mate, doc, lo, count = (longs(batch.filter(pa.compute.invert(has_text)), n) for n in ("key", "mate", "doc_id", "lo", "windows"))
+                done, single = count < 0, np.flatnonzero(count == 0)
+                late = single[_repeats(key[single], mate[single], doc[single], setup.by_words)] if len(single) else single
+                rest = np.r_[-1 - count[done], np.zeros(len(late), np.int64)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[doc[done], doc[late]]), pa.array(np.r_[lo[done], lo[late]]), pa.array(rest)], names=["doc_id", "lo", "rest"])
+            if has_text.true_count:
+                yield from settle(iter([batch.filter(has_text)]))
+
+    return settled
+
+
 def _contexts(setup: Setup):
     """Of each open anchor the text under its left and its right windows, under a key of the half that these share."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for part in slices(batches, 200):
             texts = unpacked(part.column("packed"))
             for i, j in chunks(np.r_[0, np.cumsum([len(t) for t in texts])]):
-                yield read(part.slice(i, j - i), texts[i:j])
-
-    def read(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+                yield read(part.slice(i, j - i), texts[i:j], held)
+                if sum(len(x[0]) for x in held) >= _HELD:
+                    yield _sent(held, setup.by_words)
+                    held.clear()
+        if held:
+            yield _sent(held, setup.by_words)
+
+    def read(part: pa.RecordBatch, texts: list[bytes], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         buffer = b"".join(texts)
         offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
         codes, firsts, starts, ends = symbols(np.frombuffer(buffer, np.uint8), offsets, setup.by_words)
@@ -223,7 +285,7 @@ def _contexts(setup: Setup):
         lo = lo + firsts[doc]
         hi, anchor = lo + (rest & 255), lo + (rest >> 8 & 255)
         fits = hi + setup.length <= firsts[doc + 1]  # else a row with another text under the same id
-        doc, lo, hi, anchor = doc[fits], lo[fits], hi[fits], anchor[fits]
+        doc, lo, hi, anchor, many = doc[fits], lo[fits], hi[fits], anchor[fits], (rest >> 17 & 1 == 1)[fits]
         ranges = Ranges(codes)
         more = setup.length - setup.gram - setup.half + 1
         left, right = lo <= anchor - setup.half, hi > anchor - setup.half
@@ -234,9 +296,16 @@ def _contexts(setup: Setup):
             mix(ranges.of(anchor[right], anchor[right] + setup.gram + more) + np.uint64(2)),
         ]
         d = np.r_[doc[left], doc[right]]
-        under = [buffer[s:e] for s, e in zip(starts[a].tolist(), ends[b + setup.length - 1].tolist(), strict=True)]
         ids = longs(part, "doc_id")[d]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(a - firsts[d]), pa.array((b - a + 1).astype(np.int32)), pa.array(under, pa.binary())], names=["key", "doc_id", "lo", "windows", "text"])
+        many = np.r_[many[left], many[right]]
+        if many.any():
+            count = (b - a + 1)[many]
+            row = np.repeat(np.flatnonzero(many), count)
+            start = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            held.append((mix(ranges.of(start, start + setup.length)), key[row], ids[row], start - firsts[d[row]]))
+            key, ids, d, a, b = (x[~many] for x in (key, ids, d, a, b))
+        under = [buffer[s:e] for s, e in zip(starts[a].tolist(), ends[b + setup.length - 1].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), np.int64)), pa.array(ids), pa.array(a - firsts[d]), pa.array((b - a + 1).astype(np.int32)), pa.array(under, pa.binary())], names=["key", "mate", "doc_id", "lo", "windows", "text"])
 
     return contexts
 
@@ -250,8 +319,8 @@ def repeated_windows(docs: DataFrame, setup: Setup, settle: Callable[[Iterator[p
     found = written(first.mapInArrow(_compare(setup), "doc_id long, lo long, rest int"), name)
     opened = found.filter("rest >= 65536").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "rest")).alias("open"))
     texts = packed_texts(docs)
-    contexts = texts.join(opened.hint("shuffle_hash"), "doc_id").mapInArrow(_contexts(setup), "key long, doc_id long, lo long, windows int, text binary")
-    settled = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(settle, "doc_id long, lo long, rest int")
+    contexts = texts.join(opened.hint("shuffle_hash"), "doc_id").mapInArrow(_contexts(setup), _OPEN)
+    settled = contexts.repartition("key").sortWithinPartitions("key", "mate", "doc_id", "lo").mapInArrow(_settled_windows(setup, settle), "doc_id long, lo long, rest int")
     runs = found.filter("rest < 65536").select("doc_id", "lo", F.col("rest").bitwiseAND(255).alias("rest")).unionByName(settled)
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "rest")).alias("runs"))
     return texts.join(runs.hint("shuffle_hash"), "doc_id", "left")

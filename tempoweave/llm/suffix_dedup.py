@@ -61,10 +61,10 @@ def _settle(length: int):
     return settle
 
 
-def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32) -> DataFrame:
+def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, most: int = 1 << 16) -> DataFrame:
     """Per document: doc_id, packed (its compressed text), runs (see passages.repeated_windows)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return repeated_windows(texts, Setup(length, gram, False), _settle(length), "byte-passages")
+    return repeated_windows(texts, Setup(length, gram, False, most), _settle(length), "byte-passages")
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

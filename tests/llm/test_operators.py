@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tempoweave.llm import decontaminate, jaccard_join, language, mixing, pii, quality, secrets, url_filter
+from tempoweave.llm import decontaminate, jaccard_join, language, mixing, passages, pii, quality, secrets, url_filter
 from tempoweave.llm.automaton_dedup import SuffixAutomaton, remove_repeated_words
 from tempoweave.llm.components import connected
 from tempoweave.llm.suffix_dedup import remove_repeated_bytes
@@ -33,6 +34,18 @@ def test_repeated_words(docs, texts, empty):
     assert remove_repeated_words(empty).count() == 0
 
 
+def test_joined_keeps_all_rows_past_2_gib():
+    wide = pa.array([bytes(100 << 20)], pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array([7]), wide], names=["key", "text"]) for _ in range(22)]
+    assert [b.num_rows for b in passages.whole_groups(iter(batches), "key")] == [22]
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_windows_of_frequent_grams(docs, texts, most):
+    assert got(remove_repeated_bytes(docs, most=most), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(texts)
+    assert got(remove_repeated_words(docs, most=most), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(texts)
+
+
 def test_suffix_automaton():
     rng = random.Random(2)
     for _ in range(200):
