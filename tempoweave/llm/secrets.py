@@ -1,7 +1,11 @@
 """Secret scans: three fixed patterns, and assignment-aware lexing.
 
 The lexer reads source and configuration syntax (`name = "literal"`,
-`"name": 'literal'`, `name := A + "b"`, `NAME=value`) into name-literal pairs.
+`"name": 'literal'`, `name := A + "b"`, `NAME=value`, and `name = value` or
+`name: value` with an unquoted value up to the line's end, a comment or the next
+pair) into name-literal pairs.  Unquoted calls, subscripts, paths of names
+without a digit (`config.apiToken`) and what holds quoted strings are taken as
+expressions; unquoted values of several words or lines are not read.
 Names bound to literals are constants of the text; a later expression that
 names them gets their values (`A = "x1"; api_secret = A + "y2"`).  A pair is
 scored by how sensitive its target's name is and how much its value looks like
@@ -40,7 +44,10 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 PLACEHOLDERS = ("changeme", "example", "placeholder", "your", "xxxx", "none", "null", "true", "false", "todo", "redacted", "****")
 
 _LEX = re.compile(r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][\w$.-]*)|(?P<op>:=|=>|==|!=|<=|>=|=|:|\+)|(?P<end>[\n;,{}()\[\]])|(?P<other>\S)""", re.ASCII)
-_HINT = re.compile(r"""(?:pass|pwd|secret|token|key|auth|credential)[\w$.-]*["']?\s{0,8}(?:=|:)""", re.IGNORECASE | re.ASCII)
+_HINT = re.compile(r"""(?:pass|pwd|secret|token|key|auth|credential)[\w$.-]*["']?\s*+(?:=|:)""", re.IGNORECASE | re.ASCII)
+_BARE = re.compile(r"""(?:(?!\s+[#;]|[;,](?:\s|$|["']?[\w.-]+["']?\s*[:=]))[^\n])*""", re.ASCII)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_EXPRESSION = re.compile(r"[&*!]?[A-Za-z_$][\w$.]*(?:\(.*\)|\[.*\]).*|[A-Za-z_$]+(?:(?:\.|->|::)[A-Za-z_$]+)+", re.ASCII)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -73,6 +80,16 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * min(1.0, 0.4 + 0.3 * (classes - 1) + 0.2 * (n >= 16))
 
 
+def bare_value(text: str, start: int) -> tuple[int, int] | None:
+    """The span of an unquoted value that starts here, if it is one word and no expression."""
+    value = text[start : _BARE.match(text, start).end()].rstrip().rstrip(";,")
+    while value and value[-1] in ")]}" and value.count(value[-1]) > value.count("([{"[")]}".index(value[-1])]):
+        value = value[:-1].rstrip()
+    if not value or re.search(r"\s", value) or _QUOTED.search(value) or _EXPRESSION.fullmatch(value):
+        return None
+    return start, start + len(value)
+
+
 def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """Target name, value and spans of the literals of each assignment whose value is known."""
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
@@ -84,7 +101,7 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             i += 1
             continue
         name = target[1:-1] if kind == "str" else target
-        j, value, spans, known = i + 2, "", [], True
+        j, value, spans, known, bare = i + 2, "", [], True, None
         while j < n:
             kind, word, start, end = tokens[j]
             if kind == "str":
@@ -98,6 +115,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                     j += 1
             else:
                 known = False
+                if j == i + 2 and (kind in ("name", "other") or word == "+") and tokens[i + 1][1] != "=>" and name_score(name):
+                    bare = bare_value(text, start)
                 break
             if j + 1 < n and tokens[j + 1][1] == "+":
                 j += 2
@@ -107,6 +126,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             if tokens[i + 1][1] in ("=", ":=", ":"):
                 constants[name] = (value, spans)
             yield name, value, spans
+        elif bare:
+            yield name, text[slice(*bare)], [bare]
         i = max(i + 2, j)
 
 

@@ -173,6 +173,21 @@ def test_secrets(spark, docs):
     assert [r["n_hex"] for r in secrets.secret_scan(docs).filter("spans <> ''").collect()] == [1]  # the text of ab only
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("aws_secret_access_key = wJalrXUtnFEMIK7MDENGbPxRfiCYq8Zt\nregion = eu", ["wJalrXUtnFEMIK7MDENGbPxRfiCYq8Zt"]),
+        ("db_pwd: hunter2Zz9Q\r\nprivate_key: Zx81Qab7Kd02  # old", ["hunter2Zz9Q", "Zx81Qab7Kd02"]),
+        ("db_pwd                    = 'hunter2Zz9Q'", ["hunter2Zz9Q"]),
+        ("note: the db_pwd: hunter2Zz9Q", ["hunter2Zz9Q"]),
+        ("{user:bob,db_pwd:hunter2Zz9Q,port:1}", ["hunter2Zz9Q"]),
+        ("db_pwd = readline(x.In2)\ndb_pwd = conf.DbPwdValue\ndb_pwd: see the Wiki2 page\nauth = f['Aa1Bb2Cc3']", []),
+    ],
+)
+def test_unquoted_secrets(text, want):
+    assert [text[a:b] for a, b, _ in secrets.find_secrets(text)[1]] == want
+
+
 def test_language(spark, empty):
     rng = random.Random(9)
     words = {"aa": "kuku tari wana moli".split(), "bb": "ström ätlig füße größe".split(), "cc": "zhqx wrtp lkjh vbnm".split()}
