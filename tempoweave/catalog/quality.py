@@ -162,6 +162,62 @@ def spectral_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _round(_round(out, 7, "power_low", "power_mayer", "power_resp"), 6, "spectral_entropy", "mayer_ratio")
 
 
+#: the bands' and entropy's table with the ratios, under names of their own
+SPECTRAL_SQL = f"""{_psd_sql('ps', 'hann')}, q AS (SELECT channel, psd / sum(psd) OVER (PARTITION BY channel) AS q FROM ps WHERE psd > 0), en AS (SELECT channel, -sum(q * ln(q + 1e-8)) AS spectral_entropy FROM q GROUP BY ALL), c AS (SELECT DISTINCT recording, channel FROM sig),
+bp AS (SELECT c.recording, c.channel, {_band('ps', 0.01, 0.08)} AS l, {_band('ps', 0.08, 0.15)} AS m, {_band('ps', 0.15, 0.40)} AS r FROM c),
+sp AS (SELECT bp.recording, bp.channel, spectral_entropy, m / (l + r + 1e-8) AS mayer_ratio, r / (l + m + 1e-8) AS resp_ratio FROM bp LEFT JOIN en ON en.channel = bp.channel),
+cs AS (SELECT ca.*, spectral_entropy, mayer_ratio, resp_ratio FROM ca LEFT JOIN sp ON sp.channel = ca.channel)"""
+BAND = "CASE WHEN {0} >= 0.1 AND {0} <= 10 THEN 1 - 0.9::DOUBLE * abs(log10({0} + 1e-8)) / 2 ELSE 0.1::DOUBLE END"
+FULL_PARTS = {
+    "cv": CLIP.format("(3.0 - cv) / 2.9"), "tsnr": CLIP.format("(tsnr - 1.0) / 9.0"), "rdi": CLIP.format("(5.0 - rdi) / 4.9"), "drift": CLIP.format("(0.5 - drift) / 0.49"),
+    "spectral_entropy": CLIP.format("(3.0 - spectral_entropy) / 2.5"), "mayer_ratio": BAND.format("mayer_ratio"), "resp_ratio": BAND.format("resp_ratio"),
+    "pair_corr": CLIP.format("(0.8 - hbo_hbr_corr) / 1.6"), "var_ratio": CLIP.format("(2 - abs(log2(hbo_hbr_var_ratio + 1e-8))) / 1.5"), "deriv_pair": CLIP.format("(0.8 - hbo_hbr_deriv_corr) / 1.6"),
+}
+FULL_SOURCES = {"pair_corr": "hbo_hbr_corr", "var_ratio": "hbo_hbr_var_ratio", "deriv_pair": "hbo_hbr_deriv_corr"}
+FULL_SQL = f"""{COMPRE_SQL}, {SPECTRAL_SQL}, sf AS (SELECT recording, pair_base, {', '.join(f"CASE WHEN {FULL_SOURCES.get(n, n)} IS NULL THEN 0.0::DOUBLE ELSE {x} END AS s_{n}" for n, x in FULL_PARTS.items())} FROM cs),
+af AS (SELECT recording, pair_base, {', '.join(f"avg(s_{n}) AS {n}" for n in FULL_PARTS)} FROM sf GROUP BY ALL HAVING count(*) = 2),
+cp AS (SELECT *, 0.10::DOUBLE * cv + 0.15::DOUBLE * tsnr + 0.15::DOUBLE * rdi + 0.10::DOUBLE * drift + 0.10::DOUBLE * spectral_entropy + 0.05::DOUBLE * mayer_ratio + 0.05::DOUBLE * resp_ratio + 0.10::DOUBLE * pair_corr + 0.10::DOUBLE * var_ratio + 0.10::DOUBLE * deriv_pair AS score FROM af)"""
+
+
+def _assessed_full(spark: SparkSession, d: str) -> DataFrame:
+    s = signals(spark, d)
+    return ops.comprehensive_assessment(s, FS, spectral.spectral_metrics(s, KEYS, FS))
+
+
+@C.query(FULL_SQL + f" SELECT recording, pair_base, round(score, 5)::DOUBLE AS composite_score, {TIER_SQL.format('score')} AS quality_tier FROM cp")
+def composite_score_full(spark: SparkSession, d: str) -> DataFrame:
+    return _round(ops.composite_scores(_assessed_full(spark, d)).select("recording", "pair_base", "composite_score", "quality_tier"), 5, "composite_score")
+
+
+@C.query(FULL_SQL + f" SELECT recording, pair_base, {', '.join(f'round({n}, 5)::DOUBLE AS {n}' for n in FULL_PARTS)} FROM cp")
+def metric_scores_full(spark: SparkSession, d: str) -> DataFrame:
+    names = [m[0] for m in METRICS]
+    return _round(ops.composite_scores(_assessed_full(spark, d)).select("recording", "pair_base", *names), 5, *names)
+
+
+@C.query(FULL_SQL + f""", k AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY score, pair_base) AS k, count(*) OVER (PARTITION BY recording) AS n FROM cp), t AS (SELECT * FROM k WHERE (k > floor(n * 0.1) AND k <= n - floor(n * 0.1)) OR 2 * floor(n * 0.1) >= n), r AS (SELECT recording, avg(score) AS run_score, any_value(n) AS n_channels_scored FROM t GROUP BY ALL)
+SELECT recording, round(run_score, 5)::DOUBLE AS run_score, {TIER_SQL.format('run_score')} AS run_tier, n_channels_scored FROM r""")
+def run_trimmed_mean_full(spark: SparkSession, d: str) -> DataFrame:
+    return _round(ops.run_scores(ops.composite_scores(_assessed_full(spark, d))), 5, "run_score")
+
+
+SUMMARY_METRICS = {"cv": 3, "tsnr": 6, "rdi": 5, "drift": 6, "spectral_entropy": 6, "mayer_ratio": 6, "resp_ratio": 0, "hbo_hbr_corr": 6, "hbo_hbr_var_ratio": 6, "hbo_hbr_deriv_corr": 6}
+
+
+@C.query(f"{COMPRE_SQL}, {SPECTRAL_SQL} SELECT recording, count(*) AS n_channels, sum(CASE WHEN ch_type = 'hbo' THEN 1 ELSE 0 END)::BIGINT AS n_hbo, sum(CASE WHEN ch_type = 'hbr' THEN 1 ELSE 0 END)::BIGINT AS n_hbr, sum(CASE WHEN bad_final THEN 1 ELSE 0 END)::BIGINT AS n_bad_channels, round(avg(CASE WHEN bad_final THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS bad_channel_fraction, {', '.join(f'round(avg({m}), {k})::DOUBLE AS mean_{m}, round(median({m}), {k})::DOUBLE AS median_{m}' for m, k in SUMMARY_METRICS.items())} FROM cs GROUP BY recording")
+def quality_run_summary_full(spark: SparkSession, d: str) -> DataFrame:
+    out = _round(ops.run_summary(_assessed_full(spark, d), list(SUMMARY_METRICS)), 6, "bad_channel_fraction")
+    for m, k in SUMMARY_METRICS.items():
+        out = _round(out, k, f"mean_{m}", f"median_{m}")
+    return out
+
+
+@C.query(f"{COMPRE_SQL}, {SPECTRAL_SQL} SELECT recording, channel, round(spectral_entropy, 6) AS spectral_entropy, round(mayer_ratio, 6)::DOUBLE AS mayer_ratio, round(resp_ratio, 0)::DOUBLE AS resp_ratio FROM sp")
+def spectral_ratios(spark: SparkSession, d: str) -> DataFrame:
+    out = spectral.spectral_metrics(signals(spark, d), KEYS, FS).select(*KEYS, "spectral_entropy", "mayer_ratio", "resp_ratio")
+    return _round(_round(out, 6, "spectral_entropy", "mayer_ratio"), 0, "resp_ratio")
+
+
 SNR_SQL = f"""WITH {SIGNALS_SQL}, {_psd_sql('ps0', 'hamming')}, ps AS (SELECT * FROM ps0 WHERE freq >= 0.01 AND freq <= 0.5), dx AS (SELECT recording, channel, x, x - lag(x) OVER (PARTITION BY channel ORDER BY sample_idx) AS d FROM sig), c AS (SELECT recording, channel, stddev_pop(x) AS sx, stddev_pop(d) AS sd FROM dx GROUP BY ALL),
 sn AS (SELECT recording, channel, 20 * log10(sx / sd) AS t_db, 10 * log10({_band('ps', 0.01, 0.2)} / {_band('ps', 0.2, 0.5)}) AS p_db FROM c)"""
 

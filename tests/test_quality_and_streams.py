@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tempoweave.functions.scores import metric_score, tier
+from tempoweave import queries as core
+from tempoweave.functions.scores import METRICS, metric_score, tier
 from tempoweave.operators import markers, quality, spectral
 from tempoweave.plans.range_join import band_join
 from tempoweave.streaming.markers import clean_stream, edge_stream
@@ -89,3 +90,15 @@ def test_streams(spark, tmp_path):
     out = run("edges", [volts[:4], volts[4:]], "s long, i long, v double", lambda s: edge_stream(s, ["s"], fs=1.0))
     batch = markers.edge_markers(spark.createDataFrame(volts, "s long, i long, v double"), ["s"], fs=1.0).collect()
     assert sorted(r["i"] for r in out) == sorted(r["i"] for r in batch)
+
+
+def test_full_scores_hold_all_ten_metrics(spark):
+    q, d = core.queries(), "/root/testdata/sf0.001"
+    names = [m[0] for m in METRICS]
+    parts = {(r["recording"], r["pair_base"]): r for r in q["metric_scores_full"](spark, d).collect()}
+    scores = q["composite_score_full"](spark, d).collect()
+    assert len(scores) == len(parts) > 0
+    for r in scores:
+        row = parts[r["recording"], r["pair_base"]]
+        assert abs(r["composite_score"] - sum(row[n] * w for n, *_, w in METRICS)) < 5e-5
+    assert {f"mean_{n}" for n in names[:7]} <= set(q["quality_run_summary_full"](spark, d).columns)
