@@ -1,11 +1,11 @@
-"""Exact substring removal by prefix doubling over position-rank pairs.
+"""Exact substring removal by fingerprints of sampled positions, in place of prefix doubling.
 
 Every byte is removed that lies in a string of `length` bytes which also starts
 earlier (in a document with a smaller id, or further up in the same document);
 overlapping occurrences count, and all is judged on the input.
 
 A rank is a fingerprint of the text that follows (or surrounds) a position.
-Spark sorts positions by rank, and each round looks at a longer stretch:
+Spark sorts positions by rank twice; nothing is ranked anew by a sort:
 
 1. ranks of `gram` bytes at sampled positions (see passages.py; a full suffix
    array would sort every byte).  Positions with a rank of their own leave;
