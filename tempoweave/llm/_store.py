@@ -13,9 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (as in tests) a temporary folder."""
+    """The session's spark.checkpoint.dir; only where that is unset on a local master (as in tests) a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = _OWN.setdefault("folder", tempfile.mkdtemp(prefix="tempoweave-"))
     return folder.rstrip("/")
 
@@ -41,14 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def least_hashed(rows: DataFrame, key: str, most: int, n: int) -> DataFrame:
-    """The `most` rows with the least hash of their key, of about n rows.
+def least_hashed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the least hash of their key, null keys last.
 
-    Rows far above the expected hash of the last one are left out before they
-    are ordered, so no task sends on `most` rows of its own.
+    Where there are many more, rows far above the expected hash of the last one
+    are left out before they are ordered, so no task sends on `most` rows of its
+    own; if that leaves too few (many rows of one key), all are ordered.
     """
-    share = min(1.0, 4 * (most + 100) / max(n, 1))
     hashed = F.xxhash64(key)
+    n, nulls = rows.select(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+    share = 4 * (most + 100) / max(n - nulls, 1)
     if share < 1:
-        rows = rows.filter(hashed <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
-    return rows.orderBy(hashed, key).limit(most)
+        near = rows.filter(F.col(key).isNotNull() & (hashed <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))))
+        if near.select(key).limit(most).count() == most:
+            rows = near
+    return rows.orderBy(F.col(key).isNull(), hashed, key).limit(most)

@@ -15,12 +15,14 @@ import pyarrow.compute as pc
 #: Bytes of text that one numpy pass takes at most (a longer single document is taken alone).
 CHUNK = 1 << 18
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
+#: Range fingerprints are polynomials modulo this prime.
+PRIME = (1 << 61) - 1
+_P, _M31, _M30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_U31, _U30, _U61 = np.uint64(31), np.uint64(30), np.uint64(61)
 _rng = np.random.default_rng(20240229)
-#: A random odd 64-bit number for every byte value.
-BYTE_CODES = _rng.integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Independent random bases of the polynomials.
+BASES = tuple(int(x) for x in _rng.integers(1 << 59, PRIME - 1, 2))
+_POWERS: dict[int, np.ndarray] = {}
 
 #: Bytes that end a word in the contracts with words `[^\x20\x09-\x0D]+`.
 BLANKS = np.zeros(256, bool)
@@ -61,14 +63,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        for k, base in enumerate((_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    ah, al, bh, bl = a >> _U31, a & _M31, b >> _U31, b & _M31
+    middle = ah * bl + al * bh
+    out = ((ah * bh) << np.uint64(1)) + (middle >> _U30) + ((middle & _M30) << _U31) + al * bl
+    return _reduced(out)
+
+
+def _reduced(a: np.ndarray) -> np.ndarray:
+    a = (a & _P) + (a >> _U61)
+    return np.where(a >= _P, a - _P, a)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of the base, kept between calls."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.ones(1, np.uint64) if held is None else held
+        while len(held) < n:
+            held = np.r_[held, times(held, np.full(1, pow(base, len(held), PRIME), np.uint64))]
+        _POWERS[base] = held
+    return held[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,24 +97,40 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Ranges:
-    """Fingerprints of any range of a sequence of 64-bit symbols, in constant time each.
+    """Fingerprints of any range of a sequence of symbols (numbers below 2**61), in constant time each.
 
-    A range's value is its polynomial modulo 2**64, which doesn't depend on
-    where it lies; `mix` it before comparing or ordering by it.
+    A range's value is its polynomial at a random base modulo the prime
+    2**61 - 1, which doesn't depend on where it lies: two different ranges of
+    length n have the same with a probability of n / 2**61.  `mix` it before
+    ordering by it.  Another base gives an independent value.
     """
 
-    def __init__(self, symbols: np.ndarray) -> None:
+    def __init__(self, symbols: np.ndarray, base: int = 0) -> None:
         n = len(symbols)
-        self.powers, self.inverse = (p[: n + 1] for p in _powers(n + 1))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * self.powers[:n], out=self.sums[1:])
+        self.inverse = _powers(pow(BASES[base], -1, PRIME), n + 1)
+        powers = _powers(BASES[base], n + 1)[:n]
+        if symbols.dtype == np.uint8:  # bytes, plus one so that none counts as 0
+            symbols = symbols.astype(np.uint64) + np.uint64(1)
+            high = symbols * (powers >> _U31)
+            terms = symbols * (powers & _M31) + (high >> _U30) + ((high & _M30) << _U31)
+        else:
+            terms = times(symbols, powers)
+        low, high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(terms & np.uint64(0xFFFFFFFF), out=low[1:])
+        np.cumsum(terms >> np.uint64(32), out=high[1:])
+        high = _reduced(high)  # times 2**32
+        self.sums = _reduced(low + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+        gap = self.sums[end] + (_P - self.sums[start])
+        return times(np.where(gap >= _P, gap - _P, gap), self.inverse[start])
 
     def grams(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
-        return (self.sums[length:] - self.sums[:n]) * self.inverse[:n] if n > 0 else np.zeros(0, np.uint64)
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        gap = self.sums[length:] + (_P - self.sums[:n])
+        return times(np.where(gap >= _P, gap - _P, gap), self.inverse[:n])
 
 
 def words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,10 +148,9 @@ def words(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = BLANKS)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit code of each word's bytes, after folding bytes by a table."""
-    codes = BYTE_CODES if fold is None else BYTE_CODES[fold]
-    return mix(Ranges(codes[data]).of(starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1)
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
+    """A number below 2**61 for each word's bytes; another base gives an independent one."""
+    return mix(Ranges(data, base).of(starts, ends) + (ends - starts).astype(np.uint64)) >> np.uint64(3)
 
 
 def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:

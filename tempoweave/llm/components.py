@@ -24,7 +24,7 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         # large star: larger neighbours of every id move to its least neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")  # so that a hub's rows can be split in the join
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: an id and its smaller neighbours move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -1,39 +1,48 @@
 """Exact n-gram Jaccard join by partition of the universe and the pigeonhole principle.
 
-A document is its set of word shingles.  Sets in the range of one size band
-are cut by a hash of the shingle into the same `m` segments.  Two sets of
+A document is its set of word shingles.  Sets are handled in size bands; in a
+band a hash cuts the universe of shingles into `m` segments.  Two sets of
 Jaccard similarity `threshold` or more differ in at most H shingles, H being
-(1 - threshold) / (1 + threshold) of the sum of their sizes, so of any segments
-with H + 1 units between them one must be alike:
-
-* an exact segment is one unit: it is indexed by the fingerprint of its subset;
-* a segment with its one-deletion neighbourhood is two units: it is alike even
-  if one shingle was added or removed, and is indexed by the subset and by each
-  subset with one shingle less (a subset of one shingle has one unit, an empty
-  one none).
-
-`allocation` picks for each size band the number of segments and whether they
-have neighbourhoods, by a cost of rows and of signatures too small to be rare.
-Where exact segments have more units than needed a set drops those with the
-highest cost (the smallest subsets); as the order depends on the subset alone,
-two sets drop alike and the least one that they share stays.  A set with too
-few units in its band has that band cut finer, before anything is indexed.
-
-Sets of a band join each other, and those of the next band that are small enough.
-
-Equal sets are represented by their least document.  In every group of equal
-signatures the first document is compared with all others; documents found
-linked are merged into components; then groups that still hold several
-components get the pairs across components which an upper bound (overlap of
-hashed histograms) leaves.  Every pair is verified exactly on its two texts, so no
-link between different components is lost and no group is expanded into all
-of its pairs.
+(1 - threshold) / (1 + threshold) of the sum of their sizes, so if segments with
+H + 1 units between them are compared, one of these must be alike:
+
+* the subset of a segment is one unit: it is alike if nothing in it differs;
+* a subset with its one-deletion neighbourhood (the subset, and each subset with
+  one shingle less) is two units: it is alike if at most one shingle differs.
+  A subset of one shingle has one unit, an empty one none.
+
+`allocation` picks for each band the number of segments that costs least.  Few
+segments make few and selective signatures, but leave more sets *short*: with
+fewer filled segments than the H + 1 that they need.
+
+* All sets index their subsets.  If one of two sets isn't short, they share a
+  subset: it has H + 1 of them, and at most H differ.
+* Short sets index one-deletion neighbourhoods as well, to meet each other.
+* Sets whose neighbourhoods still have too few units are *bare*; they index
+  their shingles one by one as well, to meet each other.
+
+Of its signatures of a kind a set may leave out those beyond the number that it
+needs, if all sets leave them out in one order: the least signature that two
+sets share then stays in both.  The order is by how many sets hold a signature
+(counted over all of them), so common lines are left out first and nearly every
+signature that stays is rare.  Sets of a band join each other, and those of the
+next band that are small enough.
+
+Equal sets are represented by their least document.  Groups of equal signatures
+with the same members are handled once.  In every group the first document is
+compared with all others; linked documents are merged into components.  Groups
+that then still hold several components give their remaining pairs, if there
+are at most `SMALL` documents; larger ones are dealt out in blocks, in which
+overlaps are counted in place and only links that join components come out.
+Every link is verified on the words of its two texts, so none is wrong, no link
+between different components is lost, and no group is expanded into its pairs.
 
 Defined results: a null text or one without words has an empty set and is its
 own component; a text with fewer words than a shingle has one shingle, the
-whole sequence; rows that share an id are one document's (the least-sized set's
-row gives n_shingles only if they differ - ids are meant to be unique); an
-empty table gives no rows; other columns are ignored.
+whole sequence; rows that share an id are one document and give one row (if
+their texts differ, the set of least size, then least fingerprint, counts); each
+row without an id gives a row, linked with nothing, its component null; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,79 +50,91 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempoweave.llm._store import written
-from tempoweave.llm._text import FOLD, Ranges, chunks, column_bytes, longs, mix, slices, word_codes, words
+from tempoweave.llm._text import FOLD, chunks, column_bytes, longs, mix, slices, word_codes, words
 from tempoweave.llm.components import connected
 from tempoweave.llm.passages import packed_texts, unpacked, whole_groups
 
-BINS = 128
 WIDTH = 5
 SIMILAR = (75, 100)
+#: Documents of a group that are compared pair by pair.
+SMALL = 32
+#: Documents of a larger group that meet in one task.
+BLOCK = 1024
+#: The share of a usual text that unrelated texts hold as well (only `allocation` uses it, to price segments).
+COMMON = 0.25
+#: Kinds of signatures; a set visiting the next smaller band has three kinds of its own.
+SUBSETS, NEIGHBOURS, SINGLES = range(3)
 
 
 @dataclass(frozen=True)
 class Band:
-    """Sets of low <= size < high; segments 0 means one segment for every shingle of the universe."""
+    """Sets of 2**number <= size < high, in so many segments."""
 
     number: int
     segments: int
-    neighbours: bool
 
     @property
     def high(self) -> int:
         return 2 << self.number
 
 
-def _units(load: float, neighbours: bool) -> float:
-    """Units that one segment gives on average at so many shingles a segment."""
-    none, one = math.exp(-load), load * math.exp(-load)
-    return 2 * (1 - none - one) + one if neighbours else 1 - none
+def _short(size: int, segments: int, need: int) -> float:
+    """The share of sets of a size that fill fewer segments than they need (normal approximation)."""
+    empty = math.exp(-size / segments)
+    mean, spread = segments * (1 - empty), math.sqrt(max(1e-9, segments * (empty - (1 + size / segments) * empty**2)))
+    return 0.5 * math.erfc((mean + 0.5 - need) / (spread * math.sqrt(2)))
 
 
-def allocation(number: int, finer: int = 0) -> Band:
-    """The cheapest plan of a band that gives enough units with six standard deviations to spare."""
+@lru_cache
+def allocation(number: int) -> Band:
+    """The number of segments of least cost: subsets, the neighbourhoods of the sets that would be short, and candidates that come of it if too few subsets can be left out to leave out the common ones."""
     high = 2 << number
-    best = (float(high), Band(number, 0, False))
-    for neighbours in (False, True):
-        for load in (1.2, 1.4, 1.6, 1.8, 2.0, 2.2, 2.4, 3.0, 3.5, 4.0):
-            m = max(1, round(high / load))
-            n = high - 1
-            need, have = n / 3 + 2, m * _units(n / m, neighbours)
-            if have - 6 * math.sqrt(m) * (0.5 if neighbours else 0.3) < need:
-                continue
-            kept = m * (1 + load) if neighbours else need
-            small = m * load * math.exp(-load)
-            single = small if neighbours else max(0.0, need - (m * (1 - math.exp(-load)) - small))
-            cost = kept + 8 * single
-            best = min(best, (cost, Band(number, m, neighbours)), key=lambda x: x[0])
-    band = best[1]
-    return Band(number, 0, False) if finer > 2 or not band.segments else Band(number, band.segments * 2**finer, band.neighbours and not finer)
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Document and fingerprint of each distinct shingle, in order of both."""
+    sizes = sorted({max(1, round(high / 2 * (1 + k / 8))) for k in range(8)} | {high - 1})
+    best = (math.inf, high)
+    for load in (0.5, 0.7, 0.9, 1.1, 1.3, 1.5, 1.7, 1.9, 2.1, 2.3, 2.5):
+        m = max(1, round(high / load))
+        cost = 0.0
+        for n in sizes:
+            need, filled = n // 3 + 1, m * (1 - math.exp(-n / m))
+            short = _short(n, m, need)
+            spare = max(0.0, 1 - need / max(filled, 1e-9))
+            cost += filled + short * 4 * (m + n) + need * 8 * max(0.0, COMMON - spare)
+        best = min(best, (cost, m))
+    return Band(number, best[1])
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and two independent fingerprints of each distinct shingle, in order of document and first fingerprint."""
     data = FOLD[data]
     starts, ends, firsts = words(data, offsets)
-    codes = word_codes(data, starts, ends)
     counts = np.diff(firsts)
     doc = np.repeat(np.arange(len(counts)), counts)
-    ranges = Ranges(codes)
-    grams = ranges.grams(width)
-    whole = np.flatnonzero(doc[: len(grams)] == doc[width - 1 :][: len(grams)]) if len(grams) else np.zeros(0, np.int64)
+    whole = np.flatnonzero(doc[: max(0, len(doc) - width + 1)] == doc[width - 1 :]) if len(doc) >= width else np.zeros(0, np.int64)
     short = np.flatnonzero((counts > 0) & (counts < width))
-    rest = ranges.of(firsts[short], firsts[short + 1]) + counts[short].astype(np.uint64)
-    d = np.r_[doc[whole], short]
-    h = mix(np.r_[grams[whole] + np.uint64(width), rest])
+    both = []
+    for base in range(2):
+        codes = word_codes(data, starts, ends, base)
+        full, less = np.full(len(whole), width, np.uint64), counts[short].astype(np.uint64)
+        for k in range(width):
+            full = mix(full * np.uint64(0x9E3779B97F4A7C15) + codes[whole + k])
+            there = counts[short] > k
+            less[there] = mix(less[there] * np.uint64(0x9E3779B97F4A7C15) + codes[firsts[short[there]] + k])
+        both.append(np.r_[full, less])
+    d, (h, g) = np.r_[doc[whole], short], both
     order = np.lexsort((h, d))
-    d, h = d[order], h[order]
+    d, h, g = d[order], h[order], g[order]
     new = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])] if len(d) else np.zeros(0, bool)
-    return d[new], h[new]
+    return d[new], h[new], g[new]
 
 
 def _need(size: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -122,28 +143,23 @@ def _need(size: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (size + other) * (b - a) // (a + b) + 1
 
 
-def _instances(sizes: np.ndarray, bands: dict[int, Band]) -> Iterator[tuple[Band, np.ndarray, np.ndarray]]:
-    """For each band its sets, own and visiting, with the units each needs."""
+def signatures(shingle: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slot (kind, and 3 more for visitors), set and signature; and the sets of this slot, with the number of signatures that each may leave out."""
     a, b = SIMILAR
+    first = np.r_[0, np.cumsum(sizes)]
     own = np.frexp(np.maximum(sizes, 1))[1] - 1
-    for number in np.unique(np.r_[own[sizes > 0], np.maximum(own[sizes > 1] - 1, 0)]):
-        band = bands[int(number)]
+    for number in np.unique(np.r_[own[sizes > 0], np.maximum(own[sizes > 1] - 1, 0)]).tolist():
+        band = allocation(number)
         home = (own == number) & (sizes > 0)
         visit = (own == number + 1) & (sizes * a <= (band.high - 1) * b)
-        who = np.flatnonzero(home | visit)
-        if len(who):
-            other = np.where(home[who], sizes[who] * b // a, band.high - 1)
-            yield band, who, _need(sizes[who], other)
-
-
-def signatures(doc: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, bands: dict[int, Band]) -> Iterator[tuple[Band, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each band: documents and signatures, and the documents with too few units for it."""
-    first = np.r_[0, np.cumsum(sizes)]
-    for band, who, need in _instances(sizes, bands):
-        index = np.repeat(first[who] - np.r_[0, np.cumsum(sizes[who])[:-1]], sizes[who]) + np.arange(sizes[who].sum())
-        d, h = np.repeat(np.arange(len(who)), sizes[who]), shingle[index]
-        salt = mix(np.array([band.number * 4 + 1], np.uint64))[0]
-        if band.segments:
+        for visiting, who in ((0, np.flatnonzero(home)), (3, np.flatnonzero(visit))):
+            if not len(who):
+                continue
+            size = sizes[who]
+            need = _need(size, np.full(len(who), band.high - 1) if visiting else size * b // a)
+            index = np.repeat(first[who] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            d, h = np.repeat(np.arange(len(who)), size), shingle[index]
+            salt = mix(np.array([number * 4 + 1], np.uint64))[0]
             segment = mix(h ^ salt) % np.uint64(band.segments)
             order = np.lexsort((segment, d))
             d, h, segment = d[order], h[order], segment[order]
@@ -151,217 +167,252 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, bands: d
             count = np.diff(np.r_[new, len(d)])
             total = np.add.reduceat(mix(h + salt), new)
             tag = mix(segment[new] + salt)
-            subset = mix(total ^ tag)
             holder = d[new]
-        else:
-            new, count, subset, holder = np.arange(len(d)), np.ones(len(d), np.int64), mix(h + salt), d
-        if band.neighbours:
-            units = np.bincount(holder, np.minimum(count, 2), len(who)).astype(np.int64)
-            many = np.repeat(count > 1, count)
-            each = np.repeat(np.arange(len(new)), count)[many]
-            less = mix((total[each] - mix(h[many] + salt)) ^ tag[each])
-            yield band, who[np.r_[holder, holder[each]]], np.r_[subset, less], who[units < need]
-        else:
-            order = np.lexsort((subset, -count, holder))
-            holder, subset = holder[order], subset[order]
-            start = np.searchsorted(holder, np.arange(len(who)))
-            rank = np.arange(len(holder)) - start[holder]
-            keep = rank < need[holder]
-            yield band, who[holder[keep]], subset[keep], who[np.bincount(holder, minlength=len(who)) < need]
+            filled = np.bincount(holder, minlength=len(who))
+            yield visiting + SUBSETS, who[holder], mix(total ^ tag), who, np.maximum(filled - need, 0)
+            short = filled < need
+            if not short.any():
+                continue
+            each = np.repeat(np.arange(len(new)), count)
+            kept, less = short[holder], short[d] & (count > 1)[each]
+            own_ = mix(mix(total[kept] ^ tag[kept]) + np.uint64(1))
+            one_less = mix(mix((total[each[less]] - mix(h[less] + salt)) ^ tag[each[less]]) + np.uint64(1))
+            yield visiting + NEIGHBOURS, who[np.r_[holder[kept], d[less]]], np.r_[own_, one_less], who[short], np.zeros(short.sum(), np.int64)
+            bare = np.bincount(holder, np.minimum(count, 2), len(who)).astype(np.int64) < need
+            if bare.any():
+                at = bare[d]
+                yield visiting + SINGLES, who[d[at]], mix(h[at] + salt + np.uint64(2)), who[bare], (size - need)[bare]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]):
     """Ids, document numbers, shingles, sizes and two fingerprints of each set."""
     for batch in slices(batches):
-        batch = batch.filter(batch.column("doc_id").is_valid())
         data, offsets = column_bytes(batch.column("text"))
-        ids = longs(batch, "doc_id")
+        ids = batch.column("doc_id")
         for i, j in chunks(offsets):
-            doc, shingle = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            doc, shingle, other = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             sizes = np.bincount(doc, minlength=j - i)
             sums = [np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)]
             if len(doc):
                 new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                for k in range(2):
-                    sums[k][doc[new]] = np.add.reduceat(mix(shingle + np.uint64(k * 77)), new)
-            yield ids[i:j], doc, shingle, sizes, sums
-
-
-def _bands(finer: dict[int, int]) -> dict[int, Band]:
-    return {k: allocation(k, finer.get(k, 0)) for k in range(40)}
-
-
-def _profile(bands: dict[int, Band]):
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, doc, shingle, sizes, sums in _chunks(batches):
-            poor = np.full(len(ids), -1)
-            for band, who, need in _instances(sizes, bands):
-                if not band.segments:
-                    continue
-                index = np.flatnonzero(np.isin(doc, who))
-                segment = mix(shingle[index] ^ mix(np.array([band.number * 4 + 1], np.uint64))[0]) % np.uint64(band.segments)
-                filled, count = np.unique(doc[index].astype(np.uint64) << np.uint64(40) | segment, return_counts=True)
-                units = np.bincount((filled >> np.uint64(40)).astype(np.int64), np.minimum(count, 2 if band.neighbours else 1), len(ids))
-                poor[who[units[who] < need]] = band.number
-            bins = np.zeros((len(ids), BINS), np.int64)
-            np.add.at(bins, (doc, (mix(shingle + np.uint64(5)) % np.uint64(BINS)).astype(np.int64)), 1)
-            bins = np.minimum(bins, 65535).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(poor.astype(np.int32)), pa.array([b.tobytes() for b in bins], pa.binary())],
-                names=["doc_id", "n", "f", "g", "poor", "bins"],
-            )
-
-    return profile
-
-
-def _index(bands: dict[int, Band]):
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, doc, shingle, sizes, sums in _chunks(batches):
-            # of equal sets in a chunk only the first is indexed
-            order = np.lexsort((ids, sums[1], sums[0]))
-            same = np.zeros(len(ids), bool)
-            same[order[1:]] = (sums[0][order[1:]] == sums[0][order[:-1]]) & (sums[1][order[1:]] == sums[1][order[:-1]])
-            live = ~same[doc]
-            doc, shingle, sizes = doc[live], shingle[live], np.where(same, 0, sizes)
-            for _, who, signature, _ in signatures(doc, shingle, sizes, bands):
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(ids[who])], names=["signature", "doc_id"])
-
-    return index
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group of equal signatures the pairs with its first document (group null) and, from three documents on, its members once for each set of members."""
-    seen: set[int] = set()
-    for batch in whole_groups(batches, "signature"):
-        key, doc = longs(batch, "signature"), longs(batch, "doc_id")
-        keep = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
-        key, doc = key[keep], doc[keep]
-        new = np.r_[True, key[1:] != key[:-1]]
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        size = np.diff(np.r_[start, len(key)])
-        first = doc[start][group]
-        pairs = np.unique(np.stack([first[~new], doc[~new]], 1), axis=0)
-        print_ = mix(np.add.reduceat(mix(doc.astype(np.uint64)), start) + size.astype(np.uint64))
-        fresh = np.zeros(len(start), bool)
-        for k in np.flatnonzero(size > 2).tolist():
-            if (p := int(print_[k])) not in seen:
-                fresh[k] = True
-                if len(seen) < 1_000_000:
-                    seen.add(p)
-        member = fresh[group]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[pairs[:, 0], doc[member]]), pa.array(np.r_[pairs[:, 1], np.zeros(member.sum(), np.int64)]), pa.array(np.r_[np.zeros(len(pairs), np.int64), print_[group][member].view(np.int64)], mask=np.r_[np.ones(len(pairs), bool), np.zeros(member.sum(), bool)])],
-            names=["a", "b", "group"],
-        )
+                for k, x in enumerate((shingle, other)):
+                    sums[k][doc[new]] = np.add.reduceat(mix(x), new)
+            yield ids.slice(i, j - i), doc, shingle, sizes, sums
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, fingerprints, and for each slot the signatures that the set may leave out."""
+    for ids, _, shingle, sizes, sums in _chunks(batches):
+        spare = np.zeros((len(ids), 6), np.int32)
+        for slot, _, _, who, more in signatures(shingle, sizes):
+            spare[who, slot] = more
+        spare = pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * len(ids) + 1, 6, dtype=np.int32)), pa.array(spare.ravel()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), spare], names=["doc_id", "n", "f", "g", "spare"])
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        batch = batch.filter(batch.column("doc_id").is_valid())
+        for ids, doc, shingle, sizes, sums in _chunks(iter([batch])):
+            # equal sets of a task are indexed once
+            live = sizes > 0
+            for k, key in enumerate(zip(sums[0].tolist(), sums[1].tolist(), strict=True)):
+                if live[k] and key in seen:
+                    live[k] = False
+                elif len(seen) < 1_000_000:
+                    seen.add(key)
+            ids = ids.to_numpy()
+            for slot, who, signature, _, _ in signatures(shingle[live[doc]], np.where(live, sizes, 0)):
+                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(ids[who]), pa.array(np.full(len(who), slot, np.int8))], names=["signature", "doc_id", "slot"])
+
+
+def _exact_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+    """Each text's distinct shingles, numbered by their words."""
+    found = [t.translate(FOLD.tobytes()).split() for t in texts]
+    numbers: dict[bytes, int] = {}
+    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for t in found for w in t), np.int64) + 1
+    counts = np.array([len(t) for t in found])
+    firsts = np.r_[0, np.cumsum(counts)]
+    padded = np.r_[codes, np.zeros(width, np.int64)]
+    doc = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(codes))
+    at = at[(at + width <= firsts[doc + 1]) | (at == firsts[doc])]
+    name = np.zeros(len(at), np.int64)
+    for k in range(width):  # names of one word more, until the whole shingle has one
+        word = np.where(at + k < firsts[doc[at] + 1], padded[at + k], 0)
+        name = np.unique(name << np.int64(32) | word, return_inverse=True)[1]
+    pairs = np.unique(doc[at] << np.int64(32) | name)
+    return np.split(pairs & np.int64(0xFFFFFFFF), np.searchsorted(pairs >> np.int64(32), np.arange(1, len(counts))))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low, full = SIMILAR
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            # each document of these pairs is read once
-            ids, first, each = np.unique(np.r_[longs(part, "a"), longs(part, "b")], return_index=True, return_inverse=True)
-            n = part.num_rows
-            texts = [unpacked(part.column("left" if k < n else "right").slice(k % n, 1))[0] for k in first.tolist()]
-            sets = []
-            for i, j in chunks(np.r_[0, np.cumsum([len(t) for t in texts])]):
-                doc, shingle = shingle_sets(np.frombuffer(b"".join(texts[i:j]), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts[i:j]])])
-                sets += np.split(shingle, np.searchsorted(doc, np.arange(1, j - i)))
-            linked = []
-            for x, y in zip(each[:n].tolist(), each[n:].tolist(), strict=True):
-                x, y = sorted((sets[x], sets[y]), key=len)
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                linked.append(common > 0 and full * common >= low * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-
-def _possible(i: np.ndarray, j: np.ndarray, size: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Whether sizes and histograms allow the similarity of rows i and j."""
+    for batch in slices(batches, 200):
+        # texts that pairs of a batch have in common are read once
+        left, right = longs(batch, "a"), longs(batch, "b")
+        linked = np.zeros(batch.num_rows, bool)
+        sizes = np.cumsum([0, *pc.add(pc.binary_length(batch.column("left")), pc.binary_length(batch.column("right"))).to_pylist()])
+        for i, j in chunks(sizes, 1 << 17):
+            ids, first, each = np.unique(np.r_[left[i:j], right[i:j]], return_index=True, return_inverse=True)
+            n = j - i
+            sets = _exact_sets([unpacked(batch.column("left" if k < n else "right").slice(i + k % n, 1))[0] for k in first.tolist()])
+            for k in range(n):
+                x, y = sets[each[k]], sets[each[n + k]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked[i + k] = common > 0 and full * common >= low * (len(x) + len(y) - common)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
+
+
+def _folded(shingle: np.ndarray, salt: int) -> np.ndarray:
+    return np.unique((mix(shingle + np.uint64(salt)) >> np.uint64(32)).astype(np.uint32))
+
+
+def _folds(salt: int):
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of each text as sorted 32-bit numbers, and how many of them those stand for."""
+        for batch in slices(batches):
+            texts = unpacked(batch.column("packed"))
+            for i, j in chunks(np.cumsum([0, *map(len, texts)])):
+                doc, shingle, _ = shingle_sets(np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum([0, *map(len, texts[i:j])]))
+                sets = np.split(shingle, np.searchsorted(doc, np.arange(1, j - i)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array([_folded(x, salt).tobytes() for x in sets], pa.binary())], names=["doc_id", "n", "folds"])
+
+    return folds
+
+
+def _joins(ids: np.ndarray, component: np.ndarray, size: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links by folded shingles that join the components of a block; overlaps are counted as products of 0/1 matrices."""
     low, full = SIMILAR
-    out = np.minimum(size[i], size[j]) * full >= np.maximum(size[i], size[j]) * low
-    for at in range(0, len(i), 4096):
-        part = np.arange(at, min(len(i), at + 4096))
-        part = part[out[part]]
-        a, b = bins[i[part]], bins[j[part]]
-        common = np.minimum(a, b).sum(1, dtype=np.int64)
-        common = np.where((a == 65535).any(1) & (b == 65535).any(1), np.minimum(size[i[part]], size[j[part]]), common)
-        out[part] = full * common >= low * (size[i[part]] + size[j[part]] - common)
+    n = len(ids)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    value, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(value), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[code]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for at in range(0, len(shared), 4096):
+        i, j = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((n, min(4096, len(shared) - at)), np.float32)
+        part[owner[i:j], column[i:j] - at] = 1
+        common += part @ part.T
+    lost = size - np.array([len(x) for x in sets])  # shingles that share a number with another one of their set
+    common = np.minimum(common + np.minimum(lost[:, None], lost[None]), np.minimum(size[:, None], size[None]))
+    near = (full * common >= low * (size[:, None] + size[None] - common)) & (component[:, None] < component[None])
+    out, root = [], {int(c): int(c) for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        x, y = top(int(component[i])), top(int(component[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group's documents of different components whose histograms allow the similarity."""
-    for batch in whole_groups(batches, "group"):
-        key, doc, component, size = (longs(batch, n) for n in ("group", "doc_id", "component", "n"))
-        bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[start, len(key)])
-        left, right = [], []
-        for g in np.unique(sizes[sizes <= 32]).tolist():
-            at = start[sizes == g]
-            i, j = np.triu_indices(g, 1)
-            left.append((at[:, None] + i).ravel())
-            right.append((at[:, None] + j).ravel())
-        for s, g in zip(start[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-            for k in range(s, s + g - 1):
-                rest = np.arange(k + 1, s + g)
-                rest = rest[component[rest] != component[k]]
-                rest = rest[_possible(np.full(len(rest), k), rest, size, bins)]
-                left.append(np.full(len(rest), k))
-                right.append(rest)
-        i, j = np.concatenate(left), np.concatenate(right)
-        apart = component[i] != component[j]
-        pairs, first = np.unique(np.sort(np.stack([doc[i[apart]], doc[j[apart]]], 1), 1), axis=0, return_index=True)
-        fine = _possible(i[apart][first], j[apart][first], size, bins)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[fine, 0]), pa.array(pairs[fine, 1])], names=["a", "b"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in whole_groups(batches, "block"):
+        key, doc, component, size = (longs(batch, n) for n in ("block", "doc_id", "component", "n"))
+        starts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        out: list[tuple[int, int]] = []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            sets = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column("folds").slice(a, b - a)]
+            out += _joins(doc[a:b], component[a:b], size[a:b], sets)
+        yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
+
+
+def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose set has the wanted fingerprint, or that want none."""
+    for batch in slices(batches):
+        prints = np.concatenate([sums[0] for *_, sums in _chunks(iter([batch]))]).view(np.int64)
+        fits = pc.fill_null(pc.equal(batch.column("f"), pa.array(prints)), True)
+        yield batch.filter(fits).select(["doc_id", "text"])
+
+
+def _one_set_each(texts: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One set for each id, and the texts that have it. Texts are only joined if some id has different ones."""
+    least = every.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "f", "g", "spare")).alias("kept"), F.max(F.struct("n", "f", "g", "spare")).alias("other"))
+    clash = least.filter("kept <> other").select("doc_id", "kept.f")
+    if clash.limit(1).count():
+        texts = texts.join(clash, "doc_id", "left").select("doc_id", "text", "f").mapInArrow(_with_set, "doc_id long, text string")
+    return texts, written(least.select("doc_id", "kept.*"), "jaccard-documents")
+
+
+_PAIRS = """filter(flatten(transform(docs, (x, i) -> transform(slice(docs, i + 2, size(docs)),
+    y -> struct(x.doc_id AS a, y.doc_id AS b, x.component <> y.component AS apart)))), z -> z.apart)"""
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    finer: dict[int, int] = {}
-    while True:
-        bands = _bands(finer)
-        sets = written(texts.mapInArrow(_profile(bands), "doc_id long, n long, f long, g long, poor int, bins binary"), "jaccard-sets")
-        poor = [r["poor"] for r in sets.filter("poor >= 0").select("poor").distinct().collect()]
-        if not poor:
-            break
-        for k in poor:
-            finer[k] = finer.get(k, 0) + 1
-    classes = sets.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))
-    reps = written(sets.filter("n > 0").select("doc_id", "n", "f", "g").join(classes, ["n", "f", "g"]).select("doc_id", "rep").distinct(), "jaccard-reps")
-
-    indexed = texts.mapInArrow(_index(bands), "signature long, doc_id long").repartition("signature").sortWithinPartitions("signature", "doc_id")
-    found = written(indexed.mapInArrow(_groups, "a long, b long, group long"), "jaccard-groups")
-    packed = packed_texts(texts)
+    every = written(texts.mapInArrow(_profile, "doc_id long, n long, f long, g long, spare array<int>"), "jaccard-sets")
+    texts, sets = _one_set_each(texts, every)
+
+    # equal sets, by two independent fingerprints of every shingle
+    copies = sets.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    copied = sets.filter("n > 0").join(written(copies, "jaccard-classes"), ["n", "f", "g"]).filter("doc_id <> rep").select("doc_id", "rep")
+    copied = written(copied, "jaccard-copies")
+
+    def represented(df: DataFrame) -> DataFrame:
+        return df.join(copied, "doc_id", "left").withColumn("doc_id", F.coalesce("rep", "doc_id")).drop("rep")
+
+    # signatures that several documents hold, rarest first, without those that a document may leave out
+    indexed = texts.mapInArrow(_index, "signature long, doc_id long, slot byte").repartition("signature")
+    several = indexed.withColumn("held", F.count(F.lit(1)).over(W.partitionBy("signature"))).filter("held > 1")
+    spare = sets.select("doc_id", F.posexplode("spare").alias("slot", "spare")).filter("spare > 0").select("doc_id", F.col("slot").cast("byte").alias("slot"), "spare")
+    common_first = W.partitionBy("doc_id", "slot").orderBy(F.desc("held"), F.desc("signature"))
+    chosen = several.withColumn("place", F.row_number().over(common_first)).join(spare, ["doc_id", "slot"], "left").filter("place > coalesce(spare, 0)")
+    keys = written(represented(chosen.select("signature", "doc_id")).distinct(), "jaccard-keys")
+    groups = keys.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), *(F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(38,0)")).alias(f"print{k}") for k in range(2))).filter("size > 1")
+    groups = groups.groupBy("size", "first", "print0", "print1").agg(F.min("signature").alias("signature")).select("signature", "first", "size")
+    members = written(keys.join(groups, "signature"), "jaccard-groups")
+    packed = written(packed_texts(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "jaccard-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("left")), "a")
         both = left.join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("right")), "b")
         return written(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, linked boolean"), name)
 
-    stars = found.filter("group IS NULL").select("a", "b").distinct()
-    stars = stars.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b")
-    stars = stars.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    checked = verified(stars, "jaccard-stars")
-    links = checked.filter("linked").select("a", "b")
+    def open_groups(merged: DataFrame) -> DataFrame:
+        """Members of groups that still hold several components."""
+        placed = members.join(merged.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        still = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("signature")
+        return placed.join(still, "signature")
+
+    stars = verified(members.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-stars")
+    links = stars.filter("linked").select("a", "b")
     merged = connected(links, "jaccard-components")
 
-    placed = reps.join(merged.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    members = found.filter("group IS NOT NULL").select("group", F.col("a").alias("doc_id")).join(placed, "doc_id").select("group", "rep", "component").distinct()
-    several = members.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print")).filter("x <> y")
-    several = several.groupBy("size", "print").agg(F.min("group").alias("group")).select("group")  # of groups of the same documents one
-    split = written(members.join(several, "group"), "jaccard-split")
-    if split.limit(1).count():
-        full = split.join(sets.select(F.col("doc_id").alias("rep"), "n", "bins").dropDuplicates(["rep"]), "rep").select("group", F.col("rep").alias("doc_id"), "component", "n", "bins")
-        across = full.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(_across, "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        across = written(across, "jaccard-across")
-        if across.limit(1).count():
-            links = links.unionByName(verified(across, "jaccard-more").filter("linked").select("a", "b"))
-            merged = connected(links, "jaccard-components")
-
-    out = sets.groupBy("doc_id").agg(F.min("n").alias("n_shingles")).join(reps.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
-    out = out.join(merged.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    few = open_groups(merged).filter(F.col("size") <= SMALL).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("doc_id", "component"))).alias("docs"))
+    pairs = few.select(F.inline(F.expr(_PAIRS))).select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = written(pairs, "jaccard-pairs")
+    if pairs.limit(1).count():
+        links = links.unionByName(verified(pairs, "jaccard-more").filter("linked").select("a", "b"))
+        merged = connected(links, "jaccard-components")
+
+    for salt in range(1, 1000):  # once more only if 32-bit numbers made a link up
+        large = written(open_groups(merged).filter(F.col("size") > SMALL).select("signature", "doc_id", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-large")
+        if not large.limit(1).count():
+            break
+        folds = packed.join(large.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_folds(salt), "doc_id long, n long, folds binary")
+        block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+        dealt = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select(F.xxhash64("signature", F.least("block", "other"), F.greatest("block", "other")).alias("block"), "doc_id", "component").join(folds, "doc_id")
+        found = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks, "a long, b long").distinct()
+        found = verified(written(found, "jaccard-joins"), "jaccard-joined")
+        links = links.unionByName(found.filter("linked").select("a", "b"))
+        merged = connected(links, "jaccard-components")
+        if not found.filter("NOT linked").limit(1).count():
+            break
+
+    out = represented(sets.select("doc_id", F.col("doc_id").alias("own"), "n")).join(merged.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left")
+    out = out.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(every.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempoweave.llm._store import written
-from tempoweave.llm._text import BYTE_CODES, Ranges, chunks, column_bytes, longs, mix, slices, word_codes, words
+from tempoweave.llm._text import Ranges, chunks, column_bytes, longs, mix, slices, word_codes, words
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 20
@@ -63,7 +63,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[np.n
     """Codes of bytes or words, each document's first, and every symbol's start and end byte."""
     if not by_words:
         at = np.arange(len(data) + 1)
-        return BYTE_CODES[data], offsets, at[:-1], at[1:]
+        return data, offsets, at[:-1], at[1:]
     starts, ends, firsts = words(data, offsets)
     return word_codes(data, starts, ends), firsts, starts, ends
 

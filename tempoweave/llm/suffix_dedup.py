@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempoweave.llm._text import BYTE_CODES, Ranges, arrow_batch, column_bytes, longs, mix
+from tempoweave.llm._text import Ranges, arrow_batch, column_bytes, longs, mix
 from tempoweave.llm.passages import Setup, lists, repeated_windows, runs_of, spans, unpacked, whole_groups
 
 
@@ -49,7 +49,7 @@ def _settle(length: int):
             row = np.repeat(np.arange(len(key)), count)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             start = offsets[row] + nth
-            rank = mix(Ranges(BYTE_CODES[data]).of(start, start + length))
+            rank = mix(Ranges(data).of(start, start + length))
             place = lo[row] + nth
             order = np.lexsort((place, doc[row], rank, key[row]))
             k, r = key[row][order], rank[order]

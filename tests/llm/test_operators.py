@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tempoweave.llm import decontaminate, jaccard_join, language, mixing, passages, pii, quality, secrets, url_filter
+from tempoweave.llm import _text, decontaminate, jaccard_join, language, mixing, passages, pii, quality, secrets, url_filter
 from tempoweave.llm.automaton_dedup import SuffixAutomaton, remove_repeated_words
 from tempoweave.llm.components import connected
 from tempoweave.llm.suffix_dedup import remove_repeated_bytes
@@ -64,11 +64,15 @@ def test_jaccard_components(docs, texts, empty):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
-def test_units_never_fall_short():
-    """Any two sets of the similarity share a signature, in every band and plan."""
+@pytest.mark.parametrize("load", [None, 2.6, 4.0, 9.0])
+def test_units_never_fall_short(load, monkeypatch):
+    """Any two sets of the similarity share a signature that neither leaves out, in every band and kind, whatever the order and the number of segments."""
+    if load:
+        monkeypatch.setattr(jaccard_join, "allocation", lambda k: jaccard_join.Band(k, max(1, round((2 << k) / load))))
     rng = np.random.default_rng(5)
-    for size in (1, 2, 3, 5, 9, 20, 40, 90, 200, 700, 3000):
-        for _ in range(12):
+    kinds: dict[int, int] = {}
+    for size in (1, 2, 3, 5, 9, 14, 20, 31, 40, 64, 90, 200, 700, 3000):
+        for _ in range(40 if size < 100 else 8):
             a = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
             drop = rng.integers(0, max(1, len(a) // 4) + 1)
             add = rng.integers(0, max(1, len(a) // 5) + 1)
@@ -76,13 +80,52 @@ def test_units_never_fall_short():
             common = len(np.intersect1d(a, b))
             if not len(b) or 100 * common < 75 * (len(a) + len(b) - common):
                 continue
-            bands = jaccard_join._bands({})
-            doc, shingle = np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[a, b]
-            met = False
-            for _, who, signature, poor in jaccard_join.signatures(doc, shingle, np.array([len(a), len(b)]), bands):
-                assert not len(poor)
-                met |= bool(np.intersect1d(signature[who == 0], signature[who == 1]).size)
-            assert met, (len(a), len(b), common)
+            held: dict[tuple[int, int], tuple[set, int]] = {}
+            for slot, who, signature, sets, spare in jaccard_join.signatures(np.r_[a, b], np.array([len(a), len(b)])):
+                kinds[slot % 3] = kinds.get(slot % 3, 0) + 1
+                for k, more in zip(sets.tolist(), spare.tolist(), strict=True):
+                    held[k, slot] = set(signature[who == k].tolist()), more
+            for order in (1, -1):  # the rarest first: here by number, so that all orders are as good
+                kept = [set(), set()]
+                for (k, _), (codes, more) in held.items():
+                    kept[k] |= set(sorted(codes)[::order][: len(codes) - more])
+                assert kept[0] & kept[1], (len(a), len(b), common)
+    assert load is None or kinds[jaccard_join.NEIGHBOURS] > 20 and (load < 9 or kinds[jaccard_join.SINGLES] > 20)
+
+
+def test_links_are_verified_on_words():
+    """Words that polynomials modulo 2**64 can't tell apart."""
+    thue = ["ab"[bin(k).count("1") & 1] for k in range(1 << 11)]
+    x, y = "".join(thue), "".join("ab"["ba".index(c)] for c in thue)
+    sets = jaccard_join._exact_sets([f"p q r s {x}".encode(), f"p q r s {y}".encode(), f"P q R s {x}".encode(), b"p q", b"", b"p q r s t u p q r s t"])
+    assert [len(z) for z in sets] == [1, 1, 1, 1, 0, 6] and sets[0] != sets[1] and sets[0] == sets[2]
+    data = np.frombuffer((x + " " + y).encode(), np.uint8)
+    assert len(set(_text.word_codes(data, *_text.words(data, np.array([0, len(data)]))[:2]).tolist())) == 2
+
+
+def test_blocks_of_large_groups(spark, monkeypatch):
+    """Near copies of one text that are not all linked with each other, in groups beyond the sizes of pairs and blocks."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(3)
+    base = [rng.choice("abcdefgh") + str(k) for k in range(60)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    out = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute.components(rows)
+    assert got(out, "n_shingles", "component_id") == want and 1 < len({c for _, c in want.values()}) < 60
+
+
+def test_jaccard_of_repeated_and_missing_ids(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, None), (4, text), (4, text), (5, text), (6, text), (6, "one two")]
+    out = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, out.collect()), key=key) == [(4, 3, 4), (5, 3, 4), (6, 1, 6), (None, 0, None), (None, 3, None)]
 
 
 def test_components_of_a_chain(spark):
