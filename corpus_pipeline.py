@@ -2,8 +2,9 @@
 
 Each stage gets the session, the documents that its predecessor kept, and the
 folder of the other tables; it returns documents with the same columns (the
-last one adds `taken`).  Every stage's rows are written as Parquet and read
-again, so a lost executor never costs more than one stage.
+last one adds `taken` and `first_slot`).  Every stage's rows are written as Parquet and read
+again, so a lost executor never costs more than one stage; the tables between
+the stages go as soon as their successor is written.
 
 The results rest on hashes and on a trained order of texts that SQL does not
 have, so ORACLE_SQL is None; tests compare the stages with brute force.
@@ -14,10 +15,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tempoweave.llm._store import shared_folder
-from tempoweave.llm.decontaminate import decontaminate
+from tempoweave.llm._store import drop, shared_folder, written
+from tempoweave.llm.decontaminate import drop_contaminated
 from tempoweave.llm.jaccard_join import similar_documents
 from tempoweave.llm.mixing import mix_sources
 from tempoweave.llm.quality import quality_rules
@@ -30,20 +32,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules(docs, _table(spark, sf_dir, "labels")).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return quality_rules(docs, _table(spark, sf_dir, "labels"), carry=True).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the least id."""
+    """Of each group of documents that links join, the one with the least id.
+
+    Of rows that share an id one stays, the first by their columns; rows without an id are linked with nothing and stay.
+    """
     first = similar_documents(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi")
+    kept = docs.join(first, "doc_id", "left_semi")
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id")))
+        kept = kept.select(place.alias("_place"), F.struct(*docs.columns).alias("_row")).filter("_place = 1").select("_row.*")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    clean = decontaminate(docs, _table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select("doc_id")
-    return docs.join(clean, "doc_id", "left_semi")
+    return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +59,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with the number of these words (repeats counted)."""
-    taken = mix_sources(docs).filter("taken > 0").select("doc_id", "taken")
-    return docs.join(taken, "doc_id")
+    """Documents that the mix takes words of, with the number of these words (repeats counted) and the slot that reads them first.
+
+    Columns `taken` and `first_slot` of the documents are replaced.
+    """
+    docs = docs.drop("taken", "first_slot")
+    return mix_sources(docs, carry=True).filter("taken > 0").select("row.*", "taken", "first_slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -72,10 +82,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = _table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
+    *before, (_, last) = STAGES
+    for k, (_, stage) in enumerate(before):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+        if k:
+            drop(spark, f"{folder}/{k - 1}")
+    out = written(last(spark, docs, sf_dir), "corpus-mix")
+    drop(spark, folder)
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,7 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables."""
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -40,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

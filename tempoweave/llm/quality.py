@@ -13,7 +13,7 @@ labelled documents, those with the least hash of their id, which bounds the
 broadcast list of their ids; the corpus counts cover all documents.
 
 Defined results: a null or empty text has no words and fails the fixed rules;
-repeated rows each get a row; without any trusted label every score is 0; other
+repeated rows and rows without an id each get a row; without any trusted label every score is 0; other
 columns are ignored.
 """
 
@@ -55,7 +55,7 @@ def _once(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
 def gram_weights(docs: DataFrame, labels: DataFrame, *, buckets: int = 8192, trusted: int = 20_000, smoothing: float = 1.0) -> list[float]:
     """The log-likelihood ratio of each bucket, from counts over every document and over the trusted ones."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = least_hashed(good, "doc_id", trusted, labels.count())
+    good = least_hashed(good, "doc_id", trusted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     flagged = texts.join(F.broadcast(good.withColumn("target", F.lit(1))), "doc_id", "left").select("text", "target")
     read = _once(flagged, ["target"], codes=_codes(_words(F.col("text"))))
@@ -70,11 +70,12 @@ def gram_weights(docs: DataFrame, labels: DataFrame, *, buckets: int = 8192, tru
     return [math.log((g + smoothing) / all_good) - math.log((r + smoothing) / all_raw) for g, r in zip(target, raw, strict=True)]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.06, buckets: int = 8192, trusted: int = 20_000) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.06, buckets: int = 8192, trusted: int = 20_000, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score; with carry also `row`, a struct of all columns of docs."""
     # one literal, folded once, instead of an expression for each element
     weights = F.from_json(F.lit(str(gram_weights(docs, labels, buckets=buckets, trusted=trusted))), "array<double>")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    row = ["row"] if carry else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.struct("*").alias(c) for c in row))
     codes, pairs, triples, words = F.col("codes"), F.col("pairs"), F.col("triples"), F.col("words")
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = [
@@ -83,9 +84,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.0
         F.regexp_count(F.col("text"), F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     ]
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    read = _once(texts, ["doc_id", "text"], words=_words(F.col("text")))
-    read = _once(read, ["doc_id", *counts], codes=_codes(words))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", *row]
+    read = _once(texts, ["doc_id", "text", *row], words=_words(F.col("text")))
+    read = _once(read, ["doc_id", *counts, *row], codes=_codes(words))
     read = _once(read, [*names, "codes"], pairs=_pairs(codes))
     weigh = lambda array: F.aggregate(array, F.lit(0.0), lambda s, h: s + F.get(weights, F.pmod(h, F.lit(buckets)).cast("int")))
     score = (weigh(codes) + weigh(pairs)) / F.greatest(F.lit(1), 2 * F.col("n_words") - 1)
@@ -100,4 +101,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.0
     covered = F.aggregate(F.zip_with(F.col("at"), _from(F.col("at"), 2), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda s, x: s + x)
     out = read.select(*names, covered.cast("long").alias("n_repeat_words"), "score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score", *row)
