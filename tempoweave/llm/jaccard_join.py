@@ -374,7 +374,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = keys.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), *(F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(38,0)")).alias(f"print{k}") for k in range(2))).filter("size > 1")
     groups = groups.groupBy("size", "first", "print0", "print1").agg(F.min("signature").alias("signature")).select("signature", "first", "size")
     members = written(keys.join(groups, "signature"), "jaccard-groups")
-    packed = written(packed_texts(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "jaccard-texts")
+    near = written(members.select("doc_id").distinct(), "jaccard-near")
+    packed = written(packed_texts(texts).join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("left")), "a")
