@@ -19,7 +19,8 @@ Sending the automata of the whole corpus to every task would make the work grow
 with the square of the corpus, so shards travel to their key instead.
 
 Defined results: a null or empty text has no words and keeps the empty string;
-rows that share an id are one document's, each row gets the spans of that id;
+rows that share an id are one document, each row gets its spans (if their texts
+differ, the text of the least hash is the document's and the others stay whole);
 rows without an id are never compared; an empty table gives no rows; other
 columns are ignored.
 """

@@ -5,13 +5,15 @@ and 4, a rectifier, the maximum over the window, and a softmax over the
 languages.  A whole text is cut into such windows (the last one padded); its
 probabilities are the means over its windows, weighted by their bytes.
 
-The network is fitted on the driver from a bounded sample: one window of each
-of at most `sample` labelled training documents, those with the least hash of
-their id.  Prediction is one pass over the texts in batches; the first layer is
-applied as table lookups of byte pairs, which gives the same sums.
+The network is fitted on the driver from a bounded sample: all windows of at
+most `sample` labelled training documents, those with the least hash of their
+id (rows without an id last), each document as likely as any other in a step.
+Prediction is one pass over the texts in batches; the first layer is applied as
+table lookups of byte pairs, which gives the same sums.
 
 Defined results: a null text, or one without a letter, is `und` with score 0,
-as is every text if no training document has a language; repeated rows each get
+as is every text if no training document has a language; of languages with
+equal probabilities the first by code point is predicted; repeated rows each get
 a row; a null id is a training row and not held out; other columns are ignored.
 """
 
@@ -45,12 +47,15 @@ class ByteNetwork:
             self.p[f"b{w}"] = np.zeros(FILTERS)
         self.p["e"][0] = 0
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, rounds: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 5) -> ByteNetwork:
+    def fit(self, windows: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 5) -> ByteNetwork:
+        """Adam over batches of random windows of random documents; doc: each window's document, in order; labels: by document."""
         rng = np.random.default_rng(seed)
+        docs, firsts, counts = np.unique(doc, return_index=True, return_counts=True)
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         for step in range(1, rounds + 1):
-            pick = rng.integers(0, len(windows), min(batch, len(windows)))
-            grads = self._gradients(windows[pick], labels[pick])
+            k = rng.integers(0, len(docs), min(batch, len(windows)))
+            pick = firsts[k] + (rng.random(len(k)) * counts[k]).astype(np.int64)
+            grads = self._gradients(windows[pick], labels[docs[k]])
             for k, g in grads.items():
                 m, v = moment[k]
                 m += 0.1 * (g - m)
@@ -142,20 +147,16 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pr
 
 
 def train_language_model(docs: DataFrame, *, sample: int = 3000) -> ByteNetwork | None:
-    """Fits on rows of doc_id, text, lang; of each sampled text one window, at a place that its id decides."""
-    place = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int")
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("piece"), "doc_id")
-    n = docs.filter("lang IS NOT NULL").select("doc_id").count()
-    rows = sorted(least_hashed(rows, "doc_id", sample, n).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["piece"]))
-    rows = [r for r in rows if any(c.isalpha() for c in r["piece"])]
+    """Fits on rows of doc_id, text, lang: on all windows of the sampled texts that have a letter."""
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", "doc_id")
+    rows = sorted(least_hashed(rows, "doc_id", sample).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))
+    rows = [r for r in rows if any(c.isalpha() for c in r["text"])]
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
-    windows = np.zeros((len(rows), WINDOW), np.uint8)
-    for k, r in enumerate(rows):
-        piece = np.frombuffer(r["piece"].encode()[:WINDOW], np.uint8)
-        windows[k, : len(piece)] = piece
-    return ByteNetwork(languages).fit(windows, np.array([languages.index(r["lang"]) for r in rows])).tables()
+    texts = [r["text"].encode() for r in rows]
+    windows, doc, _ = cut(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    return ByteNetwork(languages).fit(windows, doc, np.array([languages.index(r["lang"]) for r in rows])).tables()
 
 
 def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000) -> DataFrame:

@@ -14,8 +14,12 @@ Only anchors with a common gram but different contexts - the ends of copied
 passages - stay open, and their windows are compared one by one, in groups that
 share half of the context as well.  Where more than `most` of them have one
 gram, not their texts but two fingerprints of each window travel, so no task
-has to hold a frequent passage's contexts.  Ranks are 64-bit fingerprints: two
-windows are taken as equal if two independent ones of them agree.
+has to hold a frequent passage's contexts.  Fingerprints are polynomials modulo
+2**61 - 1; two windows are taken as equal if those at two independent random
+bases agree.
+
+A row counts once, however often it is repeated.  Of rows that share an id but
+differ in their text, only the text of the least hash is judged.
 
 Rows of a batch that repeat within the batch are settled there and are spread
 over all tasks, so a passage in a third of all documents does not gather in one.
@@ -59,13 +63,13 @@ class Setup:
         return self.reach // 2
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of bytes or words, each document's first, and every symbol's start and end byte."""
+def symbols(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Two codes of bytes or words, each document's first, and every symbol's start and end byte."""
     if not by_words:
         at = np.arange(len(data) + 1)
-        return data, offsets, at[:-1], at[1:]
+        return (data, data), offsets, at[:-1], at[1:]
     starts, ends, firsts = words(data, offsets)
-    return word_codes(data, starts, ends), firsts, starts, ends
+    return (word_codes(data, starts, ends), word_codes(data, starts, ends, 1)), firsts, starts, ends
 
 
 def _least(a: np.ndarray, width: int) -> np.ndarray:
@@ -77,14 +81,13 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: -(width - s)], a[width - s :]) if s < width else a
 
 
-def anchors(codes: np.ndarray, firsts: np.ndarray, setup: Setup) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors(codes: tuple[np.ndarray, np.ndarray], firsts: np.ndarray, setup: Setup) -> Iterator[tuple[np.ndarray, ...]]:
     """Gram, context, document, first window, last window and anchor, for each run of windows with one anchor."""
     length, reach = setup.length, setup.reach
     doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    for at in range(0, len(codes) - length + 1, _BLOCK):
-        part = codes[at : at + _BLOCK + length - 1]
-        ranges = Ranges(part)
-        grams = mix(ranges.grams(setup.gram))
+    for at in range(0, len(codes[0]) - length + 1, _BLOCK):
+        part, other = (x[at : at + _BLOCK + length - 1] for x in codes)
+        grams, ranges = mix(Ranges(part).grams(setup.gram)), Ranges(other, 1)
         best = _least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), reach)
         anchor = (best & _PLACE).astype(np.int64)
         here = doc[at : at + len(part)]
@@ -98,14 +101,18 @@ def anchors(codes: np.ndarray, firsts: np.ndarray, setup: Setup) -> Iterator[tup
         yield grams[anchor], context, here[lo], lo + at, hi + at, anchor + at
 
 
+def _after_first(new: np.ndarray, doc: np.ndarray, place: np.ndarray, by_words: bool) -> np.ndarray:
+    """Rows of sorted groups that are not at the place of their group's first (by words: in a later document)."""
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return doc > doc[first] if by_words else (doc != doc[first]) | (place != place[first])
+
+
 def _settled(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, lo: np.ndarray, by_words: bool) -> np.ndarray:
     """Rows that repeat an earlier one of the same gram and context."""
     order = np.lexsort((lo, doc, context, gram))
-    g, c, d = gram[order], context[order], doc[order]
+    g, c, d, at = gram[order], context[order], doc[order], lo[order]
     new = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]
-    late = ~new
-    if by_words:  # only another document's counts
-        late = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    late = _after_first(new, d, at, by_words)
     out = np.zeros(len(gram), bool)
     out[order[late]] = True
     return out
@@ -183,7 +190,7 @@ def _compare(setup: Setup):
                     low, high = np.minimum.reduceat(least, np.searchsorted(heads, np.flatnonzero(new))), np.maximum.reduceat(least, np.searchsorted(heads, np.flatnonzero(new)))
                     open_ = ~late & (low != high)[group]
                 else:
-                    late = ~kind
+                    late = _after_first(kind, doc, lo, False)
                     open_ = kind & (np.bincount(group, kind)[group] > 1)
                 out.append((doc[late], lo[late], rest[late] & 0xFFFF))
                 many = np.bincount(group[open_], minlength=group[-1] + 1)[group[open_]] > setup.most
@@ -221,18 +228,17 @@ def lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
 _OPEN = "key long, mate long, doc_id long, lo long, windows int, text binary"
 
 
-def _repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, by_words: bool) -> np.ndarray:
+def repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarray, by_words: bool) -> np.ndarray:
     """Windows, in order of two fingerprints, document and place, that repeat an earlier one."""
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if by_words else ~new
+    return _after_first(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])], doc, place, by_words)
 
 
 def _sent(held: list[tuple[np.ndarray, ...]], by_words: bool) -> pa.RecordBatch:
-    """Single windows under their rank, with the half's key as mate; runs that repeat one of these go anywhere, with a negative number of windows."""
+    """Single windows under their rank, with a second one as mate; runs that repeat one of these go anywhere, with a negative number of windows."""
     rank, key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((place, doc, key, rank))
     rank, key, doc, place = rank[order], key[order], doc[order], place[order]
-    late = _repeats(rank, key, doc, by_words)
+    late = repeats(rank, key, doc, place, by_words)
     d, at = doc[late], place[late]
     order = np.lexsort((at, d))
     d, at = d[order], at[order]
@@ -252,7 +258,7 @@ def _settled_windows(setup: Setup, settle: Callable[[Iterator[pa.RecordBatch]],
             if has_text.false_count:
                 key, mate, doc, lo, count = (longs(batch.filter(pa.compute.invert(has_text)), n) for n in ("key", "mate", "doc_id", "lo", "windows"))
                 done, single = count < 0, np.flatnonzero(count == 0)
-                late = single[_repeats(key[single], mate[single], doc[single], setup.by_words)] if len(single) else single
+                late = single[repeats(key[single], mate[single], doc[single], lo[single], setup.by_words)] if len(single) else single
                 rest = np.r_[-1 - count[done], np.zeros(len(late), np.int64)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[doc[done], doc[late]]), pa.array(np.r_[lo[done], lo[late]]), pa.array(rest)], names=["doc_id", "lo", "rest"])
             if has_text.true_count:
@@ -286,14 +292,14 @@ def _contexts(setup: Setup):
         hi, anchor = lo + (rest & 255), lo + (rest >> 8 & 255)
         fits = hi + setup.length <= firsts[doc + 1]  # else a row with another text under the same id
         doc, lo, hi, anchor, many = doc[fits], lo[fits], hi[fits], anchor[fits], (rest >> 17 & 1 == 1)[fits]
-        ranges = Ranges(codes)
+        ranges, other = Ranges(codes[0]), Ranges(codes[1], 1)
         more = setup.length - setup.gram - setup.half + 1
         left, right = lo <= anchor - setup.half, hi > anchor - setup.half
         a = np.r_[lo[left], np.maximum(lo, anchor - setup.half + 1)[right]]
         b = np.r_[np.minimum(hi, anchor - setup.half)[left], hi[right]]
         key = np.r_[
-            mix(ranges.of(anchor[left] - setup.half, anchor[left] + setup.gram) + np.uint64(1)),
-            mix(ranges.of(anchor[right], anchor[right] + setup.gram + more) + np.uint64(2)),
+            mix(other.of(anchor[left] - setup.half, anchor[left] + setup.gram) + np.uint64(1)),
+            mix(other.of(anchor[right], anchor[right] + setup.gram + more) + np.uint64(2)),
         ]
         d = np.r_[doc[left], doc[right]]
         ids = longs(part, "doc_id")[d]
@@ -302,7 +308,7 @@ def _contexts(setup: Setup):
             count = (b - a + 1)[many]
             row = np.repeat(np.flatnonzero(many), count)
             start = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            held.append((mix(ranges.of(start, start + setup.length)), key[row], ids[row], start - firsts[d[row]]))
+            held.append((mix(ranges.of(start, start + setup.length)), mix(other.of(start, start + setup.length)), ids[row], start - firsts[d[row]]))
             key, ids, d, a, b = (x[~many] for x in (key, ids, d, a, b))
         under = [buffer[s:e] for s, e in zip(starts[a].tolist(), ends[b + setup.length - 1].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), np.int64)), pa.array(ids), pa.array(a - firsts[d]), pa.array((b - a + 1).astype(np.int32)), pa.array(under, pa.binary())], names=["key", "mate", "doc_id", "lo", "windows", "text"])
@@ -315,6 +321,12 @@ def repeated_windows(docs: DataFrame, setup: Setup, settle: Callable[[Iterator[p
 
     docs: doc_id, text.  settle gets batches of open contexts, whole groups of a key in order of doc_id and place, and gives doc_id, lo, rest.
     """
+    code = F.xxhash64(F.coalesce("text", F.lit("")))
+    clash = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(code).alias("least"), F.max(code).alias("most")).filter("least <> most").select("doc_id", "least")
+    clash, rest = written(clash, f"{name}-clash"), None
+    if clash.limit(1).count():
+        docs = docs.join(clash, "doc_id", "left")
+        docs, rest = (docs.filter(c).select("doc_id", "text") for c in (F.col("least").isNull() | (code == F.col("least")), code != F.col("least")))
     first = docs.mapInArrow(_scan(setup), _FIRST).repartition("gram").sortWithinPartitions("gram", "context", "doc_id", "lo")
     found = written(first.mapInArrow(_compare(setup), "doc_id long, lo long, rest int"), name)
     opened = found.filter("rest >= 65536").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "rest")).alias("open"))
@@ -323,7 +335,8 @@ def repeated_windows(docs: DataFrame, setup: Setup, settle: Callable[[Iterator[p
     settled = contexts.repartition("key").sortWithinPartitions("key", "mate", "doc_id", "lo").mapInArrow(_settled_windows(setup, settle), "doc_id long, lo long, rest int")
     runs = found.filter("rest < 65536").select("doc_id", "lo", F.col("rest").bitwiseAND(255).alias("rest")).unionByName(settled)
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "rest")).alias("runs"))
-    return texts.join(runs.hint("shuffle_hash"), "doc_id", "left")
+    out = texts.join(runs.hint("shuffle_hash"), "doc_id", "left")
+    return out if rest is None else out.unionByName(packed_texts(rest).withColumn("runs", F.lit(None).cast(dict(out.dtypes)["runs"])))
 
 
 def spans(lo: np.ndarray, rest: np.ndarray, length: int, size: int) -> list[tuple[int, int]]:

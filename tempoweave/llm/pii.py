@@ -3,16 +3,18 @@
 The CRF is trained on the driver from a small labelled table (`labelled_table`,
 a few dozen sentences) and labels tokens O, or B-/I- of phone (national
 forms), ident (identity numbers) and email (spelled with [at] and [dot]).  It
-is decoded by Viterbi in numpy batches.  A label other than O is only allowed
-in a stretch of tokens around one with a digit, `@` or a bracketed at/dot, so
-tokens further away are O for certain and the stretches are decoded alone.
+is decoded by Viterbi in numpy batches, over the whole token sequence under one
+constraint: a token further than `_BOUND` tokens from any with a digit, `@` or a
+bracketed at/dot is O.  As such tokens have one label, the best path is that of
+each stretch between them, with its true neighbours' features and the moves
+from and to their O.
 
 Spans that the CRF finds are added unless they overlap a span of the patterns;
 the patterns' spans always stay.  Each text is handled alone and whole, with
 nothing shuffled.
 
-Defined results: a null or empty text has no spans; repeated rows each get a
-row; other columns are ignored; offsets are code points, ends exclusive.
+Defined results: a null or empty text has no spans; repeated rows and rows
+without an id each get a row; other columns are ignored; offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -142,10 +144,9 @@ def labelled_table() -> list[tuple[list[str], list[int]]]:
 
 
 def shape(token: str) -> str:
-    """The word's shape: digits d (kept one by one up to 12), runs of letters x or X, other signs as they are."""
-    s = re.sub(r"[0-9]", "d", token[:24])
-    s = re.sub(r"[^\W\d_]+", lambda m: ("X" if m[0][0].isupper() else "x") if m[0] not in ("d",) and m[0].strip("d") else m[0], s)
-    return s[:14]
+    """The word's shape: digits d, runs of letters (with digits among them) x or X, other signs as they are."""
+    s = re.sub(r"[0-9]", "d", token)
+    return re.sub(r"[^\W\d_]+", lambda m: ("X" if m[0][0].isupper() else "x") if m[0].strip("d") else m[0], s)
 
 
 class _Features:
@@ -156,15 +157,15 @@ class _Features:
         self.frozen = False
         self.own: dict[str, tuple[str, str]] = {}
 
-    def of(self, tokens: list[str]) -> list[list[int]]:
-        seen = ["^", *tokens, "$"]
+    def of(self, tokens: list[str], before: str = "^", after: str = "$") -> list[list[int]]:
+        seen = [before, *tokens, after]
         marks = []
         for t in seen:
             got = self.own.get(t)
             if got is None:
                 low = t.lower().strip(".,:;")
                 got = (shape(t.rstrip(".,;")), low if low in _CUES else "-")
-                if len(self.own) < 50_000:
+                if len(self.own) < 50_000 and len(t) < 64:
                     self.own[t] = got
             marks.append(got)
         out = []
@@ -235,29 +236,34 @@ class ChainCrf:
             self.move += rate * dm / np.sqrt(g2 + 1e-8)
         return self
 
-    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """The best labels of each sequence, by Viterbi over batches of sequences of about the same length."""
+    def decode(self, sequences: list[list[str]], around: list[tuple[str | None, str | None]] | None = None) -> list[np.ndarray]:
+        """The best labels of each sequence, by Viterbi over batches of sequences of about the same length.
+
+        around: the tokens before and after each sequence, whose label is O; None where the text begins or ends.
+        """
+        around = around or [(None, None)] * len(sequences)
         out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        order = [i for i in sorted(range(len(sequences)), key=lambda i: len(sequences[i])) if sequences[i]]
         k, move = len(LABELS), self.move + self._barred()
-        for at in range(0, len(order), 256):
-            group = order[at : at + 256]
-            t = len(sequences[group[-1]])
-            e = np.zeros((len(group), t, k))
+        while order:
+            size = max(1, sum(len(sequences[order[-1 - x]]) * (x + 1) <= 200_000 for x in range(min(256, len(order)))))
+            group, order = order[-size:], order[:-size]
             length = np.array([len(sequences[i]) for i in group])
+            t = int(length.max())
+            e = np.zeros((len(group), t, k))
+            inside = np.zeros((len(group), 2), bool)
             for s, i in enumerate(group):
-                rows = self.features.of(sequences[i])
-                for p, row in enumerate(rows):
+                before, after = around[i]
+                inside[s] = before is not None, after is not None
+                for p, row in enumerate(self.features.of(sequences[i], before or "^", after or "$")):
                     e[s, p] = self.emit[row].sum(0)
-            if t == 0:
-                continue
-            best, back = e[:, 0] + self._barred()[0], np.zeros((len(group), t, k), int)
+            best, back = e[:, 0] + np.where(inside[:, :1], move[0], self._barred()[0]), np.zeros((len(group), t, k), np.int8)
             for p in range(1, t):
                 scores = best[:, :, None] + move
                 on = p < length
                 back[:, p] = np.where(on[:, None], scores.argmax(1), np.arange(k))
                 best = np.where(on[:, None], scores.max(1) + e[:, p], best)
-            label = best.argmax(1)
+            label = (best + np.where(inside[:, 1:], move[:, 0], 0.0)).argmax(1)
             path = np.zeros((len(group), t), int)
             for p in range(t - 1, -1, -1):
                 path[:, p] = label
@@ -272,47 +278,48 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
 
 
-def _stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around every token that could carry a label, as separate stretches."""
+def _stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], tuple[int, int] | None, tuple[int, int] | None]]:
+    """The spans of tokens near one that could carry a label, as separate stretches, each with its neighbours'."""
     spots = [m.start() for m in _MAYBE.finditer(text)]
-    out: list[list[tuple[int, int]]] = []
-    done = 0
-    for spot in spots:
-        if spot < done:
-            continue
-        # tokens before the spot, by walking back over blanks
-        start, count = spot, 0
-        floor = max(done, spot - 400)
-        while start > floor:
-            if text[start - 1].isspace() and not text[start].isspace():
-                count += 1
-                if count > _BOUND:
-                    break
-            start -= 1
-        tokens, last = [], None
-        for m in _TOKEN.finditer(text, start):
-            tokens.append(m.span())
-            if m.end() - m.start() > 4000 or _MAYBE.search(text, m.start(), m.end()):
-                last = len(tokens)
-            if last is not None and len(tokens) - last >= _BOUND or len(tokens) >= 2000:
-                break
-        done = max(spot + 1, tokens[-1][1] if tokens else 0)
-        out.append(tokens)
-    return out
+    held: list[tuple[int, int]] = []  # the stretch and what follows it, or the last tokens before one
+    nth, last, spot = -1, None, 0  # last: the place in held of the last token with a spot
+
+    def ended() -> tuple[list[tuple[int, int]], tuple[int, int] | None, tuple[int, int] | None]:
+        first = 1 if nth >= 0 else 0  # held[0] is the neighbour before
+        end = last + 1 + _BOUND
+        return held[first:end], held[0] if first else None, held[end] if end < len(held) else None
+
+    for m in _TOKEN.finditer(text):
+        if last is None and spot == len(spots):
+            break
+        if last is not None and len(held) - last > 2 * _BOUND + 1:
+            yield ended()
+            held, last, nth = held[-_BOUND - 1 :], None, 0
+            if spot == len(spots):
+                return
+        held.append(m.span())
+        if spot < len(spots) and spots[spot] < m.end():
+            last = len(held) - 1
+            while spot < len(spots) and spots[spot] < m.end():
+                spot += 1
+        elif last is None and len(held) > _BOUND + 1:
+            held, nth = held[1:], 0
+    if last is not None:
+        yield ended()
 
 
 _TRIM = ".,;:!?"
 
 
 def find_added(model: ChainCrf, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-    where, sequences = [], []
+    where, sequences, around = [], [], []
     for d, text in enumerate(texts):
-        if text:
-            for tokens in _stretches(text):
-                where.append((d, tokens))
-                sequences.append([text[a : min(b, a + 64)] for a, b in tokens])
+        for tokens, *beside in _stretches(text):
+            where.append((d, tokens))
+            sequences.append([text[a:b] for a, b in tokens])
+            around.append(tuple(s and text[slice(*s)] for s in beside))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (d, tokens), path in zip(where, model.decode(sequences), strict=True):
+    for (d, tokens), path in zip(where, model.decode(sequences, around), strict=True):
         p = 0
         while p < len(path):
             if path[p] == 0:

@@ -15,7 +15,8 @@ Spark sorts positions by rank twice; nothing is ranked anew by a sort:
    ones leave, and the ranks at `length` bytes decide window by window.
 
 Defined results: a null or empty text has no bytes and keeps the empty string;
-rows that share an id are one document's, each row gets the spans of that id;
+rows that share an id are one document, each row gets its spans (if their texts
+differ, the text of the least hash is the document's and the others stay whole);
 rows without an id are never compared; an empty table gives no rows; other
 columns are ignored.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempoweave.llm._text import Ranges, arrow_batch, column_bytes, longs, mix
-from tempoweave.llm.passages import Setup, lists, repeated_windows, runs_of, spans, unpacked, whole_groups
+from tempoweave.llm.passages import Setup, lists, repeated_windows, repeats, runs_of, spans, unpacked, whole_groups
 
 
 def _settle(length: int):
@@ -54,7 +55,7 @@ def _settle(length: int):
             order = np.lexsort((place, doc[row], rank, key[row]))
             k, r = key[row][order], rank[order]
             late = np.zeros(len(row), bool)
-            late[order[1:][(k[1:] == k[:-1]) & (r[1:] == r[:-1])]] = True
+            late[order[repeats(k, r, doc[row][order], place[order], False)]] = True
             at, first, more = runs_of(late, row, place)
             yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(first), pa.array(more.astype(np.int32))], names=["doc_id", "lo", "rest"])
 

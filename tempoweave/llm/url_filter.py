@@ -12,11 +12,13 @@ every host of the corpus, the answer is exact for each of them: the first
 level that does not hold a host decides by its parity.
 
 Levels are built by the executors (words of bits, or-ed by word) and only their
-bits reach the driver.  They are sent out if all levels together stay within
-`max_bytes`; beyond that the list is joined instead, with the same result.
+bits reach the driver.  What is sent out at once stays within `shard_bytes`:
+more hosts are parted by their hash into shards, each with a cascade of its own,
+and the pages pass one shard's cascade after the other.
 
 Defined results: a null url, or one without `://`, has an empty host and path,
-no rule and the empty host's verdict; repeated pages each get a row; empty
+no rule and the empty host's verdict; repeated pages and
+pages without an id each get a row; empty
 tables give no rows; other columns are ignored.
 """
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +98,8 @@ def _keys(host: Column) -> tuple[Column, Column]:
     return F.xxhash64(host).alias("a"), F.xxhash64(host, F.lit("second")).alias("b")
 
 
-def build_cascade(universe: DataFrame, *, max_bytes: int = 64 << 20, max_levels: int = 60) -> Cascade | None:
-    """The cascade of a table (a, b: two hashes of a key; listed: boolean) with a row for every key; None if it would be too large."""
+def build_cascade(universe: DataFrame, *, max_levels: int = 60) -> Cascade:
+    """The cascade of a table (a, b: two hashes of a key; listed: boolean) with a row for every key."""
     cascade = Cascade()
     for level in range(max_levels):
         now = Cascade(list(cascade.levels))
@@ -112,8 +115,6 @@ def build_cascade(universe: DataFrame, *, max_bytes: int = 64 << 20, max_levels:
         if not count:
             return cascade
         size = max(64, -(-count * BITS_PER_KEY // 64) * 64)
-        if sum(len(x) * 8 for x in cascade.levels) + size // 8 > max_bytes:
-            return None
 
         def marks(batches: Iterator[pa.RecordBatch], level: int = level, size: int = size) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -124,33 +125,35 @@ def build_cascade(universe: DataFrame, *, max_bytes: int = 64 << 20, max_levels:
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
         words = np.zeros(size // 64, np.uint64)
-        for row in keys.mapInArrow(marks, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toLocalIterator():
-            words[row["word"]] = np.int64(row["bits"]).astype(np.uint64)
+        held = keys.mapInArrow(marks, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+        words[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
         cascade.levels.append(words)
     raise ValueError("two keys of different classes have the same hashes")
 
 
-def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bytes: int = 64 << 20) -> DataFrame:
+def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, shard_bytes: int = 16 << 20) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict (allow or block)."""
     host, path = split_url(F.col("url"))
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     read = read.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
     universe = written(read.groupBy("host").agg(F.max(F.coalesce(F.col("fits.verdict") == "block", F.lit(False))).alias("listed")).select("host", *_keys(F.col("host")), "listed"), "url-hosts")
-    cascade = build_cascade(universe, max_bytes=max_bytes)
-    own = F.col("fits.rule").alias("rule"), F.col("fits.verdict").alias("ruled")
-    if cascade is None:
-        judged = read.join(universe.select("host", "listed"), "host").select("page_id", "host", "path", *own, "listed")
-    else:
+    # all levels of a shard have fewer than twice the bits of a filter of all its hosts
+    shards = max(1, -(-universe.count() * BITS_PER_KEY // 4 // shard_bytes))
+    asked = read.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.col("fits.verdict").alias("ruled"), *_keys(F.col("host")), F.lit(None).cast("boolean").alias("listed"))
+    for shard in range(shards):
+        cascade = build_cascade(universe.filter(F.pmod("b", F.lit(shards)) == shard))
 
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ask(batches: Iterator[pa.RecordBatch], cascade: Cascade = cascade, shard: int = shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                listed = cascade.listed(longs(batch, "a").view(np.uint64), longs(batch, "b").view(np.uint64))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(listed)], names=[*batch.schema.names[:-2], "listed"])
-
-        asked = read.select("page_id", "host", "path", *own, *_keys(F.col("host")))
-        kind = dict(asked.dtypes)["page_id"]
-        judged = asked.mapInArrow(ask, f"page_id {kind}, host string, path string, rule string, ruled string, listed boolean")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce(F.col("ruled"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+                a, b = longs(batch, "a").view(np.uint64), longs(batch, "b").view(np.uint64)
+                own = longs(batch, "b") % shards == shard
+                listed = pc.if_else(pa.array(own), pa.array(cascade.listed(a, b)), batch.column("listed"))
+                yield batch.set_column(batch.num_columns - 1, "listed", listed)
+
+        asked = asked.mapInArrow(ask, asked.schema)
+        if shard + 1 < shards:
+            asked = written(asked, "url-asked")
+    return asked.select("page_id", "host", "path", "rule", F.coalesce(F.col("ruled"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 ORACLE = """
