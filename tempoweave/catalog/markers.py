@@ -113,8 +113,8 @@ def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 ENDS_SQL = f"""WITH {MARKERS_SQL}, r AS (SELECT subject, min(t) AS lo, max(t) AS hi, count(*) AS n FROM mk WHERE device = 'view' GROUP BY ALL), v AS (SELECT subject, min(t) AS lo, max(t) AS hi, count(*) AS n FROM mk WHERE device = 'click' GROUP BY ALL),
-b AS (SELECT r.subject, r.lo AS rlo, r.hi AS rhi, v.lo AS vlo, v.hi AS vhi, r.n >= 2 AND v.n >= 2 AS ok FROM r JOIN v ON r.subject = v.subject),
-s AS (SELECT *, CASE WHEN NOT ok OR vhi = vlo THEN 1.0 ELSE (rhi - rlo) / (vhi - vlo) END AS scale FROM b),
+be AS (SELECT r.subject, r.lo AS rlo, r.hi AS rhi, v.lo AS vlo, v.hi AS vhi, r.n >= 2 AND v.n >= 2 AS ok FROM r JOIN v ON r.subject = v.subject),
+s AS (SELECT *, CASE WHEN NOT ok OR vhi = vlo THEN 1.0 ELSE (rhi - rlo) / (vhi - vlo) END AS scale FROM be),
 dr AS (SELECT subject, CASE WHEN ok THEN rlo - scale * vlo ELSE 0.0 END AS "offset", scale, CASE WHEN ok AND rhi > rlo THEN 1.0 ELSE 0.0 END AS r_squared, CASE WHEN ok THEN 2 ELSE 0 END AS n_matches FROM s)"""
 
 
@@ -131,11 +131,21 @@ def drift_apply(spark: SparkSession, d: str) -> DataFrame:
     return both.select("subject", F.round("t", 6).alias("t"), F.round(drift.corrected(t, o, s), 4).alias("reference_t"), F.round(drift.corrected(t, o, s, convention="forward"), 4).alias("forward_t"), F.round(drift.device_time(t, o, s), 4).alias("device_t"))
 
 
+#: The optimal assignment as a program over lists: best costs by number of the longer series' events, then back through the choices.
+ASSIGN_SQL = f"""WITH RECURSIVE {MARKERS_SQL}, a AS (SELECT subject, t FROM mk WHERE device = 'view'), b AS (SELECT subject, t FROM mk WHERE device = 'click'),
+la AS (SELECT subject, list(t ORDER BY t) AS a FROM a GROUP BY subject), lb AS (SELECT subject, list(t ORDER BY t) AS b FROM b GROUP BY subject), ab AS (SELECT la.subject, la.a, lb.b FROM la JOIN lb ON la.subject = lb.subject),
+z AS (SELECT subject, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS x, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS y, len(a) > len(b) AS flip FROM ab),
+dp AS (SELECT subject, 0 AS i, [0.0::DOUBLE for k in range(len(y) + 1)] AS best, []::BIGINT[][] AS choice, x, y, flip FROM z
+  UNION ALL SELECT subject, i + 1, list_concat(['inf'::DOUBLE], least_), list_append(choice, [list_position(pair, v)::BIGINT for v in least_]), x, y, flip FROM
+    (SELECT *, [list_min(pair[1:k]) for k in range(1, len(y) + 1)] AS least_ FROM (SELECT *, [best[k] + abs(x[i + 1] - y[k]) for k in range(1, len(y) + 1)] AS pair FROM dp WHERE i < len(x)))),
+bk AS (SELECT subject, len(x)::BIGINT AS i, choice[len(x)][len(y)] AS j, choice, x, y, flip FROM dp WHERE i = len(x) UNION ALL SELECT subject, i - 1, choice[i - 1][j - 1], choice, x, y, flip FROM bk WHERE i > 1),
+hp AS (SELECT subject, CASE WHEN flip THEN j ELSE i END - 1 AS i, CASE WHEN flip THEN i ELSE j END - 1 AS j, CASE WHEN flip THEN y[j] ELSE x[i] END AS ta, CASE WHEN flip THEN x[i] ELSE y[j] END AS tb FROM bk)"""
+NEAR_SQL = f"exp(-((ta - tb) * (ta - tb)) / (2 * {SIGMA} * {SIGMA}))"
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Events of both devices paired by place, as many as the shorter series has."""
-    nth = F.row_number().over(W.partitionBy("subject").orderBy("t"))
-    ref, dev = (x.select("subject", F.col("t").alias(n), nth.alias("i")) for x, n in zip(_two(spark, d), ("ref", "dev"), strict=True))
-    return ref.join(dev, ["subject", "i"])
+    """Events of both devices paired by the optimal assignment."""
+    return matching.match_events(*_two(spark, d), ["subject"], band=float("inf")).select("subject", "i", F.col("t_left").alias("ref"), F.col("t_right").alias("dev"))
 
 
 def _slope_sql(name: str, source: str) -> str:
@@ -151,15 +161,25 @@ c{k} AS (SELECT subject, i, ref, dev FROM w{k} WHERE mid > 0 AND near >= 5 AND o
 l{k + 1} AS (SELECT {b}.subject, coalesce(t{k}.scale, {b}.scale) AS scale, coalesce(t{k}.o, {b}.o) AS o FROM {b} LEFT JOIN t{k} ON t{k}.subject = {b}.subject)"""
 
 
-@C.query(f"""WITH {MARKERS_SQL}, a AS (SELECT subject, t AS ref, row_number() OVER (PARTITION BY subject ORDER BY t) AS i FROM mk WHERE device = 'view'), b AS (SELECT subject, t AS dev, row_number() OVER (PARTITION BY subject ORDER BY t) AS i FROM mk WHERE device = 'click'),
-p0 AS (SELECT a.subject, a.i, ref, dev FROM a JOIN b ON a.subject = b.subject AND a.i = b.i), p AS (SELECT * FROM p0 WHERE subject IN (SELECT subject FROM p0 GROUP BY subject HAVING count(*) >= 5)),
-{_slope_sql("l0", "p")}, {_round_sql(0)}, {_round_sql(1)}
-SELECT p.subject, round(any_value(l2.o), 3) AS "offset", round(any_value(l2.scale), 7) AS scale, round(CASE WHEN var_pop(ref) > 0 THEN greatest(0.0, 1 - var_pop(ref - (l2.scale * dev + l2.o)) / var_pop(ref)) ELSE 0.0 END, 6) AS r_squared, count(*) AS n_matches
-FROM p JOIN l2 ON l2.subject = p.subject GROUP BY p.subject""")
+LINE_SQL = f"""{ASSIGN_SQL}, p0 AS (SELECT subject, i, ta AS ref, tb AS dev FROM hp), p AS (SELECT * FROM p0 WHERE subject IN (SELECT subject FROM p0 GROUP BY subject HAVING count(*) >= 5)),
+{_slope_sql("l0", "p")}, {_round_sql(0)}, {_round_sql(1)},
+th AS (SELECT p.subject, any_value(l2.o) AS o, any_value(l2.scale) AS scale, CASE WHEN var_pop(ref) > 0 THEN greatest(0.0, 1 - var_pop(ref - (l2.scale * dev + l2.o)) / var_pop(ref)) ELSE 0.0 END AS r_squared, count(*) AS n_matches
+FROM p JOIN l2 ON l2.subject = p.subject GROUP BY p.subject)"""
+
+
+@C.query(LINE_SQL + ' SELECT subject, round(o, 3) AS "offset", round(scale, 7) AS scale, round(r_squared, 6) AS r_squared, n_matches FROM th')
 def drift_theil_sen(spark: SparkSession, d: str) -> DataFrame:
     return drift.drift_theil_sen(_pairs(spark, d), ["subject"]).select("subject", F.round("offset", 3).alias("offset"), F.round("scale", 7).alias("scale"), F.round("r_squared", 6).alias("r_squared"), "n_matches")
 
 
+@C.query(LINE_SQL + ENDS_SQL.removeprefix(f"WITH {MARKERS_SQL}") + """ SELECT dr.subject, round(CASE WHEN th.subject IS NULL THEN dr."offset" ELSE th.o END, 3)::DOUBLE AS "offset", round(CASE WHEN th.subject IS NULL THEN dr.scale ELSE th.scale END, 7)::DOUBLE AS scale,
+CASE WHEN th.subject IS NULL THEN 'endpoints' ELSE 'theil_sen' END AS method, coalesce(th.n_matches, dr.n_matches)::BIGINT AS n_matches FROM dr LEFT JOIN th ON th.subject = dr.subject""")
+def drift_of_devices(spark: SparkSession, d: str) -> DataFrame:
+    """The robust line where there are pairs enough, else the line through the end points."""
+    out = matching.device_drift(*_two(spark, d), ["subject"], method="theil_sen")
+    return out.select("subject", F.round("offset", 3).alias("offset"), F.round("scale", 7).alias("scale"), "method", "n_matches")
+
+
 # ---------------------------------------------------------------- matching
 
 PAIR_SQL = f"WITH {MARKERS_SQL}, a AS (SELECT subject, t FROM mk WHERE device = 'view'), b AS (SELECT subject, t FROM mk WHERE device = 'click')"
@@ -176,47 +196,89 @@ def match_cost_matrix(spark: SparkSession, d: str) -> DataFrame:
     return matching.cost_matrix(*_two(spark, d), ["subject"]).select("subject", F.round("t_left", 6).alias("t_left"), F.round("t_right", 6).alias("t_right"), F.round("cost", 4).alias("cost"))
 
 
-@C.query(f"""{PAIR_SQL}, x AS (SELECT subject, t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY subject) AS n FROM a WINDOW w AS (PARTITION BY subject ORDER BY t)), y AS (SELECT subject, t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY subject) AS n FROM b WINDOW w AS (PARTITION BY subject ORDER BY t))
-SELECT x.subject, x.i, round(x.t, 6) AS t_left, round(y.t, 6) AS t_right, round(exp(-((x.t - y.t) * (x.t - y.t)) / (2 * {SIGMA} * {SIGMA})), 6) AS confidence FROM x JOIN y ON x.subject = y.subject AND x.i = y.i AND x.n = y.n WHERE abs(x.t - y.t) <= {BAND}""")
+def _first_events(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Of both devices as many first events as the shorter series has."""
+    two = _two(spark, d)
+    least = two[0].groupBy("subject").count().join(two[1].groupBy("subject").agg(F.count(F.lit(1)).alias("other")), "subject").select("subject", F.least("count", "other").alias("n"))
+    nth = F.row_number().over(W.partitionBy("subject").orderBy("t"))
+    return [x.withColumn("nth", nth).join(least, "subject").filter("nth <= n").select("subject", "t") for x in two]
+
+
+@C.query(f"""{PAIR_SQL}, x AS (SELECT subject, t AS ta, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS i FROM a), y AS (SELECT subject, t AS tb, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS i FROM b)
+SELECT x.subject, x.i, round(ta, 6) AS t_left, round(tb, 6) AS t_right, round({NEAR_SQL}, 6) AS confidence FROM x JOIN y ON x.subject = y.subject AND x.i = y.i WHERE abs(ta - tb) <= {BAND}""")
 def match_zip_equal_n(spark: SparkSession, d: str) -> DataFrame:
-    out = matching.match_in_order(*_two(spark, d), ["subject"], sigma=SIGMA, band=BAND)
+    out = matching.match_in_order(*_first_events(spark, d), ["subject"], sigma=SIGMA, band=BAND)
     return out.select("subject", "i", *(F.round(c, 6).alias(c) for c in ("t_left", "t_right", "confidence")))
 
 
 def _matched(method: str, scale: float = 1.0):
     def run(spark: SparkSession, d: str) -> DataFrame:
         ref, dev = (x.withColumn("t", F.col("t") / scale) for x in _two(spark, d))
-        return matching.match_events(ref, dev, ["subject"], method=method, sigma=SIGMA / scale, band=BAND / scale)
+        out = matching.match_events(ref, dev, ["subject"], method=method, sigma=SIGMA / scale, band=BAND / scale)
+        return out.select("subject", "i", "j", *(F.round(c, 5).alias(c) for c in ("t_left", "t_right", "confidence")))
 
     return run
 
 
-@C.query()
+MATCH_SQL = "round(ta, 5) AS t_left, round(tb, 5) AS t_right"
+
+
+@C.query(f"{ASSIGN_SQL} SELECT subject, i, j, {MATCH_SQL}, round({NEAR_SQL}, 5) AS confidence FROM hp WHERE abs(ta - tb) <= {BAND}")
 def match_hungarian(spark: SparkSession, d: str) -> DataFrame:
     return _matched("hungarian")(spark, d)
 
 
-@C.query()
+@C.query(f"""{ASSIGN_SQL}, fl AS (SELECT subject, a AS x, b AS y, ({int(BAND * 1000)}::BIGINT) * (least(len(a), len(b)) + 1) + 1 AS worth FROM ab),
+fd AS (SELECT subject, 0 AS i, [[0::BIGINT for k in range(len(y) + 1)]] AS rows_, x, y, worth FROM fl
+  UNION ALL SELECT subject, i + 1, list_append(rows_, [list_max(top[1:k]) for k in range(1, len(y) + 2)]), x, y, worth FROM
+    (SELECT *, list_concat([0::BIGINT], [greatest(rows_[i + 1][k + 1], CASE WHEN abs(x[i + 1] - y[k]) <= {BAND} THEN rows_[i + 1][k] + worth - CAST(trunc(abs(x[i + 1] - y[k]) * 1000) AS BIGINT) ELSE -1 END) for k in range(1, len(y) + 1)]) AS top FROM fd WHERE i < len(x))),
+fw AS (SELECT subject, len(x)::BIGINT AS i, len(y)::BIGINT AS j, false AS hit, rows_, x, y FROM fd WHERE i = len(x)
+  UNION ALL SELECT subject, CASE WHEN left_ THEN i ELSE i - 1 END, CASE WHEN left_ OR rows_[i + 1][j + 1] > rows_[i][j + 1] THEN j - 1 ELSE j END, NOT left_ AND rows_[i + 1][j + 1] > rows_[i][j + 1], rows_, x, y
+    FROM (SELECT *, rows_[i + 1][j + 1] = rows_[i + 1][j] AS left_ FROM fw WHERE i > 0 AND j > 0)),
+fp AS (SELECT subject, i, j, x[i + 1] AS ta, y[j + 1] AS tb FROM fw WHERE hit)
+SELECT subject, i, j, {MATCH_SQL}, round({NEAR_SQL}, 5) AS confidence FROM fp""")
 def match_min_cost_flow(spark: SparkSession, d: str) -> DataFrame:
     return _matched("min_cost_flow")(spark, d)
 
 
-@C.query()
+@C.query(f"""{ASSIGN_SQL}, sk AS (SELECT subject, 0 AS n, [t / {4 * HOUR} for t in a] AS x, [t / {4 * HOUR} for t in b] AS y, [1.0::DOUBLE for t in a] AS u, [1.0::DOUBLE for t in b] AS v FROM ab
+  UNION ALL SELECT subject, n + 1, x, y, u2, [1 / (list_sum([exp(-abs(x[i] - y[j]) / 0.1) * u2[i] for i in range(1, len(x) + 1)]) + 1e-16) for j in range(1, len(y) + 1)] FROM
+    (SELECT *, [1 / (list_sum([exp(-abs(x[i] - y[j]) / 0.1) * v[j] for j in range(1, len(y) + 1)]) + 1e-16) for i in range(1, len(x) + 1)] AS u2 FROM sk WHERE n < 100)),
+si AS (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM sk WHERE n = 100), sj AS (SELECT *, unnest(range(1, len(y) + 1)) AS j FROM si),
+sp AS (SELECT subject, i - 1 AS i, j - 1 AS j, x[i] AS ta, y[j] AS tb, u[i] * exp(-abs(x[i] - y[j]) / 0.1) * v[j] AS plan FROM sj)
+SELECT subject, i, j, {MATCH_SQL}, round(plan, 5) AS confidence FROM sp WHERE plan > 0.1 AND abs(ta - tb) <= {BAND / (4 * HOUR)}""")
 def match_sinkhorn(spark: SparkSession, d: str) -> DataFrame:
     return _matched("sinkhorn", 4 * HOUR)(spark, d)
 
 
-@C.query(f"""WITH {MARKERS_SQL}, a AS (SELECT subject, t, row_number() OVER (PARTITION BY subject ORDER BY t) AS i, count(*) OVER (PARTITION BY subject) AS n FROM mk WHERE device = 'view'), b AS (SELECT subject, t, row_number() OVER (PARTITION BY subject ORDER BY t) AS i, count(*) OVER (PARTITION BY subject) AS n FROM mk WHERE device = 'click'),
-j AS (SELECT a.subject, a.t AS ta, b.t AS tb, exp(-((a.t - b.t) * (a.t - b.t)) / (2 * {SIGMA} * {SIGMA})) AS w FROM a JOIN b ON a.subject = b.subject AND a.i = b.i AND a.n = b.n)
-SELECT subject, round(CASE WHEN abs(ta - tb) <= {BAND} THEN (ta + tb * w) / (1 + w) ELSE ta END, 4) AS cons_t, round(CASE WHEN abs(ta - tb) <= {BAND} THEN 1 + w ELSE 1.0 END, 6) AS confidence FROM j
-UNION ALL SELECT subject, round(tb, 4), 1.0 FROM j WHERE abs(ta - tb) > {BAND}""")
+TWO_SQL = f"""{ASSIGN_SQL}, mt AS (SELECT subject, ta, tb, {NEAR_SQL} AS w FROM hp WHERE abs(ta - tb) <= {BAND}),
+tl0 AS (SELECT subject, (ta + tb * w) / (1 + w) AS cons_t, 1 + w AS confidence, ta, tb, w FROM mt UNION ALL SELECT a.subject, a.t, 1.0, a.t, NULL, NULL FROM a JOIN ab ON ab.subject = a.subject ANTI JOIN mt ON mt.subject = a.subject AND mt.ta = a.t
+  UNION ALL SELECT b.subject, b.t, 1.0, NULL, b.t, 1.0 FROM b JOIN ab ON ab.subject = b.subject ANTI JOIN mt ON mt.subject = b.subject AND mt.tb = b.t),
+tl AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY cons_t) - 1 AS cons_id FROM tl0)"""
+
+
+def _two_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return matching.consensus_timeline(markers(spark, d), ["subject"], ["view", "click"], sigma=SIGMA, band=BAND, drift=None)
+
+
+@C.query(TWO_SQL + " SELECT subject, cons_id, round(cons_t, 4) AS cons_t, round(confidence, 6) AS confidence FROM tl")
 def timeline_two_devices(spark: SparkSession, d: str) -> DataFrame:
-    """The consensus of two devices with as many events as each other."""
-    ref, dev = _two(spark, d)
-    equal = ref.groupBy("subject").count().join(dev.groupBy("subject").count(), ["subject", "count"], "left_semi").select("subject")
-    both = markers(spark, d).join(equal, "subject", "left_semi")
-    out = matching.consensus_timeline(both, ["subject"], ["view", "click"], sigma=SIGMA, band=BAND, drift=None).filter("device = 'view'")
-    return out.select("subject", F.round("cons_t", 4).alias("cons_t"), F.round("confidence", 6).alias("confidence"))
+    """The consensus of two devices: matched events averaged by their weights, the others appended."""
+    return _two_timeline(spark, d).filter("device = 'view'").select("subject", "cons_id", F.round("cons_t", 4).alias("cons_t"), F.round("confidence", 6).alias("confidence"))
+
+
+@C.query(TWO_SQL + """ SELECT subject, cons_id, round(cons_t, 4) AS consensus_time, round(confidence, 6) AS consensus_confidence, round(ta, 4) AS view_time, round(CASE WHEN ta IS NULL THEN 0.0 ELSE 1.0 END, 6)::DOUBLE AS view_weight,
+round(tb, 4) AS click_time, round(coalesce(w, 0.0), 6) AS click_weight FROM tl""")
+def timeline_wide_pivot(spark: SparkSession, d: str) -> DataFrame:
+    wide = matching.wide_timeline(_two_timeline(spark, d), ["subject"], ["view", "click"])
+    numbers = {"consensus_time": 4, "consensus_confidence": 6, "view_time": 4, "view_weight": 6, "click_time": 4, "click_weight": 6}
+    return wide.select("subject", "cons_id", *(F.round(c, k).alias(c) for c, k in numbers.items()))
+
+
+@C.query(TWO_SQL + " SELECT subject, count(*) AS n_consensus_events, 2::BIGINT AS n_devices, round(min(cons_t), 4) AS lo, round(max(cons_t), 4) AS hi, count(ta) AS n_view, count(tb) AS n_click FROM tl GROUP BY subject")
+def timeline_metadata(spark: SparkSession, d: str) -> DataFrame:
+    out = matching.timeline_metadata(_two_timeline(spark, d), ["subject"])
+    return out.select("subject", "n_consensus_events", "n_devices", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), *(F.col("events_by_device")[c].alias(f"n_{c}") for c in ("view", "click")))
 
 
 DEVICES = ["view", "click", "purchase", "signup", "error"]
@@ -236,11 +298,6 @@ def timeline_wide_pivot(spark: SparkSession, d: str) -> DataFrame:
     return matching.wide_timeline(_timeline(spark, d), ["subject"], DEVICES)
 
 
-@C.query()
-def timeline_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return matching.timeline_metadata(_timeline(spark, d), ["subject"])
-
-
 # ---------------------------------------------------------------- offsets and crops
 
 

@@ -178,6 +178,21 @@ def estimate_drift(ref: np.ndarray, dev: np.ndarray, method: str = "theil_sen",
     return float(ref[0] - scale * dev[0]), scale, 1.0 if ref[-1] > ref[0] else 0.0, 2, "endpoints"
 
 
+def device_drift(reference: DataFrame, device: DataFrame, keys: list[str], *, t: str = "t", method: str = "theil_sen") -> DataFrame:
+    """Per key: offset, scale, r_squared, n_matches, and the method used (the end points where the robust line has too few pairs)."""
+    series = lambda df, name: df.filter(F.col(t).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias(name))
+    both = series(reference, "_a").join(series(device, "_b"), keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [estimate_drift(a, b, method) for a, b in zip(_arrays(batch.column("_a")), _arrays(batch.column("_b")), strict=True)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*lines, strict=True), (pa.float64(),) * 3 + (pa.int64(), pa.string()), strict=True)] if lines else [pa.array([], k) for k in (pa.float64(),) * 3 + (pa.int64(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *columns], names=[*keys, "offset", "scale", "r_squared", "n_matches", "method"])
+
+    kinds = dict(both.dtypes)
+    return both.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", offset double, scale double, r_squared double, n_matches long, method string")
+
+
 def fold_timeline(series: list[np.ndarray], *, method: str, sigma: float, band: float, drift: str | None, convention: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
     """Consensus times and confidences, device times and weights (device x row; NaN and 0 where absent), and drift rows."""
     first = series[0]
@@ -233,7 +248,8 @@ def consensus_timeline(markers: DataFrame, keys: list[str], devices: list[str],
 
 def wide_timeline(timeline: DataFrame, keys: list[str], devices: list[str]) -> DataFrame:
     """One row per consensus event, with a time and weight column for each device."""
-    return timeline.groupBy(*keys, "cons_id").pivot("device", devices).agg(F.first("t").alias("time"), F.first("weight").alias("weight")).join(timeline.select(*keys, "cons_id", F.col("cons_t").alias("consensus_time"), F.col("confidence").alias("consensus_confidence")).distinct(), [*keys, "cons_id"])
+    grouped = timeline.groupBy(*keys, "cons_id", F.col("cons_t").alias("consensus_time"), F.col("confidence").alias("consensus_confidence"))
+    return grouped.pivot("device", devices).agg(F.first("t").alias("time"), F.first("weight").alias("weight"))
 
 
 def timeline_metadata(timeline: DataFrame, keys: list[str]) -> DataFrame:
