@@ -20,7 +20,7 @@ PARSE_SQL = """SELECT id, name,
  CASE id % 5 WHEN 0 THEN 'ses-0' || (id % 7) WHEN 1 THEN left(name, 8) WHEN 2 THEN left(name, 8) WHEN 3 THEN 'WJTB' ELSE 'MISC' END AS session_label,
  CASE id % 5 WHEN 0 THEN '0' || (id % 7) WHEN 1 THEN '0' || (id % 9 + 1) WHEN 2 THEN '0' || (id % 3 + 1) WHEN 3 THEN lpad(CAST(id % 12 AS VARCHAR), 2, '0') ELSE '01' END AS sequence_id,
  CASE id % 5 WHEN 3 THEN 'WJTB' WHEN 4 THEN 'MISC' END AS project,
- CASE id % 5 WHEN 0 THEN 'bids' WHEN 1 THEN 'date_subject' WHEN 2 THEN 'date_subject' WHEN 3 THEN 'project_subject_seg' END AS filename_style,
+ CASE id % 5 WHEN 0 THEN 'bids' WHEN 1 THEN 'date_subject' WHEN 2 THEN 'date_subject' WHEN 3 THEN 'project_subject_seg' ELSE 'unmatched' END AS filename_style,
  CASE id % 5 WHEN 0 THEN 'fnirs' WHEN 4 THEN 'ecg' ELSE 'unknown' END AS device FROM fn"""
 
 
@@ -37,7 +37,7 @@ def device_infer(spark: SparkSession, d: str) -> DataFrame:
 @C.query(f"""WITH {FILES_SQL}, n AS (SELECT id, name, CASE id % 5 WHEN 1 THEN 'sub-' || substr(name, 9, 3) || '_ses-0' || (id % 9 + 1) || '_task-rest_fnirs' WHEN 2 THEN 'sub-' || substr(name, 9, 3) || '_ses-0' || (id % 3 + 1) || '_task-rest_ecg'
   WHEN 3 THEN 'sub-' || substr(name, 6, 3) || '_ses-' || lpad(CAST(id % 12 AS VARCHAR), 2, '0') || '_task-breathe_eeg' END AS base FROM fn),
 e AS (SELECT *, base || regexp_extract(name, '\\.[^.]*$') AS target FROM n WHERE base IS NOT NULL), c AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) - 1 AS nth FROM e)
-SELECT id, name AS old_name, CASE WHEN nth = 0 THEN target ELSE target || '_' || nth END AS new_name FROM c""")
+SELECT id, name AS old_name, CASE WHEN nth = 0 THEN target ELSE base || '_' || nth || regexp_extract(name, '\\.[^.]*$') END AS new_name FROM c""")
 def bids_rename(spark: SparkSession, d: str) -> DataFrame:
     names = file_names(spark, d).withColumn("base", naming.bids_name(F.col("name"))).filter("base IS NOT NULL")
     names = names.select("id", F.col("name").alias("old_name"), F.concat("base", F.regexp_extract("name", r"(\.[^.]*)$", 1)).alias("new_name"))
@@ -55,15 +55,16 @@ def task_rename(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _inventory(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Data files, and marker files named like the first half of their stems (some several times, some like none)."""
-    data = inventory.with_names(file_names(spark, d).filter("id % 5 <> 0").select("path", (F.col("id") % 97 + 0.25).alias("duration")))
-    stems = file_names(spark, d).filter("id % 5 = 3 OR id % 5 = 0").select("id", naming.stem(F.col("name")).alias("stem"))
+    """Data files, and marker files named like their stems (some several times, every seventh like none)."""
+    files = file_names(spark, d)
+    data = inventory.with_names(files.select("path", (F.col("id") % 97 + 0.25).alias("duration")))
+    stems = files.select("id", F.concat(naming.stem(F.col("name")), F.when(F.col("id") % 7 == 0, "_x").otherwise("")).alias("stem"))
     marks = inventory.with_names(stems.select(F.concat(F.lit("Data/marker/"), "stem", F.when(F.col("id") % 2 == 0, "_input_marker.csv").otherwise("_marker.csv")).alias("path")).distinct())
     return data, marks
 
 
-INVENTORY_SQL = f"""WITH {FILES_SQL}, s AS (SELECT id, name, path, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM fn), da AS (SELECT id, path, name AS file_name, lower(stem) AS key, id % 97 + 0.25 AS duration FROM s WHERE id % 5 <> 0),
-ma AS (SELECT DISTINCT 'Data/marker/' || stem || CASE WHEN id % 2 = 0 THEN '_input_marker.csv' ELSE '_marker.csv' END AS path, lower(stem) AS key FROM s WHERE id % 5 IN (0, 3)),
+INVENTORY_SQL = f"""WITH {FILES_SQL}, s AS (SELECT id, name, path, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM fn), da AS (SELECT id, path, name AS file_name, lower(stem) AS key, id % 97 + 0.25 AS duration FROM s),
+ma AS (SELECT DISTINCT 'Data/marker/' || stem || CASE WHEN id % 7 = 0 THEN '_x' ELSE '' END || CASE WHEN id % 2 = 0 THEN '_input_marker.csv' ELSE '_marker.csv' END AS path, lower(stem || CASE WHEN id % 7 = 0 THEN '_x' ELSE '' END) AS key FROM s),
 c AS (SELECT key, count(*) AS n, min(path) AS one FROM ma GROUP BY key),
 m AS (SELECT da.*, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN one END AS marker_path FROM da LEFT JOIN c ON c.key = da.key),
 orphan AS (SELECT * FROM ma WHERE path NOT IN (SELECT marker_path FROM m WHERE marker_path IS NOT NULL))"""

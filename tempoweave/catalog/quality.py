@@ -270,9 +270,10 @@ def _task(spark: SparkSession, d: str) -> DataFrame:
     return ops.task_events(s, events, FS, artifacts)
 
 
-@C.query()
+@C.query(f"""WITH t AS ({C.statements["task_cnr"].replace("round(co, 5)", "co").replace("round(cr, 5)", "cr")}) SELECT recording, pair_base, round(median(cnr_hbo), 5) AS median_cnr_hbo, round(median(cnr_hbr), 5) AS median_cnr_hbr,
+round(avg(CASE WHEN good THEN 1.0 ELSE 0.0 END), 5) AS good_event_fraction, count(*) AS n_events FROM t GROUP BY ALL""")
 def task_summary(spark: SparkSession, d: str) -> DataFrame:
-    return ops.task_metrics(_task(spark, d))
+    return _round(ops.task_metrics(_task(spark, d)), 5, "median_cnr_hbo", "median_cnr_hbr", "good_event_fraction")
 
 
 @C.query(f"""WITH {SIGNALS_SQL}, p AS (SELECT a.recording, a.ch_type, a.channel AS i, b.channel AS j, corr(CASE WHEN a.sample_idx < 32 THEN a.x END, CASE WHEN a.sample_idx < 32 THEN b.x END) AS r1, corr(CASE WHEN a.sample_idx >= 32 THEN a.x END, CASE WHEN a.sample_idx >= 32 THEN b.x END) AS r2
@@ -291,7 +292,7 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
 @C.query(f"WITH {SIGNALS_SQL} SELECT recording, channel, CASE WHEN count(*) / 4.0 < 300 THEN 'iir_butterworth_order4' ELSE 'fir_auto' END AS method FROM sig GROUP BY ALL")
 def smart_filter_policy(spark: SparkSession, d: str) -> DataFrame:
     n = signals(spark, d).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    return n.select(*KEYS, F.when(F.col("n") / FS < 300, spectral.filter_method(1, FS, 0.01)).otherwise(spectral.filter_method(10**9, FS, 0.01)).alias("method"))
+    return n.select(*KEYS, spectral.filter_policy(F.col("n"), FS, 0.01).alias("method"))
 
 
 @C.query()
@@ -302,8 +303,3 @@ def smart_filter(spark: SparkSession, d: str) -> DataFrame:
 @C.query()
 def tddr(spark: SparkSession, d: str) -> DataFrame:
     return spectral.motion_repair(signals(spark, d), KEYS, FS)
-
-
-@C.query()
-def fft_resample(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.fft_resample(signals(spark, d), KEYS, FS, 2.0)

@@ -31,9 +31,7 @@ def _fnirs_patch(spark, a):
 
 def _ecg(spark, a):
     """CSV of one column per channel."""
-    wide = spark.read.option("header", "true").option("inferSchema", "true").csv(a.input)
-    order = wide.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])).toDF(["sample_idx", *wide.columns])
-    rows = order.unpivot(["sample_idx"], wide.columns, "channel", "x").withColumn("x", F.col("x").cast("double"))
+    rows = text_scans.wide_samples(text_scans.whole_texts(spark, a.input)).select("sample_idx", "channel", "x")
     jobs.convert_ecg(rows, a.input_rate, a.output, a.base, target=a.sampling_rate)
 
 
@@ -82,9 +80,10 @@ def _crop_shortest(spark, a):
 
 
 def _quality(spark, a):
-    out = jobs.assess(jobs.table_signals(_tables(spark, a.input)), a.rate, low=a.l_freq, high=a.h_freq, target=a.resample, repair=not a.no_tddr)
+    signals = jobs.table_signals(_tables(spark, a.input))
+    out = jobs.assess(signals, a.rate, low=a.l_freq, high=a.h_freq, target=a.resample, repair=not a.no_tddr)
     keep = {"resting": ("resting", "best"), "visualize": ()}.get(a.part, tuple(out))
-    jobs.write_all({k: out[k] for k in keep} | (jobs.plot_data(out) if a.part == "visualize" else {}), a.output)
+    jobs.write_all({k: out[k] for k in keep} | (jobs.plot_data(out, signals) if a.part == "visualize" else {}), a.output)
 
 
 def _rename(spark, a):

@@ -78,7 +78,7 @@ def parsed_name(name: Column) -> Column:
         F.coalesce(_group(s, r"^(\d{8})"), project, F.lit("unknown")),
         F.coalesce(_two(_group(s, r"(?i)(?:^|_)SEG_(\d+)(?:_|$)")), F.lit("01")),
         project,
-        None,
+        "unmatched",
     )
     ses = _padded(F.regexp_extract(s, BIDS, 2), 2)
     seg = F.upper(F.regexp_extract(s, SEGMENT, 1))

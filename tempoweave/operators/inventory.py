@@ -46,10 +46,12 @@ def first_by_priority(candidates: DataFrame, keys: list[str], *, priority: str =
     return candidates.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(priority))).filter("nth = 1").drop("nth")
 
 
-def without_collisions(names: DataFrame, *, new: str = "new_name", old: str = "old_name") -> DataFrame:
-    """Renames whose targets collide get _1, _2 ... in order of the old name."""
-    nth = F.row_number().over(W.partitionBy(new).orderBy(old)) - 1
-    return names.withColumn("nth", nth).withColumn(new, F.when(F.col("nth") == 0, F.col(new)).otherwise(F.concat(F.col(new), F.lit("_"), F.col("nth").cast("string")))).drop("nth")
+def without_collisions(names: DataFrame, *, new: str = "new_name", old: str = "old_name", folder: str | None = None) -> DataFrame:
+    """Renames whose targets collide (in a folder) get _1, _2 ... before their extension, in order of the old name."""
+    nth = F.row_number().over(W.partitionBy(*([folder] if folder else []), new).orderBy(old)) - 1
+    ext = F.regexp_extract(F.col(new), r"(\.[^./]*)$", 1)
+    base = F.substring(F.col(new), F.lit(1), F.length(new) - F.length(ext))
+    return names.withColumn("nth", nth).withColumn(new, F.when(F.col("nth") == 0, F.col(new)).otherwise(F.concat(base, F.lit("_"), F.col("nth").cast("string"), ext))).drop("nth")
 
 
 def duration_of(files: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,21 +34,46 @@ def edge_markers(samples: DataFrame, keys: list[str], *, index: str = "i", volta
 def clean_greedy(markers: DataFrame, keys: list[str], *, t: str = "t", min_interval: float = 1.0) -> DataFrame:
     """The keys and times of the markers that lie at least `min_interval` after the last one kept.
 
-    A marker that far after its predecessor is kept whatever came before, so
-    series fall apart at such gaps and only the short runs between gaps are
-    folded, each within one row.  Equal times are kept once (if the interval is positive).
+    Sorted series stream through a task; it jumps from each kept marker to the
+    next one and holds no more than a batch and the last kept time, so a series
+    may be as long and dense as it likes.  Equal times are kept once (if the
+    interval is positive).
     """
-    order = W.partitionBy(*keys).orderBy(t)
-    gap = F.coalesce(F.col(t) - F.lag(t).over(order) >= min_interval, F.lit(True))
-    runs = markers.filter(F.col(t).isNotNull()).select(*keys, t).withColumn("gap", gap.cast("int"))
-    runs = runs.withColumn("run", F.sum("gap").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    start = F.array().cast("array<double>")
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(t)),
-        start,
-        lambda kept, x: F.when((F.size(kept) == 0) | (x - F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0.0)) >= min_interval), F.array_append(kept, x)).otherwise(kept),
-    )
-    return runs.groupBy(*keys, "run").agg(fold.alias("kept")).select(*keys, F.explode("kept").alias(t))
+    rows = markers.filter(F.col(t).isNotNull()).select(*keys, F.col(t).cast("double").alias(t)).repartition(*keys).sortWithinPartitions(*keys, t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times = batch.column(t).to_numpy()
+            new = np.zeros(len(times), bool)
+            new[0] = True
+            for k in keys:
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new).tolist()
+            kept: list[int] = []
+            for a, b in zip(starts, [*starts[1:], len(times)], strict=True):
+                own = tuple(batch.column(k)[a].as_py() for k in keys)
+                at = a
+                if own != key:
+                    key, last = own, times[a]
+                    kept.append(a)
+                    at = a + 1
+                while at < b:
+                    at = max(at, a + int(np.searchsorted(times[a:b], last + min_interval)))
+                    while at > a and at - 1 > (kept[-1] if kept and kept[-1] >= a else a - 1) and times[at - 1] - last >= min_interval:
+                        at -= 1
+                    while at < b and times[at] - last < min_interval:
+                        at += 1
+                    if at < b:
+                        kept.append(at)
+                        last = times[at]
+                        at += 1
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def clean_status(markers: DataFrame, keys: list[str], *, t: str = "t", min_rows: int = 2, min_interval: float = 1.0, remove_start: bool = False) -> DataFrame:

@@ -59,16 +59,22 @@ def time_metrics(signals: DataFrame, fs: float, *, keys: list[str] = KEYS) -> Da
     return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), (1 - F.coalesce("n", F.lit(0)) / F.col("n_all")).alias("nan_ratio"), *(F.when(enough, v).alias(k) for k, v in values.items()))
 
 
+def _last(channels: DataFrame, kind: str, value: str) -> Column:
+    """The value at the last channel of a type: by `position` where that is given, else by name, numbers in order."""
+    place = F.struct("position") if "position" in channels.columns else F.struct(F.length("channel"), F.col("channel"))
+    return F.max_by(F.when(F.col("ch_type") == kind, F.col(value)), F.when(F.col("ch_type") == kind, place))
+
+
 def haemoglobin_pairs(channels: DataFrame) -> DataFrame:
     """recording, pair_base, hbo, hbr of bases with both types (of several channels of a type the last)."""
-    sides = channels.groupBy("recording", "pair_base").agg(F.max(F.when(F.col("ch_type") == "hbo", F.col("channel"))).alias("hbo"), F.max(F.when(F.col("ch_type") == "hbr", F.col("channel"))).alias("hbr"))
+    sides = channels.groupBy("recording", "pair_base").agg(_last(channels, "hbo", "channel").alias("hbo"), _last(channels, "hbr", "channel").alias("hbr"))
     return sides.filter("hbo IS NOT NULL AND hbr IS NOT NULL")
 
 
 def pair_metrics(signals: DataFrame) -> DataFrame:
-    """Per pair: correlation, ratio of deviations and correlation of differences over jointly finite samples; null below 10."""
+    """Per pair: correlation, ratio of deviations and correlation of differences over jointly finite samples (of several channels of a type the last's); null below 10."""
     keys = ["recording", "pair_base"]
-    rows = signals.filter(F.col("ch_type").isin("hbo", "hbr") & _finite("x")).groupBy(*keys, "sample_idx").agg(F.max(F.when(F.col("ch_type") == "hbo", F.col("x"))).alias("a"), F.max(F.when(F.col("ch_type") == "hbr", F.col("x"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    rows = signals.filter(F.col("ch_type").isin("hbo", "hbr")).groupBy(*keys, "sample_idx").agg(_last(signals, "hbo", "x").alias("a"), _last(signals, "hbr", "x").alias("b")).filter(_finite("a") & _finite("b"))
     order = W.partitionBy(*keys).orderBy("sample_idx")
     rows = rows.withColumn("da", F.col("a") - F.lag("a").over(order)).withColumn("db", F.col("b") - F.lag("b").over(order))
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), correlation("a", "b").alias("r"), correlation("da", "db").alias("dr"), F.stddev_pop("da").alias("sda"), F.stddev_pop("db").alias("sdb"))

@@ -6,14 +6,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def channel_arrays(signals: DataFrame, keys: list[str], *, index: str = "sample_idx", x: str = "x") -> DataFrame:
-    """One array of finite samples per channel, in order."""
+    """Per channel its finite samples in order, and their places."""
     finite = signals.filter(F.col(x).isNotNull() & ~F.isnan(x))
-    return finite.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, x))), lambda s: s[x]).alias("samples"))
+    pairs = finite.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("long").alias("i"), F.col(x).cast("double").alias("x")))).alias("pairs"))
+    return pairs.select(*keys, F.transform("pairs", lambda s: s["x"]).alias("samples"), F.transform("pairs", lambda s: s["i"]).alias("places"))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column, without a Python object for each element."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def without_gaps(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Samples at every place from the first to the last one, gaps bridged by straight lines."""
+    every = np.arange(places[0], places[-1] + 1)
+    return x if len(every) == len(x) else np.interp(every, places, x)
 
 
 def welch(x: np.ndarray, fs: float, segment: int = 256, overlap: float = 0.5, window: str = "hann") -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +78,7 @@ def _rows(signals: DataFrame, keys: list[str], names: list[str], work: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [work(np.array(x.as_py(), float)) for x in batch.column("samples")]
+            rows = [work(x) for x in _lists(batch.column("samples"))]
             columns = np.array(rows, float).reshape(len(rows), len(names)).T
             yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *(pa.array(c, mask=np.isnan(c)) for c in columns)], names=[*keys, *names])
 
@@ -81,14 +94,14 @@ def signal_to_noise(signals: DataFrame, keys: list[str], fs: float) -> DataFrame
     return _rows(signals, keys, ["snr_time_db", "snr_psd_db"], lambda x: snr_row(x, fs))
 
 
-def _series(signals: DataFrame, keys: list[str], names: tuple[str, str], kind: str, work: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Two columns of many rows per channel."""
+def _series(signals: DataFrame, keys: list[str], names: tuple[str, str], kind: str, work: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Two columns of many rows per channel, from its samples and their places."""
     arrays = channel_arrays(signals, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, x in enumerate(batch.column("samples")):
-                a, b = work(np.array(x.as_py(), float))
+            for k, (x, places) in enumerate(zip(_lists(batch.column("samples")), _lists(batch.column("places")), strict=True)):
+                a, b = work(x, places)
                 given = batch.select(keys).take(pa.array(np.full(len(a), k)))
                 yield pa.RecordBatch.from_arrays([*given.columns, pa.array(a), pa.array(b.astype(float))], names=[*keys, *names])
 
@@ -98,12 +111,17 @@ def _series(signals: DataFrame, keys: list[str], names: tuple[str, str], kind: s
 
 def power_spectrum(signals: DataFrame, keys: list[str], fs: float) -> DataFrame:
     """Per channel and frequency the Welch density."""
-    return _series(signals, keys, ("freq", "psd"), "double", lambda x: welch(x, fs))
+    return _series(signals, keys, ("freq", "psd"), "double", lambda x, _: welch(x, fs))
 
 
 # ---------------------------------------------------------------- filters
 
 
+def _in_place(work: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Work on the whole series, gaps bridged; what comes out at the given places."""
+    return lambda x, places: (places, work(without_gaps(x, places))[places - places[0]])
+
+
 def _biquads(order: int, edge: float, fs: float, kind: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """Butterworth sections of an even order by the bilinear transform."""
     k = np.tan(np.pi * edge / fs)
@@ -156,10 +174,15 @@ def filter_method(n: int, fs: float, low: float) -> str:
     return "iir_butterworth_order4" if low <= 0.02 and n / fs < 300 else "fir_auto"
 
 
+def filter_policy(n: Column, fs: float, low: float) -> Column:
+    """The same of a column of lengths."""
+    return F.when((n / fs < 300) & F.lit(low <= 0.02), "iir_butterworth_order4").otherwise("fir_auto")
+
+
 def smart_filter(signals: DataFrame, keys: list[str], fs: float, low: float = 0.01, high: float = 0.2) -> DataFrame:
-    """Band pass by the policy: IIR for a low edge in a short recording, else FIR."""
+    """Band pass by the policy: IIR for a low edge in a short recording, else FIR. Samples keep their places; gaps are bridged for the filter and stay gaps."""
     work = lambda x: iir_band(x, fs, low, high) if filter_method(len(x), fs, low)[0] == "i" else fir_band(x, fs, low, high)
-    return _series(signals, keys, ("sample_idx", "x"), "long", lambda x: (np.arange(len(x)), work(x)))
+    return _series(signals, keys, ("sample_idx", "x"), "long", _in_place(work))
 
 
 def tddr(x: np.ndarray, fs: float) -> np.ndarray:
@@ -192,7 +215,7 @@ def tddr(x: np.ndarray, fs: float) -> np.ndarray:
 
 
 def motion_repair(signals: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    return _series(signals, keys, ("sample_idx", "x"), "long", lambda x: (np.arange(len(x)), tddr(x, fs)))
+    return _series(signals, keys, ("sample_idx", "x"), "long", _in_place(lambda x: tddr(x, fs)))
 
 
 def fft_resampled(x: np.ndarray, n: int) -> np.ndarray:
@@ -210,10 +233,12 @@ def fft_resampled(x: np.ndarray, n: int) -> np.ndarray:
 def fft_resample(signals: DataFrame, keys: list[str], fs: float, target: float, *, tolerance: float = 0.0, only_down: bool = True) -> DataFrame:
     """Resampled channels: only towards a lower rate (or, for any rate, if it differs by more than the tolerance)."""
     change = fs > target if only_down else abs(fs - target) > tolerance
-    work = lambda x: fft_resampled(x, round(len(x) * target / fs)) if change else x
+    work = lambda x: fft_resampled(x, round(len(x) * target / fs))
 
-    def both(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y = work(x)
-        return np.arange(len(y)), y
+    def both(x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not change:
+            return places, x
+        y = work(without_gaps(x, places))
+        return round(int(places[0]) * target / fs) + np.arange(len(y)), y
 
     return _series(signals, keys, ("sample_idx", "x"), "long", both)

@@ -7,6 +7,7 @@ them.  A file that cannot be read is a row of status, not a failed job.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from tempoweave.functions.naming import bids_name, channel_group, channel_name,
 from tempoweave.operators import crop, inventory, markers, matching, quality, report, spectral
 from tempoweave.sources import sinks, text_scans
 
+#: Metrics of a run's summary.
 SIGNAL_METRICS = ["cv", "tsnr", "rdi", "drift", "spectral_entropy", "mayer_ratio", "resp_ratio", "hbo_hbr_corr", "hbo_hbr_var_ratio", "hbo_hbr_deriv_corr"]
 
 
@@ -72,14 +74,19 @@ def marker_series(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def clean_markers(spark: SparkSession, folder: str, out: str, *, min_rows: int = 2, min_interval: float = 1.0, remove_start: bool = False) -> DataFrame:
-    """Cleans every marker CSV below a folder into `out`; gives path, status and counts."""
-    rows = text_scans.marker_rows(text_scans.whole_texts(spark, folder), text_scans.CLEANING_TIME).filter(~F.col("path").contains("/._"))
+    """Cleans every marker CSV below a folder into `out`, with all its columns, under its path below the folder (partition column `file`); gives path, status and counts."""
+    texts = text_scans.whole_texts(spark, folder).filter(~F.col("path").contains("/._"))
+    rows = text_scans.marker_rows(texts, text_scans.CLEANING_TIME)
     missing = rows.filter("status IS NOT NULL").groupBy("path").agg(F.lit("missing_time_col").alias("status"), F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("long").alias("n_kept"))
-    timed = rows.filter("status IS NULL").drop("status")
-    status = markers.clean_status(timed, ["path"], min_rows=min_rows, min_interval=min_interval, remove_start=remove_start)
+    timed = rows.filter("status IS NULL").select("path", "row", "t")
+    status = markers.clean_status(timed.select("path", "t"), ["path"], min_rows=min_rows, min_interval=min_interval, remove_start=remove_start)
     kept = markers.clean_greedy(timed.filter((F.col("t") != 0) | F.lit(not remove_start)), ["path"], min_interval=min_interval)
     fine = kept.join(status.filter("status = 'cleaned'").select("path"), "path", "left_semi")
-    fine.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("t").alias("reference_time")).write.mode("overwrite").partitionBy("file_name").option("header", "true").csv(out)
+    first = timed.groupBy("path", "t").agg(F.min("row").alias("row")).join(fine, ["path", "t"]).select("path", (F.col("row") + 1).alias("line_no"))
+    lines = text_scans.lines_of(texts)
+    whole = lines.join(first, ["path", "line_no"]).unionByName(lines.filter("line_no = 0").join(fine.select("path").distinct(), "path", "left_semi"))
+    below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(re.sub("^[a-z]+:/+", "/", folder).rstrip("/")) + "/", "")
+    whole.withColumn("file", below).repartition("file").sortWithinPartitions("file", "line_no").select("file", F.regexp_replace("line", "\r$", "").alias("value")).write.mode("overwrite").partitionBy("file").text(out)
     return status.unionByName(missing)
 
 
@@ -112,7 +119,7 @@ def match_devices(series: DataFrame, devices: list[str], out: str | None = None,
 def rematch_with_offsets(series: DataFrame, drifts: DataFrame, changes: DataFrame, devices: list[str], *, add: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """The timeline after changing offsets by hand (drifts: device, offset, scale, method; changes: device, change), and the report of what changed."""
     after = crop.adjusted_offsets(drifts, changes, ["device"], add=add)
-    moved = series.join(F.broadcast(after), "device").withColumn("t", (F.col("t") - F.col("offset")) / F.col("scale")).select("subject", "device", "t")
+    moved = series.join(after, "device").withColumn("t", (F.col("t") - F.col("offset")) / F.col("scale")).select("subject", "device", "t")
     return match_devices(moved, devices, drift=None, **options)[0], crop.offset_report(drifts, after, ["device"])
 
 
@@ -160,11 +167,11 @@ def assess(signals: DataFrame, fs: float, *, low: float = 0.01, high: float = 0.
     }
 
 
-def plot_data(assessed: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """What the quality plots show: heat map, histogram and regression."""
+def plot_data(assessed: dict[str, DataFrame], signals: DataFrame) -> dict[str, DataFrame]:
+    """What the quality plots show: heat map, histogram, and the regression of a pair's deviations."""
     full = assessed["comprehensive"]
-    side = lambda c: F.max(F.when(F.col("ch_type") == c, F.col("range")))
-    pairs = full.groupBy("recording", "pair_base").agg(side("hbo").alias("a"), side("hbr").alias("b"))
+    side = lambda c: F.stddev_pop(F.when((F.col("ch_type") == c) & ~F.isnan("x"), F.col("x")))
+    pairs = signals.groupBy("recording", "pair_base").agg(side("hbo").alias("a"), side("hbr").alias("b"))
     return {"heatmap": report.heat_map(full.select("recording", "channel"), full), "histogram": report.histogram(full, ["recording"], "tsnr"), "regression": report.regression(pairs, ["recording"], "a", "b")}
 
 
@@ -174,11 +181,11 @@ def write_all(tables: dict[str, DataFrame], out: str) -> None:
 
 
 def bids_renames(files: DataFrame) -> DataFrame:
-    """old path and new name of files with legacy names; collisions are numbered. files: path."""
+    """old path, folder and new name of files with legacy names; names that collide in a folder are numbered. files: path."""
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
-    out = files.select(F.col("path").alias("old_name"), bids_name(name, F.when(F.size(parts) > 1, F.element_at(parts, -2))).alias("base"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("ext"))
-    return inventory.without_collisions(out.filter("base IS NOT NULL").select("old_name", F.concat("base", "ext").alias("new_name")))
+    out = files.select(F.col("path").alias("old_name"), F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), bids_name(name, F.when(F.size(parts) > 1, F.element_at(parts, -2))).alias("base"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("ext"))
+    return inventory.without_collisions(out.filter("base IS NOT NULL").select("old_name", "folder", F.concat("base", "ext").alias("new_name")), folder="folder")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

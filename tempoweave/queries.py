@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tempoweave.catalog import Query, markers, naming, quality
+from tempoweave.catalog import Query, markers, naming, quality, scans
 
-FAMILIES = (markers.C, naming.C, quality.C)
+FAMILIES = (markers.C, naming.C, quality.C, scans.C)
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,9 @@ files in one plan; a file's errors are rows or nulls, never a failed job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +34,43 @@ def whole_texts(spark: SparkSession, paths: str | list[str], encoding: str | Non
     return files.select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
+#: Encodings of CSV files, in the order in which they are tried.
+ENCODINGS = ("utf-8-sig", "gbk", "gb2312", "latin1")
+
+
+def decoded(files: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """path, text and encoding of files (path, content) by the first encoding that fits; null if none does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw in batch.column("content").to_pylist():
+                text, used = None, None
+                for name in encodings:
+                    try:
+                        text, used = (raw or b"").decode(name), name
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                rows.append((text, used))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([t for t, _ in rows], pa.string()), pa.array([u for _, u in rows], pa.string())], names=["path", "text", "encoding"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string, encoding string")
+
+
+def robust_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, text and encoding of each file, whatever its encoding."""
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths))
+
+
+def quality_details(detail: DataFrame, comprehensive: DataFrame | None = None) -> DataFrame:
+    """Rows of the detail table after filtering, with the columns of the comprehensive one beside them where it is given."""
+    if comprehensive is None:
+        return detail
+    more = [c for c in comprehensive.columns if c not in detail.columns]
+    return detail.join(comprehensive.select("recording", "channel", *more), ["recording", "channel"], "left")
+
+
 def lines_of(texts: DataFrame) -> DataFrame:
     """path, line_no (from 0) and line."""
     return texts.select("path", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
@@ -93,6 +133,13 @@ def optodes(rows: DataFrame, prefix: str) -> DataFrame:
     return out.withColumn("idx", F.row_number().over(W.partitionBy("path").orderBy("line_no")))
 
 
+def csv_cells(line: Column) -> Column:
+    """The cells of a CSV line, without the quotes and blanks around them."""
+    cells = F.split(F.regexp_replace(line, r"\r$", ""), r''',(?=(?:[^"]*"[^"]*")*[^"]*$)''')
+    quoted = lambda x: F.when(x.rlike(r'''^".*"$'''), F.replace(F.regexp_extract(x, r'''^"(.*)"$''', 1), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(cells, lambda x: quoted(F.trim(x)))
+
+
 def vhdr_interval(texts: DataFrame) -> DataFrame:
     """path and interval_us of BrainVision headers; null without a SamplingInterval line."""
     return texts.select("path", F.regexp_extract("text", r"(?m)^SamplingInterval=\s*([0-9.]+)", 1).try_cast("double").alias("interval_us"))
@@ -108,9 +155,9 @@ def protocol_markers(texts: DataFrame) -> DataFrame:
     """path, reference_time and value of an fNIRS protocol table, whose header line starts with `Start Time`."""
     rows = lines_of(texts)
     head = rows.filter(F.col("line").startswith("Start Time")).groupBy("path").agg(F.min_by("line", "line_no").alias("head"), F.min("line_no").alias("head_no"))
-    at = lambda name: F.array_position(F.transform(F.split("head", ","), lambda x: F.trim(x)), name)
+    at = lambda name: F.array_position(csv_cells(F.col("head")), name)
     head = head.withColumn("a", at("Start Time")).withColumn("b", at("Protocol Type")).filter("a > 0 AND b > 0")
-    cells = F.split("line", ",")
+    cells = csv_cells(F.col("line"))
     out = rows.join(head, "path").filter("line_no > head_no").select("path", "line_no", F.round(hms_seconds(F.get(cells, (F.col("a") - 1).cast("int"))), 4).alias("reference_time"), F.nullif(F.trim(F.get(cells, (F.col("b") - 1).cast("int"))), F.lit("")).alias("value"))
     return out.filter("reference_time IS NOT NULL AND value IS NOT NULL")
 
@@ -118,17 +165,28 @@ def protocol_markers(texts: DataFrame) -> DataFrame:
 def marker_rows(texts: DataFrame, candidates: tuple[str, ...] = MATCHING_TIME) -> DataFrame:
     """path, row, t and value of marker CSV files of any header: t is the first candidate column (any with `time` in its name for cleaning), value the column of that name; t null where it is no number, status missing_time_col where there is none."""
     rows = lines_of(texts)
-    head = rows.filter("line_no = 0").select("path", F.transform(F.split("line", ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))).alias("names"))
+    head = rows.filter("line_no = 0").select("path", csv_cells(F.col("line")).alias("names"))
     where = F.coalesce(*(F.nullif(F.array_position("names", c), F.lit(0).cast("long")) for c in candidates))
     if candidates == CLEANING_TIME:
         where = F.coalesce(where, F.nullif(F.array_position(F.transform("names", lambda x: F.lower(x).contains("time")), True), F.lit(0).cast("long")))
     head = head.select("path", where.alias("t_at"), F.nullif(F.array_position("names", "value"), F.lit(0).cast("long")).alias("v_at"))
-    cells = F.split("line", ",")
+    cells = csv_cells(F.col("line"))
     cell = lambda at: F.trim(F.get(cells, (F.col(at) - 1).cast("int")))
     out = rows.filter("line_no > 0 AND trim(line) <> ''").join(head, "path")
     return out.select("path", (F.col("line_no") - 1).alias("row"), cell("t_at").try_cast("double").alias("t"), cell("v_at").alias("value"), F.when(F.col("t_at").isNull(), "missing_time_col").alias("status"))
 
 
+def wide_samples(texts: DataFrame) -> DataFrame:
+    """path, sample_idx, channel and x of CSV files with one column per channel; without a header (a first line of numbers only) channels are ch1, ch2 ..."""
+    rows = lines_of(texts).filter("trim(line) <> ''").withColumn("cells", csv_cells(F.col("line")))
+    head = rows.filter("line_no = 0").select("path", "cells")
+    bare = F.forall("cells", lambda x: x.try_cast("double").isNotNull())
+    names = F.when(bare, F.transform("cells", lambda x, i: F.concat(F.lit("ch"), (i + 1).cast("string")))).otherwise(F.col("cells"))
+    head = head.select("path", names.alias("names"), bare.alias("bare"))
+    body = rows.join(head, "path").filter("bare OR line_no > 0")
+    return body.select("path", (F.col("line_no") - F.when(F.col("bare"), 0).otherwise(1)).cast("long").alias("sample_idx"), F.posexplode(F.arrays_zip("names", "cells")).alias("k", "c")).select("path", "sample_idx", F.col("c.names").alias("channel"), F.col("c.cells").try_cast("double").alias("x"))
+
+
 def trigger_samples(texts: DataFrame) -> DataFrame:
     """path, i and v of one-column trigger files (the first line is a header); files with more columns are left out."""
     rows = lines_of(texts).filter("line_no > 0 AND trim(line) <> ''")
@@ -138,7 +196,11 @@ def trigger_samples(texts: DataFrame) -> DataFrame:
 
 def match_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Matching metadata JSON, one row a file."""
-    return whole_texts(spark, paths).select("path", F.from_json("text", schemas.MATCH_METADATA).alias("meta"))
+    return parsed_metadata(whole_texts(spark, paths))
+
+
+def parsed_metadata(texts: DataFrame) -> DataFrame:
+    return texts.select("path", F.from_json("text", schemas.MATCH_METADATA).alias("meta"))
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,13 @@ def test_marker_jobs(spark, tmp_path):
     status = {r["path"].rsplit("/", 1)[-1]: r["status"] for r in jobs.clean_markers(spark, str(src), str(tmp_path / "clean")).collect()}
     assert status == {"a_marker.csv": "cleaned", "b_marker.csv": "cleaned", "c_marker.csv": "missing_time_col"}
     written = spark.read.option("header", "true").csv(str(tmp_path / "clean"))
-    assert written.count() == 6 and {r["file_name"] for r in written.collect()} == {"a_marker.csv", "b_marker.csv"}
+    assert written.count() == 6 and {(r["file"], r["value"]) for r in written.collect()} == {("a_marker.csv", "x"), ("b_marker.csv", "x")}
+    (src / "deep").mkdir()
+    (src / "deep" / "a_marker.csv").write_text('"note, quoted",reference_time\n' + "".join(f'"n, {t}",{t}\n' for t in (2.0, 4.0, 4.5)))
+    jobs.clean_markers(spark, str(src), str(tmp_path / "again"))
+    deep = spark.read.option("header", "true").csv(str(tmp_path / "again" / "file=deep%2Fa_marker.csv")).collect()
+    assert [(r["note, quoted"], r["reference_time"]) for r in deep] == [("n, 2.0", "2.0"), ("n, 4.0", "4.0")]
+    (src / "deep" / "a_marker.csv").unlink()
     series = jobs.marker_series(spark, [str(src / "a_marker.csv"), str(src / "b_marker.csv")])
     wide, meta = jobs.match_devices(series, ["a", "b"], str(tmp_path / "match"), drift=None)
     assert wide.count() == 4 and meta.first()["n_devices"] == 2
@@ -38,7 +44,7 @@ def test_marker_jobs(spark, tmp_path):
     rows = {r["file_name"]: r for r in jobs.marker_inventory(spark, str(tmp_path / "Data"), str(src)).collect()}
     assert rows["a.csv"]["n_markers"] == 4 and rows["a.csv"]["device"] == "ecg" and rows["b_marker.csv"]["n_markers"] == 3
     names = spark.createDataFrame([(f"d/{n}",) for n in ("20251101060part1.acq", "20251102060part1.acq", "other.csv")], "path string")
-    assert sorted(r["new_name"] for r in jobs.bids_renames(names).collect()) == ["sub-060_ses-01_task-rest_ecg.acq", "sub-060_ses-01_task-rest_ecg.acq_1"]
+    assert sorted(r["new_name"] for r in jobs.bids_renames(names).collect()) == ["sub-060_ses-01_task-rest_ecg.acq", "sub-060_ses-01_task-rest_ecg_1.acq"]
 
 
 def test_fnirs_to_quality(spark, tmp_path):
@@ -54,7 +60,7 @@ def test_fnirs_to_quality(spark, tmp_path):
     assert out["pre"].count() == out["post"].count() == 4 and out["pairs"].count() == 2
     run = out["runs"].first()
     assert run["n_channels"] == 4 and 0 <= run["run_score"] <= 1 and out["overall"].count() == 4
-    assert jobs.plot_data(out)["heatmap"].count() == 4
+    assert jobs.plot_data(out, jobs.table_signals({n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("channel", "sample")}))["heatmap"].count() == 4
     jobs.write_all({"runs": out["runs"]}, str(tmp_path / "q"))
     assert spark.read.parquet(str(tmp_path / "q" / "runs")).count() == 1
 
