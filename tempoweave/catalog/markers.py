@@ -294,7 +294,7 @@ def timeline_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query()
-def timeline_wide_pivot(spark: SparkSession, d: str) -> DataFrame:
+def timeline_wide_five(spark: SparkSession, d: str) -> DataFrame:
     return matching.wide_timeline(_timeline(spark, d), ["subject"], DEVICES)
 
 

@@ -25,14 +25,73 @@ def drift_endpoints(reference: DataFrame, device: DataFrame, keys: list[str], *,
     return out.select(*keys, "offset", "scale", fit.alias("r_squared"), F.when(enough, 2).otherwise(0).cast("long").alias("n_matches"))
 
 
+#: Pairs of events whose slopes are held at once; of longer series the median is found by narrowing bounds.
+PAIRS = 1 << 22
+
+
+def _slopes(ref: np.ndarray, dev: np.ndarray, rows: range) -> np.ndarray:
+    """Slopes of the pairs of the events of some rows with all later ones."""
+    i = np.repeat(np.array(rows), [len(ref) - 1 - r for r in rows])
+    j = np.concatenate([np.arange(r + 1, len(ref)) for r in rows])
+    step = dev[j] - dev[i]
+    use = np.abs(step) > 1e-10
+    return (ref[j] - ref[i])[use] / step[use]
+
+
+def _median_slope(ref: np.ndarray, dev: np.ndarray) -> float:
+    """The median of the slopes of all pairs, in blocks of rows.
+
+    While more slopes lie between the bounds than may be held, the bounds close
+    in on the middle by the blocks' own quantiles, so memory stays bounded.
+    """
+    n = len(ref)
+    step = max(1, PAIRS // n)
+    blocks = [range(k, min(k + step, n - 1)) for k in range(0, n - 1, step)]
+    if len(blocks) == 1:
+        slopes = _slopes(ref, dev, blocks[0])
+        return float(np.median(slopes)) if len(slopes) else 1.0
+    low, high, total = -np.inf, np.inf, None
+    while True:
+        below, inside, middles = 0, 0, []
+        for rows in blocks:
+            slopes = _slopes(ref, dev, rows)
+            below += int((slopes < low).sum())
+            slopes = slopes[(slopes >= low) & (slopes <= high)]
+            inside += len(slopes)
+            middles += [(float(q), len(slopes)) for q in np.quantile(slopes, (0.25, 0.5, 0.75))] if len(slopes) else []
+        total = inside if total is None else total
+        if not total:
+            return 1.0
+        if inside <= PAIRS or low == high:
+            held = np.sort(np.concatenate([s[(s >= low) & (s <= high)] for s in (_slopes(ref, dev, rows) for rows in blocks)]))
+            return float((held[(total - 1) // 2 - below] + held[total // 2 - below]) / 2)
+        # a pivot splits the slopes between the bounds; the middle ranks lie on one side of it or around it
+        middles.sort()
+        pivot = middles[int(np.searchsorted(np.cumsum([w for _, w in middles]), sum(w for _, w in middles) / 2))][0]
+        less = equal = 0
+        for rows in blocks:
+            slopes = _slopes(ref, dev, rows)
+            less += int((slopes < pivot).sum())
+            equal += int((slopes == pivot).sum())
+        if total // 2 < less:
+            high = np.nextafter(pivot, -np.inf)
+        elif (total - 1) // 2 >= less + equal:
+            low = np.nextafter(pivot, np.inf)
+        elif (total - 1) // 2 >= less and total // 2 < less + equal:
+            return pivot
+        elif (total - 1) // 2 < less:  # the two middle ranks lie on both sides
+            before = max(float(s[s < pivot].max()) for s in (_slopes(ref, dev, rows) for rows in blocks) if (s < pivot).any())
+            return (before + pivot) / 2
+        else:
+            after = min(float(s[s > pivot].min()) for s in (_slopes(ref, dev, rows) for rows in blocks) if (s > pivot).any())
+            return (pivot + after) / 2
+
+
 def _median_line(ref: np.ndarray, dev: np.ndarray) -> tuple[float, float]:
     """Scale (median of the slopes of all pairs of events) and offset (median of what remains)."""
     if len(ref) < 2:
         return 1.0, 0.0
-    i, j = np.triu_indices(len(ref), 1)
-    step = dev[j] - dev[i]
-    use = np.abs(step) > 1e-10
-    scale = float(np.median((ref[j] - ref[i])[use] / step[use])) if use.any() else 1.0
+    scale = _median_slope(ref, dev)
     return scale, float(np.median(ref - scale * dev))
 
 

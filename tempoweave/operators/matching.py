@@ -2,8 +2,8 @@
 
 On a line crossing pairs never pay, so a monotone dynamic program over both
 sorted series finds the optimal assignment.  Series travel as one array per key,
-and a batch of keys is worked off in numpy: nothing but the arrays of a key has
-to fit in memory.
+and a batch of keys is worked off in numpy: the arrays of a key and a bounded
+block of a program's choices have to fit in memory.
 """
 
 from __future__ import annotations
@@ -17,23 +17,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempoweave.operators.drift import robust_line
-from tempoweave.plans.range_join import band_join
+from tempoweave.plans.range_join import band_join, spread
 
 Match = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _walk(take: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Back through a table of choices: 0 skip in the first series, 1 skip in the second, 2 a pair."""
+#: Cells of a table of choices that are held at once.
+CELLS = 1 << 26
+
+
+def _walk(step: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]], first: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a program over n rows: step gives a row's best values and choices (0 skip in the first series, 1 skip in the second, 2 a pair) from the row's number and the values before it.
+
+    Choices are held for a block of rows at a time; values are kept where blocks begin, and a block's rows are worked out again on the way back.
+    """
+    size = max(1, CELLS // (m + 1))
+    starts, best, held = [], first, []
+    for i in range(1, n + 1):
+        if (i - 1) % size == 0:
+            starts.append(best)
+        best, take = step(i, best)
+        if n <= size:
+            held.append(take)
     i, j, out = n, m, []
-    while i and j:
-        c = take[i, j]
-        if c == 2:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif c == 1:
-            j -= 1
-        else:
-            i -= 1
+    for block in range(len(starts) - 1, -1, -1):
+        base = block * size
+        if n > size:
+            held, best = [], starts[block]
+            for k in range(base + 1, min(base + size, n) + 1):
+                best, take = step(k, best)
+                held.append(take)
+        while i > base and j:
+            c = held[i - base - 1][j]
+            if c == 2:
+                out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif c == 1:
+                j -= 1
+            else:
+                i -= 1
     pairs = np.array(out[::-1], int).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
@@ -44,29 +66,31 @@ def assign_all(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         j, i = assign_all(b, a)
         return i, j
     n, m = len(a), len(b)
-    best, take = np.zeros(m + 1), np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        pair = np.full(m + 1, np.inf)
+
+    def step(i: int, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pair, take = np.full(m + 1, np.inf), np.zeros(m + 1, np.int8)
         pair[1:] = best[:-1] + np.abs(a[i - 1] - b)
-        best = np.minimum.accumulate(pair)
-        take[i, 1:] = np.where(pair[1:] < best[:-1], 2, 1)
-    return _walk(take, n, m)
+        now = np.minimum.accumulate(pair)
+        take[1:] = np.where(pair[1:] < now[:-1], 2, 1)
+        return now, take
+
+    return _walk(step, np.zeros(m + 1), n, m)
 
 
 def assign_most(a: np.ndarray, b: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
     """As many pairs within the band as possible, then the least sum of whole milliseconds."""
     n, m = len(a), len(b)
     worth = int(band * 1000) * (min(n, m) + 1) + 1
-    best, take = np.zeros(m + 1, np.int64), np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
+
+    def step(i: int, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = np.abs(a[i - 1] - b)
-        pair = np.full(m + 1, -1, np.int64)
+        pair, take = np.full(m + 1, -1, np.int64), np.zeros(m + 1, np.int8)
         pair[1:] = np.where(d <= band, best[:-1] + worth - (d * 1000).astype(np.int64), -1)
-        top = np.maximum(best, pair)
-        now = np.maximum.accumulate(top)
-        take[i, 1:] = np.where(now[:-1] == now[1:], 1, np.where(pair[1:] > best[1:], 2, 0))
-        best = now
-    return _walk(take, n, m)
+        now = np.maximum.accumulate(np.maximum(best, pair))
+        take[1:] = np.where(now[:-1] == now[1:], 1, np.where(pair[1:] > best[1:], 2, 0))
+        return now, take
+
+    return _walk(step, np.zeros(m + 1, np.int64), n, m)
 
 
 def gaussian(d: np.ndarray, sigma: float) -> np.ndarray:
@@ -110,14 +134,15 @@ def _method(name: str) -> Callable[..., Match]:
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.array(x.as_py() or [], float) for x in column]
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def match_events(left: DataFrame, right: DataFrame, keys: list[str], *, t: str = "t", method: str = "hungarian", sigma: float = 0.75, band: float = 3.0) -> DataFrame:
     """Per key the matched events: i, j (places in the sorted series, from 0), t_left, t_right, confidence."""
     match = _method(method)
     series = lambda df, name: df.filter(F.col(t).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias(name))
-    both = series(left, "_a").join(series(right, "_b"), keys)
+    both = spread(series(left, "_a").join(series(right, "_b"), keys), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +206,7 @@ def estimate_drift(ref: np.ndarray, dev: np.ndarray, method: str = "theil_sen",
 def device_drift(reference: DataFrame, device: DataFrame, keys: list[str], *, t: str = "t", method: str = "theil_sen") -> DataFrame:
     """Per key: offset, scale, r_squared, n_matches, and the method used (the end points where the robust line has too few pairs)."""
     series = lambda df, name: df.filter(F.col(t).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias(name))
-    both = series(reference, "_a").join(series(device, "_b"), keys)
+    both = spread(series(reference, "_a").join(series(device, "_b"), keys), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +251,7 @@ def consensus_timeline(markers: DataFrame, keys: list[str], devices: list[str],
     """
     _method(method)
     columns = [F.array_sort(F.collect_list(F.when(F.col("device") == d, F.col(t).cast("double")))).alias(f"_{k}") for k, d in enumerate(devices)]
-    series = markers.filter(F.col("device").isin(*devices) & F.col(t).isNotNull()).groupBy(*keys).agg(*columns).filter(F.size("_0") > 0)
+    series = spread(markers.filter(F.col("device").isin(*devices) & F.col(t).isNotNull()).select(*keys, "device", t), keys).groupBy(*keys).agg(*columns).filter(F.size("_0") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,3 +22,9 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], *, left_t: str
     """Pairs of the same keys whose times differ by at most `band`."""
     near = right.withColumn("_low", F.col(right_t) - F.lit(band) * 1.000001).withColumn("_high", F.col(right_t) + F.lit(band) * 1.000001)
     return range_join(left, near, keys, point=left_t, low="_low", high="_high", width=2 * band).filter(F.abs(F.col(left_t) - F.col(right_t)) <= band).drop("_low", "_high")
+
+
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows dealt out by key over all tasks: for work that costs far more than the bytes of its rows suggest, which adaptive plans would put into a few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

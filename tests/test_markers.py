@@ -154,3 +154,28 @@ def test_other_scans(spark, tmp_path):
     assert [(r["num"], r["idx"]) for r in text_scans.optodes(place, "T").orderBy("idx").collect()] == [(1, 1), (12, 2)]
     (tmp_path / "._hidden.csv").write_text("x")
     assert {r["file_name"] for r in text_scans.scan_folder(spark, str(tmp_path)).collect()} == {"x.vhdr", "p.csv"}
+
+
+def test_median_slope_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 7, 40, 90):
+        for values in (rng.normal(0, 1, n), rng.integers(0, 4, n).astype(float)):
+            dev = np.sort(rng.integers(0, 50, n).astype(float))
+            i, j = np.triu_indices(n, 1)
+            use = dev[j] != dev[i]
+            want = np.median((values[j] - values[i])[use] / (dev[j] - dev[i])[use]) if use.any() else 1.0
+            for held in (1 << 22, 60, 8):
+                monkeypatch.setattr(drift, "PAIRS", held)
+                assert drift._median_slope(values, dev) == pytest.approx(want, abs=1e-12)
+
+
+def test_assignment_in_bands(monkeypatch):
+    """The choices of long series are kept in blocks of rows; the result is the same."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = (np.sort(rng.choice(200, rng.integers(0, 40), replace=False) / 4.0) for _ in range(2))
+        whole = matching.assign_all(a, b), matching.assign_most(a, b, 2.0)
+        monkeypatch.setattr(matching, "CELLS", 64)
+        parts = matching.assign_all(a, b), matching.assign_most(a, b, 2.0)
+        monkeypatch.setattr(matching, "CELLS", 1 << 26)
+        assert all((x == y).all() for w, p in zip(whole, parts, strict=True) for x, y in zip(w, p, strict=True))
