@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempoweave.llm import mixing, url_filter
+from tempoweave.llm import mixing, statements, url_filter
 from tempoweave.llm.automaton_dedup import remove_repeated_words
 from tempoweave.llm.decontaminate import decontaminate
 from tempoweave.llm.jaccard_join import similar_documents
@@ -67,4 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.ORACLE, "op10_source_mix": mixing.ORACLE}
+    return {
+        "op2_suffix_array_dedup": statements.REPEATED_BYTES, "op5_decontaminate": statements.CONTAMINATED, "op6_url_filter": url_filter.ORACLE,
+        "op7_jaccard_join": statements.SIMILAR, "op9_substring_dedup": statements.REPEATED_WORDS, "op10_source_mix": mixing.ORACLE,
+    }
