@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempoweave.llm._text import arrow_batch, longs
-from tempoweave.llm.passages import Setup, lists, repeated_windows, runs_of, spans, unpacked, whole_groups
+from tempoweave.llm.passages import Setup, lists, repeated_windows, runs_of, settled_by_context, spans, unpacked, whole_groups
 
 
 class SuffixAutomaton:
@@ -132,7 +132,8 @@ def _settle(length: int):
 def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, most: int = 1 << 13) -> DataFrame:
     """Per document: doc_id, packed (its compressed text), runs (see passages.repeated_windows)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return repeated_windows(texts, Setup(length, gram, True, most), _settle(length), "word-passages")
+    setup = Setup(length, gram, True, most)
+    return repeated_windows(texts, setup, lambda opened: settled_by_context(opened, setup, _settle(length)), "word-passages")
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

@@ -11,12 +11,12 @@ equals.  Equal windows have equal anchors at equal distances, so
   each other in every window, however long the copies are.
 
 Only anchors with a common gram but different contexts - the ends of copied
-passages - stay open, and their windows are compared one by one, in groups that
-share half of the context as well.  Where more than `most` of them have one
-gram, not their texts but two fingerprints of each window travel, so no task
-has to hold a frequent passage's contexts.  Fingerprints are polynomials modulo
-2**61 - 1; two windows are taken as equal if those at two independent random
-bases agree.
+passages - stay open, and their windows are settled one by one: bytes by prefix
+doubling (suffix_dedup.py), words in groups that share half of the context as
+well.  There, where more than `most` of them have one gram, not their texts but
+two fingerprints of each window travel, so no task has to hold a frequent
+passage's contexts.  Fingerprints are polynomials modulo 2**61 - 1; two windows
+are taken as equal if those at two independent random bases agree.
 
 A row counts once, however often it is repeated.  Of rows that share an id but
 differ in their text, only the text of the least hash is judged.
@@ -41,8 +41,8 @@ from tempoweave.llm._text import Ranges, chunks, column_bytes, longs, mix, slice
 
 _PLACE = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 20
-#: Windows of frequent grams that a task settles among themselves before it sends them on.
-_HELD = 1 << 20
+#: Single windows that a task settles among themselves before it sends them on.
+HELD = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -233,7 +233,13 @@ def repeats(a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarray, by
     return _after_first(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])], doc, place, by_words)
 
 
-def _sent(held: list[tuple[np.ndarray, ...]], by_words: bool) -> pa.RecordBatch:
+def expanded(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row `count` times, and the places from its first one on."""
+    each = np.repeat(row, count)
+    return each, np.repeat(first, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def sent(held: list[tuple[np.ndarray, ...]], by_words: bool) -> pa.RecordBatch:
     """Single windows under their rank, with a second one as mate; runs that repeat one of these go anywhere, with a negative number of windows."""
     rank, key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((place, doc, key, rank))
@@ -267,6 +273,16 @@ def _settled_windows(setup: Setup, settle: Callable[[Iterator[pa.RecordBatch]],
     return settled
 
 
+def open_windows(part: pa.RecordBatch, firsts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Text, first window, last window, anchor and frequency flag of a batch's open anchors, as places in all its symbols."""
+    (lo, rest), at = lists(part.column("open"))
+    doc = np.repeat(np.arange(part.num_rows), np.diff(at))
+    lo = lo + firsts[doc]
+    hi, anchor = lo + (rest & 255), lo + (rest >> 8 & 255)
+    fits = hi + length <= firsts[doc + 1]  # else a row with another text under the same id
+    return tuple(x[fits] for x in (doc, lo, hi, anchor, rest >> 17 & 1 == 1))
+
+
 def _contexts(setup: Setup):
     """Of each open anchor the text under its left and its right windows, under a key of the half that these share."""
 
@@ -276,22 +292,17 @@ def _contexts(setup: Setup):
             texts = unpacked(part.column("packed"))
             for i, j in chunks(np.r_[0, np.cumsum([len(t) for t in texts])]):
                 yield read(part.slice(i, j - i), texts[i:j], held)
-                if sum(len(x[0]) for x in held) >= _HELD:
-                    yield _sent(held, setup.by_words)
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield sent(held, setup.by_words)
                     held.clear()
         if held:
-            yield _sent(held, setup.by_words)
+            yield sent(held, setup.by_words)
 
     def read(part: pa.RecordBatch, texts: list[bytes], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         buffer = b"".join(texts)
         offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
         codes, firsts, starts, ends = symbols(np.frombuffer(buffer, np.uint8), offsets, setup.by_words)
-        (lo, rest), at = lists(part.column("open"))
-        doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        lo = lo + firsts[doc]
-        hi, anchor = lo + (rest & 255), lo + (rest >> 8 & 255)
-        fits = hi + setup.length <= firsts[doc + 1]  # else a row with another text under the same id
-        doc, lo, hi, anchor, many = doc[fits], lo[fits], hi[fits], anchor[fits], (rest >> 17 & 1 == 1)[fits]
+        doc, lo, hi, anchor, many = open_windows(part, firsts, setup.length)
         ranges, other = Ranges(codes[0]), Ranges(codes[1], 1)
         more = setup.length - setup.gram - setup.half + 1
         left, right = lo <= anchor - setup.half, hi > anchor - setup.half
@@ -306,8 +317,7 @@ def _contexts(setup: Setup):
         many = np.r_[many[left], many[right]]
         if many.any():
             count = (b - a + 1)[many]
-            row = np.repeat(np.flatnonzero(many), count)
-            start = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            row, start = expanded(np.flatnonzero(many), a[many], count)
             held.append((mix(ranges.of(start, start + setup.length)), mix(other.of(start, start + setup.length)), ids[row], start - firsts[d[row]]))
             key, ids, d, a, b = (x[~many] for x in (key, ids, d, a, b))
         under = [buffer[s:e] for s, e in zip(starts[a].tolist(), ends[b + setup.length - 1].tolist(), strict=True)]
@@ -316,10 +326,19 @@ def _contexts(setup: Setup):
     return contexts
 
 
-def repeated_windows(docs: DataFrame, setup: Setup, settle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
+def settled_by_context(texts: DataFrame, setup: Setup, settle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """doc_id, lo, rest of the repeated windows of open anchors.
+
+    texts: doc_id, packed, open.  settle gets batches of open contexts, whole groups of a key in order of doc_id and place, and gives doc_id, lo, rest.
+    """
+    contexts = texts.mapInArrow(_contexts(setup), _OPEN)
+    return contexts.repartition("key").sortWithinPartitions("key", "mate", "doc_id", "lo").mapInArrow(_settled_windows(setup, settle), "doc_id long, lo long, rest int")
+
+
+def repeated_windows(docs: DataFrame, setup: Setup, settled: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Texts with their repeated windows: doc_id, packed, runs (array of lo, rest: first window and number of further ones).
 
-    docs: doc_id, text.  settle gets batches of open contexts, whole groups of a key in order of doc_id and place, and gives doc_id, lo, rest.
+    docs: doc_id, text.  settled turns doc_id, packed, open (array of lo, rest: an open anchor's first window, and its further windows and place) into doc_id, lo, rest.
     """
     code = F.xxhash64(F.coalesce("text", F.lit("")))
     clash = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(code).alias("least"), F.max(code).alias("most")).filter("least <> most").select("doc_id", "least")
@@ -331,9 +350,8 @@ def repeated_windows(docs: DataFrame, setup: Setup, settle: Callable[[Iterator[p
     found = written(first.mapInArrow(_compare(setup), "doc_id long, lo long, rest int"), name)
     opened = found.filter("rest >= 65536").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "rest")).alias("open"))
     texts = packed_texts(docs)
-    contexts = texts.join(opened.hint("shuffle_hash"), "doc_id").mapInArrow(_contexts(setup), _OPEN)
-    settled = contexts.repartition("key").sortWithinPartitions("key", "mate", "doc_id", "lo").mapInArrow(_settled_windows(setup, settle), "doc_id long, lo long, rest int")
-    runs = found.filter("rest < 65536").select("doc_id", "lo", F.col("rest").bitwiseAND(255).alias("rest")).unionByName(settled)
+    more = settled(texts.join(opened.hint("shuffle_hash"), "doc_id"))
+    runs = found.filter("rest < 65536").select("doc_id", "lo", F.col("rest").bitwiseAND(255).alias("rest")).unionByName(more)
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "rest")).alias("runs"))
     out = texts.join(runs.hint("shuffle_hash"), "doc_id", "left")
     return out if rest is None else out.unionByName(packed_texts(rest).withColumn("runs", F.lit(None).cast(dict(out.dtypes)["runs"])))
