@@ -290,7 +290,7 @@ def _timeline(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query()
 def timeline_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return _timeline(spark, d)
+    return _timeline(spark, d).drop("drift")
 
 
 @C.query()

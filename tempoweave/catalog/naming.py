@@ -120,3 +120,12 @@ def file_duration(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 4 == 0, (k % 50) / 4.0).alias("last_time"), (k % 1000).alias("n_rows"), F.when(k % 4 == 2, k * 12000).when(big, 200_000_000).otherwise(1000).alias("size"), F.lit(40).alias("line_bytes"), F.when(k % 4 == 3, k % 70).alias("total_points"),
     )
     return inventory.duration_of(files).select("event_id", "duration")
+
+
+@C.query(f"""WITH {FILES_SQL}, s AS (SELECT DISTINCT path, lower(regexp_replace(name, '\\.[^.]*$', '')) AS key FROM fn WHERE path LIKE 'Data/raw/%' OR path LIKE 'Data/convert/ECG/%'),
+m AS (SELECT DISTINCT 'Data/marker/' || regexp_replace(name, '\\.[^.]*$', '') || '_marker.csv' AS path, lower(regexp_replace(name, '\\.[^.]*$', '')) AS key FROM fn)
+SELECT m.path, s.path AS data_path, row_number() OVER (PARTITION BY m.path ORDER BY CASE WHEN s.path LIKE 'Data/convert/%' THEN 1 ELSE 3 END, s.path) AS priority FROM m JOIN s ON m.key = s.key""")
+def marker_data_files(spark: SparkSession, d: str) -> DataFrame:
+    files = file_names(spark, d)
+    marks = files.select(F.concat(F.lit("Data/marker/"), naming.stem(F.col("name")), F.lit("_marker.csv")).alias("path"))
+    return inventory.data_files_for_markers(marks, files.select("path"))

@@ -295,11 +295,45 @@ def smart_filter_policy(spark: SparkSession, d: str) -> DataFrame:
     return n.select(*KEYS, spectral.filter_policy(F.col("n"), FS, 0.01).alias("method"))
 
 
-@C.query()
+def _section_sql(name: str, source: str, edge: float, kind: str, k: int, back: bool, order: int = 4) -> str:
+    """One second-order Butterworth section over lists, forwards or from the end, from the steady state of the first sample."""
+    b = "[1.0, -2.0, 1.0]" if kind == "high" else "[kk, 2 * kk, kk]"
+    return f"""{name}c AS (SELECT recording, channel, {"list_reverse(ys)" if back else "ys"} AS xs, kk, q, {b}::DOUBLE[] AS b0 FROM {source}, (SELECT tan(pi() * {edge} / {FS}) * tan(pi() * {edge} / {FS}) AS kk, 2 * sin(pi() * {2 * k + 1} / {2 * order}) * tan(pi() * {edge} / {FS}) AS q)),
+{name}p AS (SELECT recording, channel, xs, [v / (1 + q + kk) for v in b0] AS b, [2 * (kk - 1) / (1 + q + kk), (1 - q + kk) / (1 + q + kk)] AS a FROM {name}c),
+{name}s AS (SELECT recording, channel, xs, a, b, 0 AS i, []::DOUBLE[] AS ys, (b[2] + b[3] - (a[1] + a[2]) * list_sum(b) / (1 + a[1] + a[2])) * xs[1] AS s1, (b[3] - a[2] * list_sum(b) / (1 + a[1] + a[2])) * xs[1] AS s2 FROM {name}p
+  UNION ALL SELECT recording, channel, xs, a, b, i + 1, list_append(ys, b[1] * xs[i + 1] + s1), b[2] * xs[i + 1] - a[1] * (b[1] * xs[i + 1] + s1) + s2, b[3] * xs[i + 1] - a[2] * (b[1] * xs[i + 1] + s1) FROM {name}s WHERE i < len(xs)),
+{name} AS (SELECT recording, channel, {"list_reverse(ys)" if back else "ys"} AS ys FROM {name}s WHERE i = len(xs))"""
+
+
+def _filter_sql() -> str:
+    """The band pass over 27 samples of odd padding on both sides: a high and a low pass of order 4, each section forwards and back."""
+    parts, source = [], "f0"
+    for edge, kind in ((0.01, "high"), (0.2, "low")):
+        for k in range(2):
+            for back in (False, True):
+                name = f"f_{kind}_{k}_{int(back)}"
+                parts.append(_section_sql(name, source, edge, kind, k, back))
+                source = name
+    return f"""WITH RECURSIVE {SIGNALS_SQL}, x0 AS (SELECT recording, channel, list(x ORDER BY sample_idx) AS x FROM sig GROUP BY ALL),
+f0 AS (SELECT recording, channel, list_concat(list_concat([2 * x[1] - x[28 - j] for j in range(0, 27)], x), [2 * x[64] - x[64 - j] for j in range(1, 28)]) AS ys FROM x0), {", ".join(parts)}
+SELECT recording, channel, unnest(range(64)) AS sample_idx, round(unnest(ys[28:91]), 5) + 0.0::DOUBLE AS x FROM {source}"""
+
+
+@C.query(_filter_sql())
 def smart_filter(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.smart_filter(signals(spark, d), KEYS, FS)
-
-
-@C.query()
+    return _round(spectral.smart_filter(signals(spark, d), KEYS, FS), 5, "x").withColumn("x", F.col("x") + 0.0)
+
+
+@C.query(f"""WITH RECURSIVE {SIGNALS_SQL}, x0 AS (SELECT recording, channel, list(x ORDER BY sample_idx) AS x, avg(x) AS mean FROM sig GROUP BY ALL), z0 AS (SELECT recording, channel, [v - mean for v in x] AS z FROM x0),
+t0 AS (SELECT recording, channel, list_concat(list_concat([2 * z[1] - z[10 - j] for j in range(0, 9)], z), [2 * z[64] - z[64 - j] for j in range(1, 10)]) AS ys FROM z0),
+{_section_sql("t1", "t0", 0.5, "low", 0, False, 2)}, {_section_sql("t2", "t1", 0.5, "low", 0, True, 2)},
+sl AS (SELECT recording, channel, ys[10:73] AS slow FROM t2), dd AS (SELECT recording, channel, [slow[k + 1] - slow[k] for k in range(1, 64)] AS d FROM sl),
+it AS (SELECT recording, channel, d, [1.0::DOUBLE for v in d] AS w, 'inf'::DOUBLE AS mu, 0 AS n, false AS done FROM dd
+  UNION ALL SELECT recording, channel, d, CASE WHEN sigma = 0 THEN w ELSE [CASE WHEN abs(v - m) / (sigma * 4.685) < 1 THEN pow(1 - pow(abs(v - m) / (sigma * 4.685), 2), 2) ELSE 0.0::DOUBLE END for v in d] END, m, n + 1, sigma = 0 OR abs(mu - m) < 1e-12 * greatest(abs(m), abs(mu))
+    FROM (SELECT *, 1.4826::DOUBLE * list_median([abs(v - m) for v in d]) AS sigma FROM (SELECT *, list_sum([w[k] * d[k] for k in range(1, len(d) + 1)]) / list_sum(w) AS m FROM it WHERE NOT done AND n < 50))),
+la AS (SELECT recording, channel, arg_max(w, n) AS w, arg_max(mu, n) AS mu, any_value(d) AS d FROM it GROUP BY ALL),
+fx AS (SELECT recording, channel, list_concat([0.0::DOUBLE], [list_sum([w[j] * (d[j] - mu) for j in range(1, k + 1)]) for k in range(1, 64)]) AS f FROM la),
+o AS (SELECT x0.recording, x0.channel, [f[k] - list_avg(f) + x[k] - slow[k] for k in range(1, 65)] AS y FROM x0 JOIN sl ON sl.channel = x0.channel JOIN fx ON fx.channel = x0.channel)
+SELECT recording, channel, unnest(range(64)) AS sample_idx, round(unnest(y), 5) + 0.0::DOUBLE AS x FROM o""")
 def tddr(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.motion_repair(signals(spark, d), KEYS, FS)
+    return _round(spectral.motion_repair(signals(spark, d), KEYS, FS), 5, "x").withColumn("x", F.col("x") + 0.0)

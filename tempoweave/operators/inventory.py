@@ -46,6 +46,22 @@ def first_by_priority(candidates: DataFrame, keys: list[str], *, priority: str =
     return candidates.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(priority))).filter("nth = 1").drop("nth")
 
 
+#: Where data of a marker file are looked for, in this order.
+PLACES = ("convert/fnirs", "convert/ecg", "convert/eeg", "raw")
+
+
+def data_files_for_markers(markers: DataFrame, files: DataFrame) -> DataFrame:
+    """Per marker file (path) its data files of the same stem, without case and marker endings, in the order of PLACES, then by path: path, data_path, priority (from 1), each file once."""
+    key = lambda c: join_key(F.element_at(F.split(F.col(c), "/"), -1))
+    low, place = F.lower("data_path"), F.lit(None).cast("int")
+    for k, folder in reversed(list(enumerate(PLACES))):
+        place = F.when(low.contains(f"/{folder}/"), k).otherwise(place)
+    there = files.select(F.col("path").alias("data_path")).distinct().withColumn("key", key("data_path")).withColumn("place", place).filter("place IS NOT NULL")
+    both = markers.select("path").distinct().withColumn("key", key("path")).join(there, "key")
+    nth = F.row_number().over(W.partitionBy("path").orderBy("place", "data_path"))
+    return both.select("path", "data_path", nth.cast("long").alias("priority"))
+
+
 def without_collisions(names: DataFrame, *, new: str = "new_name", old: str = "old_name", folder: str | None = None) -> DataFrame:
     """Renames whose targets collide (in a folder) get _1, _2 ... before their extension, in order of the old name."""
     nth = F.row_number().over(W.partitionBy(*([folder] if folder else []), new).orderBy(old)) - 1

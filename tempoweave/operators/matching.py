@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tempoweave.operators.drift import robust_line
 from tempoweave.plans.range_join import band_join, spread
+from tempoweave.schemas import DRIFT
 
 Match = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -245,7 +246,7 @@ def fold_timeline(series: list[np.ndarray], *, method: str, sigma: float, band:
 
 
 def consensus_timeline(markers: DataFrame, keys: list[str], devices: list[str], *, t: str = "t", method: str = "hungarian", sigma: float = 0.75, band: float = 3.0, drift: str | None = "theil_sen", convention: str = "reference") -> DataFrame:
-    """Per key the devices merged in the given order, the first one being the axis; long rows: cons_id, cons_t, confidence, device, t, weight (t null and weight 0 where a device has no event).
+    """Per key the devices merged in the given order, the first one being the axis; long rows: cons_id, cons_t, confidence, device, t, weight (t null and weight 0 where a device has no event), drift (the device's offset, scale, r_squared, n_matches, method).
 
     Only keys with an event of the first device have a timeline.
     """
@@ -253,22 +254,27 @@ def consensus_timeline(markers: DataFrame, keys: list[str], devices: list[str],
     columns = [F.array_sort(F.collect_list(F.when(F.col("device") == d, F.col(t).cast("double")))).alias(f"_{k}") for k, d in enumerate(devices)]
     series = spread(markers.filter(F.col("device").isin(*devices) & F.col(t).isNotNull()).select(*keys, "device", t), keys).groupBy(*keys).agg(*columns).filter(F.size("_0") > 0)
 
+    fields = [("offset", pa.float64()), ("scale", pa.float64()), ("r_squared", pa.float64()), ("n_matches", pa.int32()), ("method", pa.string())]
+
+    def drift_rows(lines: list[tuple]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*lines, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = [_arrays(batch.column(f"_{k}")) for k in range(len(devices))]
             for row in range(batch.num_rows):
-                times, conf, at, weight, _ = fold_timeline([a[row] for a in arrays], method=method, sigma=sigma, band=band, drift=drift, convention=convention)
+                times, conf, at, weight, lines = fold_timeline([a[row] for a in arrays], method=method, sigma=sigma, band=band, drift=drift, convention=convention)
                 order = np.argsort(times, kind="stable")
                 n = len(times)
                 given = batch.select(keys).take(pa.array(np.full(n * len(devices), row)))
                 flat_t = at[:, order].T.ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [*given.columns, pa.array(np.repeat(np.arange(n), len(devices))), pa.array(np.repeat(times[order], len(devices))), pa.array(np.repeat(conf[order], len(devices))), pa.array(devices * n), pa.array(flat_t, mask=np.isnan(flat_t)), pa.array(weight[:, order].T.ravel())],
-                    names=[*keys, "cons_id", "cons_t", "confidence", "device", "t", "weight"],
+                    [*given.columns, pa.array(np.repeat(np.arange(n), len(devices))), pa.array(np.repeat(times[order], len(devices))), pa.array(np.repeat(conf[order], len(devices))), pa.array(devices * n), pa.array(flat_t, mask=np.isnan(flat_t)), pa.array(weight[:, order].T.ravel()), drift_rows(lines).take(pa.array(np.tile(np.arange(len(devices)), n)))],
+                    names=[*keys, "cons_id", "cons_t", "confidence", "device", "t", "weight", "drift"],
                 )
 
     kinds = dict(series.dtypes)
-    return series.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cons_id long, cons_t double, confidence double, device string, t double, weight double")
+    return series.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", cons_id long, cons_t double, confidence double, device string, t double, weight double, drift {DRIFT}")
 
 
 def wide_timeline(timeline: DataFrame, keys: list[str], devices: list[str]) -> DataFrame:
@@ -278,7 +284,9 @@ def wide_timeline(timeline: DataFrame, keys: list[str], devices: list[str]) -> D
 
 
 def timeline_metadata(timeline: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the number of devices and events, the range, and the number of events by device."""
+    """Per key the number of devices and events, the range, and by device the number of events and the drift."""
     events = timeline.groupBy(*keys).agg(F.countDistinct("cons_id").alias("n_consensus_events"), F.countDistinct("device").alias("n_devices"), F.min("cons_t").alias("lo"), F.max("cons_t").alias("hi"))
-    per = timeline.groupBy(*keys, "device").agg(F.count("t").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("device", "n")))).alias("events_by_device"))
+    per = timeline.groupBy(*keys, "device").agg(F.count("t").alias("n"), F.first("drift").alias("drift")).groupBy(*keys)
+    by = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("device", c))))
+    per = per.agg(by("n").alias("events_by_device"), by("drift").alias("drift_by_device"))
     return events.join(per, keys)

@@ -55,11 +55,11 @@ def convert_eeg(signals: DataFrame, keys: list[str], fs: float, *, target: float
 
 def extract_markers(spark: SparkSession, path: str, kind: str, *, fs: float = 500.0, tolerance: float = 0.2, header: str | None = None) -> DataFrame:
     """path, reference_time and value of marker files of a kind: biopac, brainvision (with the headers' path) or fnirs."""
-    texts = text_scans.whole_texts(spark, path)
+    texts = text_scans.robust_texts(spark, path).filter("text IS NOT NULL").drop("encoding")
     if kind == "biopac":
         return markers.edge_markers(text_scans.trigger_samples(texts), ["path"], fs=fs, tolerance=tolerance).select("path", "reference_time", F.col("level").cast("string").alias("value"))
     if kind == "brainvision":
-        headers = text_scans.whole_texts(spark, header or path.replace(".vmrk", ".vhdr"))
+        headers = text_scans.robust_texts(spark, header or path.replace(".vmrk", ".vhdr")).drop("encoding")
         return markers.vmrk_markers(text_scans.vmrk_lines(texts, headers)).select("path", "reference_time", "value")
     if kind == "fnirs":
         return text_scans.protocol_markers(texts).select("path", "reference_time", "value")
@@ -75,7 +75,8 @@ def marker_series(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def clean_markers(spark: SparkSession, folder: str, out: str, *, min_rows: int = 2, min_interval: float = 1.0, remove_start: bool = False) -> DataFrame:
     """Cleans every marker CSV below a folder into `out`, with all its columns, under its path below the folder (partition column `file`); gives path, status and counts."""
-    texts = text_scans.whole_texts(spark, folder).filter(~F.col("path").contains("/._"))
+    every = text_scans.robust_texts(spark, folder).filter(~F.col("path").contains("/._"))
+    texts = every.filter("text IS NOT NULL").drop("encoding")
     rows = text_scans.marker_rows(texts, text_scans.CLEANING_TIME)
     missing = rows.filter("status IS NOT NULL").groupBy("path").agg(F.lit("missing_time_col").alias("status"), F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("long").alias("n_kept"))
     timed = rows.filter("status IS NULL").select("path", "row", "t")
@@ -87,7 +88,9 @@ def clean_markers(spark: SparkSession, folder: str, out: str, *, min_rows: int =
     whole = lines.join(first, ["path", "line_no"]).unionByName(lines.filter("line_no = 0").join(fine.select("path").distinct(), "path", "left_semi"))
     below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(re.sub("^[a-z]+:/+", "/", folder).rstrip("/")) + "/", "")
     whole.withColumn("file", below).repartition("file").sortWithinPartitions("file", "line_no").select("file", F.regexp_replace("line", "\r$", "").alias("value")).write.mode("overwrite").partitionBy("file").text(out)
-    return status.unionByName(missing)
+    unread = every.filter("text IS NULL").select("path", F.lit("read_error").alias("status"), F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_kept"))
+    empty = texts.join(rows.select("path").distinct(), "path", "left_anti").select("path", F.lit("deleted_empty").alias("status"), F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_kept"))
+    return status.unionByName(missing).unionByName(unread).unionByName(empty)
 
 
 def marker_inventory(spark: SparkSession, data: str, marks: str, out: str | None = None) -> DataFrame:
@@ -135,6 +138,23 @@ def crop_recordings(samples: DataFrame, kind: str, start: float, end: float, off
     return out.withColumn("file_name", with_task(F.col("file_name"), task)) if task else out
 
 
+def crop_with_metadata(samples: DataFrame, kind: str, meta: DataFrame, *, reference: str | None = None, task: str | None = None) -> DataFrame:
+    """Samples (subject, device, file_name, i, t, x, for EEG sfreq) cropped by what matching wrote: the consensus range, and each device's own offset.
+
+    Subjects without metadata or with an empty range have no rows; the reference device's samples stay as they are.
+    """
+    work = {"ecg": crop.crop_closed, "eeg": crop.crop_by_index, "fnirs": crop.crop_half_open}.get(kind)
+    if work is None:
+        raise ValueError(f"unknown kind {kind}")
+    own = F.try_element_at("drift_by_device", F.col("device"))
+    ranges = meta.filter("lo < hi").select("subject", F.col("lo").alias("start"), F.col("hi").alias("end"), "drift_by_device")
+    rows = samples.join(ranges, "subject").withColumn("offset", F.coalesce(own["offset"], F.lit(0.0))).drop("drift_by_device")
+    kept = rows.filter(F.col("device") == reference) if reference else rows.limit(0)
+    cut = work(rows.filter(F.col("device") != reference) if reference else rows, ["subject", "device", "file_name"])
+    out = cut.drop("start", "end", "offset", "sfreq").unionByName(kept.drop("start", "end", "offset", "sfreq"), allowMissingColumns=True)
+    return out.withColumn("file_name", with_task(F.col("file_name"), task)) if task else out
+
+
 # ---------------------------------------------------------------- quality
 
 
