@@ -131,15 +131,18 @@ def drift_apply(spark: SparkSession, d: str) -> DataFrame:
     return both.select("subject", F.round("t", 6).alias("t"), F.round(drift.corrected(t, o, s), 4).alias("reference_t"), F.round(drift.corrected(t, o, s, convention="forward"), 4).alias("forward_t"), F.round(drift.device_time(t, o, s), 4).alias("device_t"))
 
 
-#: The optimal assignment as a program over lists: best costs by number of the longer series' events, then back through the choices.
-ASSIGN_SQL = f"""WITH RECURSIVE {MARKERS_SQL}, a AS (SELECT subject, t FROM mk WHERE device = 'view'), b AS (SELECT subject, t FROM mk WHERE device = 'click'),
-la AS (SELECT subject, list(t ORDER BY t) AS a FROM a GROUP BY subject), lb AS (SELECT subject, list(t ORDER BY t) AS b FROM b GROUP BY subject), ab AS (SELECT la.subject, la.a, lb.b FROM la JOIN lb ON la.subject = lb.subject),
-z AS (SELECT subject, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS x, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS y, len(a) > len(b) AS flip FROM ab),
-dp AS (SELECT subject, 0 AS i, [0.0::DOUBLE for k in range(len(y) + 1)] AS best, []::BIGINT[][] AS choice, x, y, flip FROM z
+def _assign_sql(source: str, p: str = "") -> str:
+    """The optimal assignment of the lists a and b of each subject, as a program over lists: best costs by number of the longer series' events, then back through the choices. Gives {p}hp: subject, i, j, ta, tb."""
+    return f"""{p}z AS (SELECT subject, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS x, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS y, len(a) > len(b) AS flip FROM {source}),
+{p}dp AS (SELECT subject, 0 AS i, [0.0::DOUBLE for k in range(len(y) + 1)] AS best, []::BIGINT[][] AS choice, x, y, flip FROM {p}z
   UNION ALL SELECT subject, i + 1, list_concat(['inf'::DOUBLE], least_), list_append(choice, [list_position(pair, v)::BIGINT for v in least_]), x, y, flip FROM
-    (SELECT *, [list_min(pair[1:k]) for k in range(1, len(y) + 1)] AS least_ FROM (SELECT *, [best[k] + abs(x[i + 1] - y[k]) for k in range(1, len(y) + 1)] AS pair FROM dp WHERE i < len(x)))),
-bk AS (SELECT subject, len(x)::BIGINT AS i, choice[len(x)][len(y)] AS j, choice, x, y, flip FROM dp WHERE i = len(x) UNION ALL SELECT subject, i - 1, choice[i - 1][j - 1], choice, x, y, flip FROM bk WHERE i > 1),
-hp AS (SELECT subject, CASE WHEN flip THEN j ELSE i END - 1 AS i, CASE WHEN flip THEN i ELSE j END - 1 AS j, CASE WHEN flip THEN y[j] ELSE x[i] END AS ta, CASE WHEN flip THEN x[i] ELSE y[j] END AS tb FROM bk)"""
+    (SELECT *, [list_min(pair[1:k]) for k in range(1, len(y) + 1)] AS least_ FROM (SELECT *, [best[k] + abs(x[i + 1] - y[k]) for k in range(1, len(y) + 1)] AS pair FROM {p}dp WHERE i < len(x)))),
+{p}bk AS (SELECT subject, len(x)::BIGINT AS i, choice[len(x)][len(y)] AS j, choice, x, y, flip FROM {p}dp WHERE i = len(x) UNION ALL SELECT subject, i - 1, choice[i - 1][j - 1], choice, x, y, flip FROM {p}bk WHERE i > 1),
+{p}hp AS MATERIALIZED (SELECT subject, CASE WHEN flip THEN j ELSE i END - 1 AS i, CASE WHEN flip THEN i ELSE j END - 1 AS j, CASE WHEN flip THEN y[j] ELSE x[i] END AS ta, CASE WHEN flip THEN x[i] ELSE y[j] END AS tb FROM {p}bk)"""
+
+
+ASSIGN_SQL = f"""WITH RECURSIVE {MARKERS_SQL}, a AS (SELECT subject, t FROM mk WHERE device = 'view'), b AS (SELECT subject, t FROM mk WHERE device = 'click'),
+la AS (SELECT subject, list(t ORDER BY t) AS a FROM a GROUP BY subject), lb AS (SELECT subject, list(t ORDER BY t) AS b FROM b GROUP BY subject), ab AS (SELECT la.subject, la.a, lb.b FROM la JOIN lb ON la.subject = lb.subject), {_assign_sql("ab")}"""
 NEAR_SQL = f"exp(-((ta - tb) * (ta - tb)) / (2 * {SIGMA} * {SIGMA}))"
 
 
@@ -153,16 +156,21 @@ def _slope_sql(name: str, source: str) -> str:
 {name} AS (SELECT p.subject, coalesce(any_value(s.scale), 1.0) AS scale, median(p.ref - coalesce(s.scale, 1.0) * p.dev) AS o FROM {source} p LEFT JOIN {name}s s ON s.subject = p.subject GROUP BY p.subject)"""
 
 
-def _round_sql(k: int) -> str:
-    b = f"l{k}"
-    return f"""o{k} AS (SELECT p.*, abs(p.ref - ({b}.scale * p.dev + {b}.o)) AS off FROM p JOIN {b} ON p.subject = {b}.subject),
-q{k} AS (SELECT *, median(off) OVER (PARTITION BY subject) AS mid FROM o{k}), w{k} AS (SELECT *, sum(CASE WHEN off <= 2 * mid THEN 1 ELSE 0 END) OVER (PARTITION BY subject) AS near FROM q{k}),
-c{k} AS (SELECT subject, i, ref, dev FROM w{k} WHERE mid > 0 AND near >= 5 AND off <= 2 * mid), {_slope_sql(f"t{k}", f"c{k}")},
-l{k + 1} AS (SELECT {b}.subject, coalesce(t{k}.scale, {b}.scale) AS scale, coalesce(t{k}.o, {b}.o) AS o FROM {b} LEFT JOIN t{k} ON t{k}.subject = {b}.subject)"""
+def _round_sql(k: int, p: str = "") -> str:
+    b = f"{p}l{k}"
+    return f"""{p}o{k} AS (SELECT p.*, abs(p.ref - ({b}.scale * p.dev + {b}.o)) AS off FROM {p}p p JOIN {b} ON p.subject = {b}.subject),
+{p}q{k} AS (SELECT *, median(off) OVER (PARTITION BY subject) AS mid FROM {p}o{k}), {p}w{k} AS (SELECT *, sum(CASE WHEN off <= 2 * mid THEN 1 ELSE 0 END) OVER (PARTITION BY subject) AS near FROM {p}q{k}),
+{p}c{k} AS (SELECT subject, i, ref, dev FROM {p}w{k} WHERE mid > 0 AND near >= 5 AND off <= 2 * mid), {_slope_sql(f"{p}t{k}", f"{p}c{k}")},
+{p}l{k + 1} AS MATERIALIZED (SELECT {b}.subject, coalesce({p}t{k}.scale, {b}.scale) AS scale, coalesce({p}t{k}.o, {b}.o) AS o FROM {b} LEFT JOIN {p}t{k} ON {p}t{k}.subject = {b}.subject)"""
 
 
-LINE_SQL = f"""{ASSIGN_SQL}, p0 AS (SELECT subject, i, ta AS ref, tb AS dev FROM hp), p AS (SELECT * FROM p0 WHERE subject IN (SELECT subject FROM p0 GROUP BY subject HAVING count(*) >= 5)),
-{_slope_sql("l0", "p")}, {_round_sql(0)}, {_round_sql(1)},
+def _line_sql(pairs: str, p: str = "") -> str:
+    """The robust line {p}l2 (subject, scale, o) through the pairs of subjects that have five at least."""
+    return f"""{p}p0 AS (SELECT subject, i, ta AS ref, tb AS dev FROM {pairs}), {p}p AS MATERIALIZED (SELECT * FROM {p}p0 WHERE subject IN (SELECT subject FROM {p}p0 GROUP BY subject HAVING count(*) >= 5)),
+{_slope_sql(f"{p}l0", f"{p}p")}, {_round_sql(0, p)}, {_round_sql(1, p)}"""
+
+
+LINE_SQL = f"""{ASSIGN_SQL}, {_line_sql("hp")},
 th AS (SELECT p.subject, any_value(l2.o) AS o, any_value(l2.scale) AS scale, CASE WHEN var_pop(ref) > 0 THEN greatest(0.0, 1 - var_pop(ref - (l2.scale * dev + l2.o)) / var_pop(ref)) ELSE 0.0 END AS r_squared, count(*) AS n_matches
 FROM p JOIN l2 ON l2.subject = p.subject GROUP BY p.subject)"""
 
@@ -288,14 +296,46 @@ def _timeline(spark: SparkSession, d: str) -> DataFrame:
     return matching.consensus_timeline(markers(spark, d), ["subject"], DEVICES, sigma=SIGMA, band=BAND)
 
 
-@C.query()
+def _fold_sql(devices: list[str]) -> str:
+    """Rows {tl}k (subject, cid, t, conf) and {at}k (subject, cid, device, t, w) after each device: drift by assignment, then matches within the band, then weighted means."""
+    parts = [f"""tl0 AS MATERIALIZED (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS cid, t, 1.0::DOUBLE AS conf FROM mk WHERE device = '{devices[0]}'),
+at0 AS MATERIALIZED (SELECT subject, cid, '{devices[0]}' AS device, t, 1.0::DOUBLE AS w FROM tl0)"""]
+    for k, device in enumerate(devices[1:], 1):
+        p = f"s{k}_"
+        parts.append(f"""{p}ab AS MATERIALIZED (SELECT x.subject, x.a, y.b FROM (SELECT subject, list(t ORDER BY t) AS a FROM tl{k - 1} GROUP BY subject) x JOIN (SELECT subject, list(t ORDER BY t) AS b FROM mk WHERE device = '{device}' GROUP BY subject) y ON x.subject = y.subject),
+{_assign_sql(f"{p}ab", f"{p}d_")}, {_line_sql(f"{p}d_hp", p)},
+{p}e AS (SELECT subject, CASE WHEN len(a) >= 2 AND len(b) >= 2 AND b[-1] > b[1] THEN (a[-1] - a[1]) / (b[-1] - b[1]) ELSE 1.0 END AS scale, a, b FROM {p}ab),
+{p}dr AS (SELECT e.subject, coalesce(l.scale, e.scale) AS scale, CASE WHEN l.subject IS NOT NULL THEN l.o WHEN len(a) >= 2 AND len(b) >= 2 THEN a[1] - e.scale * b[1] ELSE 0.0 END AS o, a, b FROM {p}e e LEFT JOIN {p}l2 l ON l.subject = e.subject),
+{p}mv AS MATERIALIZED (SELECT subject, a, [(v - o) / scale for v in b] AS b FROM {p}dr), {_assign_sql(f"{p}mv", f"{p}m_")},
+{p}x AS MATERIALIZED (SELECT subject, i, j, tb, {NEAR_SQL} AS c FROM {p}m_hp WHERE abs(ta - tb) <= {BAND}),
+{p}old AS (SELECT subject, cid, t, conf, row_number() OVER (PARTITION BY subject ORDER BY t, cid) - 1 AS i FROM tl{k - 1}),
+{p}got AS MATERIALIZED (SELECT o.subject, o.cid, o.t, o.conf + coalesce(x.c, 0.0) AS conf, x.tb, x.c FROM {p}old o LEFT JOIN {p}x x ON x.subject = o.subject AND x.i = o.i),
+{p}all AS (SELECT subject, len(a) AS n, b, unnest(range(len(b))) AS j FROM {p}mv),
+{p}new AS MATERIALIZED (SELECT e.subject, e.n + row_number() OVER (PARTITION BY e.subject ORDER BY e.j) - 1 AS cid, e.b[e.j + 1] AS t FROM {p}all e ANTI JOIN {p}x x ON x.subject = e.subject AND x.j = e.j),
+at{k} AS MATERIALIZED (SELECT * FROM at{k - 1} UNION ALL SELECT subject, cid, '{device}', tb, c FROM {p}got WHERE c IS NOT NULL UNION ALL SELECT subject, cid, '{device}', t, 1.0 FROM {p}new),
+tl{k} AS MATERIALIZED (SELECT r.subject, r.cid, CASE WHEN sum(q.w) > 0 THEN sum(q.t * q.w) / sum(q.w) ELSE any_value(r.t) END AS t, any_value(r.conf) AS conf FROM (SELECT subject, cid, t, conf FROM {p}got UNION ALL SELECT subject, cid, t, 1.0 FROM {p}new) r
+  JOIN at{k} q ON q.subject = r.subject AND q.cid = r.cid GROUP BY r.subject, r.cid)""")
+    last = len(devices) - 1
+    return f"WITH RECURSIVE {MARKERS_SQL}, {', '.join(parts)}, tl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS cons_id FROM tl{last}), own AS (SELECT * FROM at{last})"
+
+
+FIVE_SQL = _fold_sql(DEVICES)
+
+
+@C.query(FIVE_SQL + f""" SELECT tl.subject, tl.cons_id, round(tl.t, 3) AS cons_t, round(tl.conf, 5) AS confidence, v.device, round(own.t, 3) AS t, round(coalesce(own.w, 0.0), 5) AS weight
+FROM tl CROSS JOIN (SELECT unnest({DEVICES}) AS device) v LEFT JOIN own ON own.subject = tl.subject AND own.cid = tl.cid AND own.device = v.device""")
 def timeline_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return _timeline(spark, d).drop("drift")
+    numbers = {"cons_t": 3, "confidence": 5, "t": 3, "weight": 5}
+    return _timeline(spark, d).select("subject", "cons_id", "device", *(F.round(c, k).alias(c) for c, k in numbers.items()))
 
 
-@C.query()
+@C.query(FIVE_SQL + " SELECT tl.subject, tl.cons_id, round(any_value(tl.t), 3) AS consensus_time, round(any_value(tl.conf), 5) AS consensus_confidence, "
+         + ", ".join(f"round(any_value(CASE WHEN own.device = '{c}' THEN own.t END), 3) AS {c}_time, round(coalesce(any_value(CASE WHEN own.device = '{c}' THEN own.w END), 0.0), 5) AS {c}_weight" for c in DEVICES)
+         + " FROM tl JOIN own ON own.subject = tl.subject AND own.cid = tl.cid GROUP BY tl.subject, tl.cons_id")
 def timeline_wide_five(spark: SparkSession, d: str) -> DataFrame:
-    return matching.wide_timeline(_timeline(spark, d), ["subject"], DEVICES)
+    wide = matching.wide_timeline(_timeline(spark, d), ["subject"], DEVICES)
+    numbers = {"consensus_time": 3, "consensus_confidence": 5} | {f"{c}_time": 3 for c in DEVICES} | {f"{c}_weight": 5 for c in DEVICES}
+    return wide.select("subject", "cons_id", *(F.round(c, k).alias(c) for c, k in numbers.items()))
 
 
 # ---------------------------------------------------------------- offsets and crops
