@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,13 +37,23 @@ def drop(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as Parquet in the shared folder, so that a lost executor costs no recomputation.
 
-    The table goes when the program ends.
+    The table goes when the program ends, or when it is given to `forget`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        held = _PATHS.pop(id(table), None)
+        if held:
+            drop(table.sparkSession, held[1])
 
 
 def least_hashed(rows: DataFrame, key: str, most: int) -> DataFrame:

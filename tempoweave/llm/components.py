@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempoweave.llm._store import written
+from tempoweave.llm._store import forget, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,12 +24,14 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         # large star: larger neighbours of every id move to its least neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")  # so that a hub's rows can be split in the join
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        hubs = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least")  # so that a hub's rows can be split in the join
+        large = both.filter("b > a").join(hubs, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: an id and its smaller neighbours move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        now = written(small, name)
+        after = written(small, name)
+        forget(now, hubs)
+        now = after
         before, state = state, _state(now)
         if before == state:
             return now

@@ -59,7 +59,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tempoweave.llm._store import written
+from tempoweave.llm._store import forget, written
 from tempoweave.llm._text import FOLD, chunks, column_bytes, longs, mix, slices, word_codes, words
 from tempoweave.llm.components import connected
 from tempoweave.llm.passages import packed_texts, unpacked, whole_groups
@@ -358,8 +358,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # equal sets, by two independent fingerprints of every shingle
     copies = sets.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    copied = sets.filter("n > 0").join(written(copies, "jaccard-classes"), ["n", "f", "g"]).filter("doc_id <> rep").select("doc_id", "rep")
-    copied = written(copied, "jaccard-copies")
+    classes = written(copies, "jaccard-classes")
+    copied = written(sets.filter("n > 0").join(classes, ["n", "f", "g"]).filter("doc_id <> rep").select("doc_id", "rep"), "jaccard-copies")
 
     def represented(df: DataFrame) -> DataFrame:
         return df.join(copied, "doc_id", "left").withColumn("doc_id", F.coalesce("rep", "doc_id")).drop("rep")
@@ -375,6 +375,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = groups.groupBy("size", "first", "print0", "print1").agg(F.min("signature").alias("signature")).select("signature", "first", "size")
     members = written(keys.join(groups, "signature"), "jaccard-groups")
     near = written(members.select("doc_id").distinct(), "jaccard-near")
+    forget(classes, keys)
     packed = written(packed_texts(texts).join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -389,15 +390,16 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return placed.join(still, "signature")
 
     stars = verified(members.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-stars")
-    links = stars.filter("linked").select("a", "b")
-    merged = connected(links, "jaccard-components")
+    merged = connected(stars.filter("linked").select("a", "b"), "jaccard-components")
+
+    def with_links(checked: DataFrame) -> DataFrame:
+        return connected(merged.unionByName(checked.filter("linked").select("a", "b")), "jaccard-components")
 
     few = open_groups(merged).filter(F.col("size") <= SMALL).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("doc_id", "component"))).alias("docs"))
     pairs = few.select(F.inline(F.expr(_PAIRS))).select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     pairs = written(pairs, "jaccard-pairs")
     if pairs.limit(1).count():
-        links = links.unionByName(verified(pairs, "jaccard-more").filter("linked").select("a", "b"))
-        merged = connected(links, "jaccard-components")
+        merged = with_links(verified(pairs, "jaccard-more"))
 
     for salt in range(1, 1000):  # once more only if 32-bit numbers made a link up
         large = written(open_groups(merged).filter(F.col("size") > SMALL).select("signature", "doc_id", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-large")
@@ -409,11 +411,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         dealt = dealt.select(F.xxhash64("signature", F.least("block", "other"), F.greatest("block", "other")).alias("block"), "doc_id", "component").join(folds, "doc_id")
         found = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks, "a long, b long").distinct()
         found = verified(written(found, "jaccard-joins"), "jaccard-joined")
-        links = links.unionByName(found.filter("linked").select("a", "b"))
-        merged = connected(links, "jaccard-components")
+        merged = with_links(found)
         if not found.filter("NOT linked").limit(1).count():
             break
 
+    forget(near, members, packed, stars, pairs, large)
     out = represented(sets.select("doc_id", F.col("doc_id").alias("own"), "n")).join(merged.select(F.col("a").alias("doc_id"), F.col("b").alias("component")), "doc_id", "left")
     out = out.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionByName(every.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
