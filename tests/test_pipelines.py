@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tempoweave import cli
 from tempoweave.plans import pipelines as jobs
+from tempoweave.sources import text_scans
 from tests.test_markers import EXPORT
 
 
@@ -47,6 +48,35 @@ def test_marker_jobs(spark, tmp_path):
     assert sorted(r["new_name"] for r in jobs.bids_renames(names).collect()) == ["sub-060_ses-01_task-rest_ecg.acq", "sub-060_ses-01_task-rest_ecg_1.acq"]
 
 
+def test_crops_by_metadata(spark):
+    """The consensus range and each device's own drift decide; the reference stays whole."""
+    times = {"a": [0.0, 10.0, 20.0, 30.0], "b": [5.0, 15.0, 25.0, 35.0]}
+    series = spark.createDataFrame([(1, d, t) for d, own in times.items() for t in own], "subject long, device string, t double")
+    _, meta = jobs.match_devices(series, ["a", "b"], drift="linear")
+    row = meta.first()
+    assert row["drift_by_device"]["a"]["method"] == "reference" and row["drift_by_device"]["b"]["offset"] == -5.0 and (row["lo"], row["hi"]) == (0.0, 40.0)
+    samples = spark.createDataFrame([(1, d, f"{d}.csv", i, float(i), 1.0) for d in "ab" for i in range(60)] + [(2, "a", "x.csv", 0, 0.0, 1.0)], "subject long, device string, file_name string, i long, t double, x double")
+    cut = jobs.crop_with_metadata(samples, "ecg", meta, reference="a").groupBy("device").agg(F.count("t").alias("n"), F.min("t").alias("lo")).collect()
+    assert {r["device"]: (r["n"], r["lo"]) for r in cut} == {"a": (60, 0.0), "b": (41, 0.0)}
+    assert jobs.crop_with_metadata(samples, "fnirs", meta).filter("device = 'a'").count() == 40
+    with pytest.raises(ValueError):
+        jobs.crop_with_metadata(samples, "x", meta)
+
+
+def test_encodings(spark, tmp_path):
+    (tmp_path / "a_marker.csv").write_bytes("reference_time,value\n1.0,时间\n3.0,y\n".encode("gbk"))
+    (tmp_path / "b_marker.csv").write_bytes(b"\xef\xbb\xbfreference_time,value\n1.0,x\n3.0,y\n")
+    (tmp_path / "c_marker.csv").write_bytes(b"")
+    status = {r["path"].rsplit("/", 1)[-1]: (r["status"], r["n_kept"]) for r in jobs.clean_markers(spark, str(tmp_path), str(tmp_path / "out")).collect()}
+    assert status == {"a_marker.csv": ("cleaned", 2), "b_marker.csv": ("cleaned", 2), "c_marker.csv": ("deleted_empty", 0)}
+
+
+def test_wide_samples(spark):
+    rows = spark.createDataFrame([("a", "x,\"y, z\"\n1,2\n3,bad"), ("b", "1,2\n3,4")], "path string, text string")
+    out = {(r["path"], r["sample_idx"], r["channel"]): r["x"] for r in text_scans.wide_samples(rows).collect()}
+    assert out == {("a", 0, "x"): 1.0, ("a", 0, "y, z"): 2.0, ("a", 1, "x"): 3.0, ("a", 1, "y, z"): None, ("b", 0, "ch1"): 1.0, ("b", 0, "ch2"): 2.0, ("b", 1, "ch1"): 3.0, ("b", 1, "ch2"): 4.0}
+
+
 def test_fnirs_to_quality(spark, tmp_path):
     rng, rows = np.random.default_rng(1), 200
     head, _ = EXPORT.split("\n0.0\t", 1)

@@ -102,3 +102,22 @@ def test_full_scores_hold_all_ten_metrics(spark):
         row = parts[r["recording"], r["pair_base"]]
         assert abs(r["composite_score"] - sum(row[n] * w for n, *_, w in METRICS)) < 5e-5
     assert {f"mean_{n}" for n in names[:7]} <= set(q["quality_run_summary_full"](spark, d).columns)
+
+
+def test_gaps_keep_places(spark):
+    """Samples keep their places over a gap, and what is far from it is as without one."""
+    x = np.sin(np.arange(200) / 9.0)
+    whole = spark.createDataFrame([(0, "c", i, float(v)) for i, v in enumerate(x)], "recording long, channel string, sample_idx long, x double")
+    gap = whole.filter("sample_idx NOT BETWEEN 100 AND 109")
+    for work in (lambda s: spectral.smart_filter(s, ["recording", "channel"], 4.0, 0.05, 0.5), lambda s: spectral.motion_repair(s, ["recording", "channel"], 4.0)):
+        full, left = ({r["sample_idx"]: r["x"] for r in work(s).collect()} for s in (whole, gap))
+        assert set(left) == set(range(200)) - set(range(100, 110))
+    half = {r["sample_idx"] for r in spectral.fft_resample(gap, ["recording", "channel"], 4.0, 2.0).collect()}
+    assert half == set(range(100))
+
+
+def test_last_channel_of_a_type_pairs(spark):
+    rows = [(1, c, k, "p", i, v * (i % 5)) for c, k, v in (("c9", "hbo", 1.0), ("c10", "hbo", -1.0), ("c2", "hbr", 1.0)) for i in range(20)]
+    signals = spark.createDataFrame(rows, "recording long, channel string, ch_type string, pair_base string, sample_idx long, x double")
+    assert quality.haemoglobin_pairs(signals.select("recording", "channel", "ch_type", "pair_base").distinct()).first()["hbo"] == "c10"
+    assert quality.pair_metrics(signals).first()["hbo_hbr_corr"] < -0.99
