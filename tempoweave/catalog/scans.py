@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tempoweave.catalog import Catalog
 from tempoweave.catalog.markers import BAND, SIGMA, TWO_SQL, _devices, _two, _two_timeline
 from tempoweave.functions import naming, times
-from tempoweave.operators import devices, matching, report, spectral
+from tempoweave.operators import crop, devices, inventory, matching, quality, report, spectral
 from tempoweave.sources import text_scans
 from tempoweave.sources.driver_tables import FILES_SQL, MARKERS_SQL, SIGNALS_SQL, file_names, markers, signals, table
 
@@ -218,6 +218,76 @@ def quality_detail_scan(spark: SparkSession, d: str) -> DataFrame:
     return text_scans.quality_details(detail, more).select("recording", "channel", F.round("sd", 6).alias("sd"), F.round("peak", 6).alias("peak"))
 
 
+def _sheet(spark: SparkSession, d: str) -> DataFrame:
+    """CSV samples per subject: a time column of one of three names, or no header, and two channels."""
+    k, u = F.col("event_id"), F.col("user_id")
+    cells = F.concat_ws(",", F.when(k % 13 == 0, "-").otherwise(F.format_string("%.2f", k / 4.0)), (k % 7).cast("string"), F.format_string("%.1f", F.col("value")))
+    head = F.when(u % 4 == 0, "Time(sec),A,B").when(u % 4 == 1, "time,A,B").when(u % 4 == 2, "My Time,A,B")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(k, cells.alias("line")))), lambda x: x["line"])
+    first = F.lit("0.00,1,1.0")
+    return table(spark, d, "events").groupBy("user_id").agg(lines.alias("l")).select(u.cast("string").alias("path"), F.concat_ws("\n", head, first, "l").alias("text"))
+
+
+SHEET_SQL = """s AS (SELECT user_id AS u, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, value FROM events),
+r AS (SELECT u, i, CASE WHEN k % 13 <> 0 THEN round(k / 4.0::DOUBLE, 2) END AS t, (k % 7)::DOUBLE AS a, round(value, 1)::DOUBLE AS b FROM s UNION ALL SELECT DISTINCT u, 0, 0.0, 1.0, 1.0 FROM s),
+w AS (SELECT CAST(u AS VARCHAR) AS path, i, t, CASE WHEN u % 4 = 3 THEN 'CH1' ELSE 'A' END AS channel, a AS x FROM r WHERE t IS NOT NULL UNION ALL SELECT CAST(u AS VARCHAR), i, t, CASE WHEN u % 4 = 3 THEN 'CH2' ELSE 'B' END, b FROM r WHERE t IS NOT NULL)"""
+
+
+@C.query(f"WITH {SHEET_SQL} SELECT path, i, t, channel, round(x, 1) AS x FROM w")
+def timed_sheets(spark: SparkSession, d: str) -> DataFrame:
+    return text_scans.timed_samples(_sheet(spark, d)).select("path", "i", F.round("t", 2).alias("t"), "channel", F.round("x", 1).alias("x"))
+
+
+@C.query(f"WITH {SHEET_SQL} SELECT path, channel, round(t - 99.5, 2) AS t, round(x, 1) AS x FROM w WHERE t >= 99.5 AND t <= 299.5")
+def crop_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Sheets cropped by the closed rule, headerless ones as well."""
+    rows = text_scans.timed_samples(_sheet(spark, d)).withColumn("start", F.lit(100.0)).withColumn("end", F.lit(300.0)).withColumn("offset", F.lit(0.5))
+    return crop.crop_closed(rows, ["path", "channel"]).select("path", "channel", F.round("t", 2).alias("t"), F.round("x", 1).alias("x"))
+
+
+@C.query(f"""WITH {FILES_SQL}, p AS (SELECT id, CASE WHEN id % 6 = 0 THEN replace(path, 'Data/', 'Data/.cache/') WHEN id % 6 = 1 THEN replace(path, name, '._' || name) WHEN id % 6 = 2 THEN '__MACOSX/' || path WHEN id % 6 = 3 THEN path || '.bak' ELSE path END AS path FROM fn)
+SELECT id, path, regexp_extract(path, '[^/]*$') AS file_name FROM p WHERE id % 6 > 3""")
+def data_file_scan(spark: SparkSession, d: str) -> DataFrame:
+    k, p, n = F.col("id"), F.col("path"), F.col("name")
+    path = F.when(k % 6 == 0, F.replace(p, F.lit("Data/"), F.lit("Data/.cache/"))).when(k % 6 == 1, F.replace(p, n, F.concat(F.lit("._"), n))).when(k % 6 == 2, F.concat(F.lit("__MACOSX/"), p)).when(k % 6 == 3, F.concat(p, F.lit(".bak"))).otherwise(p)
+    return inventory.data_files(file_names(spark, d).select("id", path.alias("path"))).select("id", "path", "file_name")
+
+
+@C.query(f"""WITH {MARKERS_SQL}, f AS (SELECT 'marker/' || device || '/' || CASE subject % 3 WHEN 0 THEN 'REC' WHEN 1 THEN 'rec' ELSE 'other' END || '_marker.csv' AS path, device, subject % 3 AS k, CASE WHEN subject % 3 = 0 AND device = 'view' THEN 0 ELSE count(*) END AS n FROM mk GROUP BY subject, device)
+SELECT device, min(path) AS path FROM f WHERE k < 2 AND n > 0 GROUP BY device""")
+def marker_folder(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("subject") % 3
+    path = F.concat(F.lit("marker/"), "device", F.lit("/"), F.when(k == 0, "REC").when(k == 1, "rec").otherwise("other"), F.lit("_marker.csv"))
+    files = markers(spark, d).groupBy("subject", "device").agg(F.count(F.lit(1)).alias("n")).select(path.alias("path"), F.when((k == 0) & (F.col("device") == "view"), 0).otherwise(F.col("n")).alias("n_rows"))
+    return inventory.first_marker_files(files, "Rec")
+
+
+@C.query(f"WITH {MARKERS_SQL} SELECT subject, device, round(t, 6) AS t, CASE WHEN subject % 3 = 0 THEN 'cached' ELSE 'extracted' END AS origin FROM mk")
+def marker_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = markers(spark, d).select("subject", "device", F.round("t", 6).alias("t"))
+    return inventory.with_fallback(rows.filter("subject % 3 = 0").withColumn("origin", F.lit("cached")), rows.withColumn("origin", F.lit("extracted")), ["subject", "device"])
+
+
+@C.query(f"""WITH {MARKERS_SQL}, r AS (SELECT subject, device, round(min(t), 3) AS lo, round(max(t), 3) AS hi FROM mk GROUP BY ALL), l AS (SELECT subject, list(device ORDER BY device) AS dv, list(lo ORDER BY device) AS lo FROM r GROUP BY subject)
+SELECT subject, 'ecg' AS kind, len(dv) AS n, dv[1] AS first_device, round(lo[1], 3) AS first_lo, 'm' || subject AS meta FROM l""")
+def crop_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON of a crop, read back."""
+    rows = _devices(spark, d).select("subject", "device", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), F.lit(0.5).alias("offset"), F.concat(F.lit("m"), F.col("subject").cast("string")).alias("meta"))
+    out = crop.crop_metadata(rows, ["subject"], {"kind": "ecg"})
+    read = F.from_json("json", "struct<crop_parameters:struct<kind:string>,devices_cropped:array<struct<name:string,range:array<double>,offset:double>>,original_matched_metadata:string>")
+    out = out.select("subject", read.alias("j"))
+    return out.select("subject", F.col("j.crop_parameters.kind").alias("kind"), F.size("j.devices_cropped").cast("long").alias("n"), F.col("j.devices_cropped")[0]["name"].alias("first_device"), F.col("j.devices_cropped")[0]["range"][0].alias("first_lo"), F.col("j.original_matched_metadata").alias("meta"))
+
+
+@C.query(f"""WITH {SIGNALS_SQL}, p AS (SELECT recording, channel, max(x) > 0.35 AND recording % 2 = 0 AS post, min(x) < -0.35 AS pre FROM sig GROUP BY recording, channel), b AS (SELECT *, CASE WHEN bool_or(post) OVER (PARTITION BY recording) THEN post ELSE pre END AS bad FROM p)
+SELECT recording, channel, CASE WHEN bad THEN 0.0 ELSE 1.0 END::DOUBLE AS channel_score, round(avg(CASE WHEN bad THEN 0.0 ELSE 1.0 END) OVER (PARTITION BY recording), 6) AS overall_score FROM b""")
+def channel_scores_of_both(spark: SparkSession, d: str) -> DataFrame:
+    """Bad channels after filtering, or before it where none is left."""
+    s = signals(spark, d).groupBy("recording", "channel").agg(F.max("x").alias("hi"), F.min("x").alias("lo"))
+    post, pre = s.select("recording", "channel", ((F.col("hi") > 0.35) & (F.col("recording") % 2 == 0)).alias("bad_final")), s.select("recording", "channel", (F.col("lo") < -0.35).alias("bad_final"))
+    return quality.channel_scores(post, pre).select("recording", "channel", "channel_score", F.round("overall_score", 6).alias("overall_score"))
+
+
 # ---------------------------------------------------------------- SQL
 
 

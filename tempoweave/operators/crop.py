@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 
 def offsets_of_devices(devices: DataFrame, spec: DataFrame, keys: list[str]) -> DataFrame:
-    """Each device (in order of `position`, from 0) with its entry of the key's `offsets` array; missing entries are 0."""
-    return devices.join(spec, keys, "left").withColumn("offset", F.coalesce(F.get(F.col("offsets"), F.col("position").cast("int")), F.lit(0.0))).drop("offsets")
+    """Each device (in order of `position`, from 0) with its entry of the key's `offsets` array; missing entries are 0, more entries than devices are an error."""
+    many = F.size("offsets") > F.count(F.lit(1)).over(W.partitionBy(*keys))
+    offset = F.when(many, F.raise_error(F.lit("more offsets than devices")).cast("double")).otherwise(F.coalesce(F.get(F.col("offsets"), F.col("position").cast("int")), F.lit(0.0)))
+    return devices.join(spec, keys, "left").withColumn("offset", offset).drop("offsets")
 
 
 def adjusted_offsets(drifts: DataFrame, changes: DataFrame, keys: list[str], *, add: bool = False) -> DataFrame:
@@ -69,3 +71,14 @@ def crop_half_open(samples: DataFrame, keys: list[str], *, t: str = "t") -> Data
     by = W.partitionBy(*keys)
     out = samples.withColumn("inside", inside).withColumn("some", F.max("inside").over(by)).filter("inside OR NOT some")
     return out.withColumn(t, F.col(t) - F.min(t).over(by)).drop("inside", "some")
+
+
+def crop_metadata(crops: DataFrame, keys: list[str], parameters: dict[str, str]) -> DataFrame:
+    """Per key the JSON that a crop leaves: its parameters, the devices that were cropped with their ranges and offsets, and the metadata of the matching that it followed.
+
+    crops: device, lo, hi, offset, meta (JSON text or null).
+    """
+    device = F.struct(F.col("device").alias("name"), F.array("lo", "hi").alias("range"), "offset")
+    given = F.struct(*(F.lit(v).alias(k) for k, v in sorted(parameters.items())))
+    out = crops.groupBy(*keys).agg(F.array_sort(F.collect_list(device)).alias("devices"), F.first("meta", ignorenulls=True).alias("meta"))
+    return out.select(*keys, F.to_json(F.struct(given.alias("crop_parameters"), F.col("devices").alias("devices_cropped"), F.col("meta").alias("original_matched_metadata"))).alias("json"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,6 +62,29 @@ def data_files_for_markers(markers: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", "data_path", nth.cast("long").alias("priority"))
 
 
+#: Extensions of data files.
+DATA_EXTENSIONS = (".snirf", ".txt", ".set", ".vhdr", ".edf", ".eeg", ".fdt", ".csv", ".acq")
+
+
+def data_files(paths: DataFrame) -> DataFrame:
+    """Data files by their extension (in any case) with what their names say; hidden files and folders and archive leftovers are skipped."""
+    shown = ~F.col("path").rlike(r"(^|/)\.[^/]") & ~F.col("path").contains("__MACOSX")
+    return with_names(paths.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*DATA_EXTENSIONS) & shown))
+
+
+def first_marker_files(files: DataFrame, name: str | Column) -> DataFrame:
+    """Per device folder the first marker file that is not empty and whose stem without `_marker` is the name, without case: device, path. files: path, n_rows."""
+    parts = F.split("path", "/")
+    file = F.element_at(parts, -1)
+    same = F.lower(F.regexp_replace(file, r"_marker\.csv$", "")) == F.lower(F.lit(name) if isinstance(name, str) else name)
+    return files.filter(file.endswith("_marker.csv") & same & (F.col("n_rows") > 0)).withColumn("device", F.element_at(parts, -2)).groupBy("device").agg(F.min("path").alias("path"))
+
+
+def with_fallback(cached: DataFrame, extracted: DataFrame, keys: list[str], *, force_reload: bool = False) -> DataFrame:
+    """Rows that are there already, and extracted ones of the keys that have none; with force_reload extracted ones alone."""
+    return extracted if force_reload else cached.unionByName(extracted.join(cached.select(*keys).distinct(), keys, "left_anti"))
+
+
 def without_collisions(names: DataFrame, *, new: str = "new_name", old: str = "old_name", folder: str | None = None) -> DataFrame:
     """Renames whose targets collide (in a folder) get _1, _2 ... before their extension, in order of the old name."""
     nth = F.row_number().over(W.partitionBy(*([folder] if folder else []), new).orderBy(old)) - 1

@@ -157,10 +157,15 @@ def run_scores(pairs: DataFrame, *, trim: float = 0.1) -> DataFrame:
     return out.select("recording", "run_score", tier(F.col("run_score")).alias("run_tier"), "n_channels_scored")
 
 
-def channel_scores(assessed: DataFrame) -> DataFrame:
-    """1 for a good channel, 0 for a bad one, and the recording's share of good ones."""
-    good = (~F.col("bad_final")).cast("double")
-    return assessed.select("recording", "channel", good.alias("channel_score"), F.avg(good).over(W.partitionBy("recording")).alias("overall_score"))
+def channel_scores(assessed: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """1 for a good channel, 0 for a bad one, and the recording's share of good ones; where filtering leaves no bad channel, those from before it count."""
+    keys, bad = ["recording", "channel"], F.col("bad_final")
+    rows = assessed.select(*keys, "bad_final")
+    if before is not None:
+        rows = rows.join(before.select(*keys, F.col("bad_final").alias("bad_before")), keys, "left")
+        bad = F.when(F.max("bad_final").over(W.partitionBy("recording")), bad).otherwise(F.coalesce("bad_before", F.lit(False)))
+    good = (~F.col("bad")).cast("double")
+    return rows.withColumn("bad", bad).select(*keys, good.alias("channel_score"), F.avg(good).over(W.partitionBy("recording")).alias("overall_score"))
 
 
 def best_pairs(assessed: DataFrame, *, share: float = 0.05) -> DataFrame:

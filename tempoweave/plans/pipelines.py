@@ -119,6 +119,16 @@ def match_devices(series: DataFrame, devices: list[str], out: str | None = None,
     return wide, meta
 
 
+def match_by_filename(spark: SparkSession, folder: str, name: str, out: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """The timeline of all devices (folders below `folder`) that have a marker file of a name; at least two are needed."""
+    texts = text_scans.robust_texts(spark, folder).filter(F.col("path").endswith("_marker.csv")).filter("text IS NOT NULL").drop("encoding")
+    rows = text_scans.marker_rows(texts).filter("t IS NOT NULL")
+    chosen = inventory.first_marker_files(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows")), name)
+    series = rows.join(chosen, "path").select(F.lit(0).cast("long").alias("subject"), "device", "t")
+    devices = sorted(r["device"] for r in chosen.select("device").distinct().collect())  # folders of one recording
+    return match_devices(series, devices, out, **options)
+
+
 def rematch_with_offsets(series: DataFrame, drifts: DataFrame, changes: DataFrame, devices: list[str], *, add: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """The timeline after changing offsets by hand (drifts: device, offset, scale, method; changes: device, change), and the report of what changed."""
     after = crop.adjusted_offsets(drifts, changes, ["device"], add=add)
@@ -180,10 +190,10 @@ def assess(signals: DataFrame, fs: float, *, low: float = 0.01, high: float = 0.
     full = quality.comprehensive_assessment(raw, fs, spectral.spectral_metrics(raw, keys, fs))
     pairs = quality.composite_scores(full)
     bad = full.filter("bad_final").select(*keys)
-    post = noted(cleaned)
+    pre, post = noted(raw), noted(cleaned)
     return {
-        "pre": noted(raw), "post": post, "comprehensive": full, "pairs": pairs, "runs": quality.run_summary(full, SIGNAL_METRICS).join(quality.run_scores(pairs), "recording", "left"),
-        "resting": quality.resting_metrics(raw, bad), "overall": quality.channel_scores(post), "best": quality.best_pairs(full),
+        "pre": pre, "post": post, "comprehensive": full, "pairs": pairs, "runs": quality.run_summary(full, SIGNAL_METRICS).join(quality.run_scores(pairs), "recording", "left"),
+        "resting": quality.resting_metrics(raw, bad), "overall": quality.channel_scores(post, pre), "best": quality.best_pairs(full),
     }
 
 

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from tempoweave import schemas
 from tempoweave.functions.naming import device_from_path, input_format, stem
+from tempoweave.operators.inventory import DATA_EXTENSIONS
 from tempoweave.functions.times import hms_seconds, iso_date, iso_time
 
 #: Names of the time column, in the order in which they are looked for.
 MATCHING_TIME = ("reference_time", "Time(sec)", "time", "Time")
 CLEANING_TIME = ("Time(sec)", "reference_time", "time", "Time")
-#: Extensions of data files.
-DATA_EXTENSIONS = (".snirf", ".txt", ".set", ".vhdr", ".edf", ".eeg", ".fdt", ".csv", ".acq")
+
 
 
 def whole_texts(spark: SparkSession, paths: str | list[str], encoding: str | None = None) -> DataFrame:
@@ -187,6 +187,17 @@ def wide_samples(texts: DataFrame) -> DataFrame:
     return body.select("path", (F.col("line_no") - F.when(F.col("bare"), 0).otherwise(1)).cast("long").alias("sample_idx"), F.posexplode(F.arrays_zip("names", "cells")).alias("k", "c")).select("path", "sample_idx", F.col("c.names").alias("channel"), F.col("c.cells").try_cast("double").alias("x"))
 
 
+def timed_samples(texts: DataFrame) -> DataFrame:
+    """path, i, t, channel and x of CSV files with a time column (the first candidate, or one with `time` in its name, or the first column); without a header the columns are Time(sec), CH1, CH2 ... Rows without a time are left out."""
+    rows = wide_samples(texts)
+    bare = F.col("channel").rlike(r"^ch\d+$")
+    named = rows.withColumn("channel", F.when(bare & (F.col("channel") == "ch1"), "Time(sec)").when(bare, F.concat(F.lit("CH"), (F.substring("channel", 3, 9).cast("int") - 1).cast("string"))).otherwise(F.col("channel")))
+    rank = F.coalesce(*(F.when(F.col("channel") == c, k) for k, c in enumerate(CLEANING_TIME)), F.when(F.lower("channel").contains("time"), len(CLEANING_TIME)))
+    time = named.withColumn("rank", rank).filter("rank IS NOT NULL").groupBy("path").agg(F.min_by("channel", F.struct("rank", "channel")).alias("time"))
+    t = named.join(time, "path").filter("channel = time AND x IS NOT NULL").select("path", "sample_idx", F.col("x").alias("t"))
+    return named.join(time, "path").filter("channel <> time").join(t, ["path", "sample_idx"]).select("path", F.col("sample_idx").alias("i"), "t", "channel", "x")
+
+
 def trigger_samples(texts: DataFrame) -> DataFrame:
     """path, i and v of one-column trigger files (the first line is a header); files with more columns are left out."""
     rows = lines_of(texts).filter("line_no > 0 AND trim(line) <> ''")
@@ -208,5 +219,5 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    out = files.withColumn("file_name", name).withColumn("ext", ext).filter(F.col("ext").isin(*DATA_EXTENSIONS) & ~F.col("file_name").startswith("._") & ~F.col("path").contains("__MACOSX"))
+    out = files.withColumn("file_name", name).withColumn("ext", ext).filter(F.col("ext").isin(*DATA_EXTENSIONS) & ~F.col("path").rlike(r"/\.[^/]") & ~F.col("path").contains("__MACOSX"))
     return out.select("path", "file_name", stem(F.col("file_name")).alias("stem"), "ext", device_from_path(F.col("path")).alias("device"), input_format(F.col("path")).alias("format"), "size")
