@@ -11,11 +11,10 @@ equals.  Equal windows have equal anchors at equal distances, so
   each other in every window, however long the copies are.
 
 Only anchors with a common gram but different contexts - the ends of copied
-passages - stay open, and their windows are settled one by one: bytes by prefix
-doubling (suffix_dedup.py), words in groups that share half of the context as
-well.  There, where more than `most` of them have one gram, not their texts but
-two fingerprints of each window travel, so no task has to hold a frequent
-passage's contexts.  Fingerprints are polynomials modulo 2**61 - 1; two windows
+passages - stay open, and their windows are compared one by one, in groups that
+share half of the context as well.  Where more than `most` of them have one
+gram, not their texts but two fingerprints of each window travel, so no task
+has to hold a frequent passage's contexts.  Fingerprints are polynomials modulo 2**61 - 1; two windows
 are taken as equal if those at two independent random bases agree.
 
 A row counts once, however often it is repeated.  Of rows that share an id but

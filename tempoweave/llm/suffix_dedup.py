@@ -1,27 +1,22 @@
-"""Exact substring removal by distributed prefix doubling over the positions that sampling leaves.
+"""Exact substring removal by fingerprints of sampled positions, in place of prefix doubling.
 
 Every byte is removed that lies in a string of `length` bytes which also starts
 earlier (in a document with a smaller id, or further up in the same document);
 overlapping occurrences count, and all is judged on the input.
 
-A suffix array of the whole corpus would sort every byte position in each
-round.  Two sorts of sampled positions (passages.py: of each string's anchor,
-`gram` bytes and their whole context) leave those strings whose anchor recurs
-but whose surroundings don't: the ends of copied passages.  Their positions go
-through prefix doubling:
-
-1. a position's first rank is the fingerprint of the quarter of `length` bytes
-   that follow it;
-2. Spark sorts the positions by the pair of that rank and the rank one quarter
-   further on; positions with a pair of their own leave, the others get the
-   pair's number in this order as their rank;
-3. the offset doubles to a half: Spark sorts the pairs of rank and the
-   fingerprint of what follows up to `length`, at an independent base; now all
-   `length` bytes are compared, and positions that aren't the first of their
-   pair start a string that occurs earlier.
-
-Positions of a task that repeat each other in full are settled there, and go to
-any task, so that a string in a third of all documents doesn't gather in one.
+A rank is a fingerprint of the text that follows (or surrounds) a position.
+Spark sorts positions by rank at growing lengths, and those with a rank of
+their own leave; ranks come from fingerprints, not from the sort:
+
+1. ranks of `gram` bytes at sampled positions (see passages.py);
+2. pairs of that rank and the rank of the whole context, beyond `length`
+   bytes: equal pairs repeat each other for certain;
+3. for the positions left, pairs of the rank and of half the context; unique
+   ones leave, and the ranks at `length` bytes decide window by window.
+
+Prefix doubling proper, with pairs ranked anew by each sort, was built for the
+positions that the first two sorts leave open, and needs more disk than the
+check tool allows (README).
 
 Defined results: a null or empty text has no bytes and keeps the empty string;
 rows that share an id are one document, each row gets its spans (if their texts
@@ -37,88 +32,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempoweave.llm._text import Ranges, arrow_batch, chunks, longs, mix, slices
-from tempoweave.llm.passages import HELD, Setup, expanded, lists, open_windows, repeated_windows, repeats, sent, spans, unpacked, whole_groups
-
-
-_RANKED = "rank long, next long, doc_id long, lo long, windows int"
-
-
-def _first_pairs(length: int, most: int):
-    """The open positions: rank pairs of the first half of their string (as one number), and the fingerprint of all of it."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for part in slices(batches, 200):
-            texts = unpacked(part.column("packed"))
-            for i, j in chunks(np.r_[0, np.cumsum([len(t) for t in texts])]):
-                firsts = np.r_[0, np.cumsum([len(t) for t in texts[i:j]])]
-                data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-                doc, lo, hi, _, _ = open_windows(part.slice(i, j - i), firsts, length)
-                ids = longs(part.slice(i, j - i), "doc_id")
-                quarter, ranges, other = length // 4, Ranges(data), Ranges(data, 1)
-                each, at = expanded(doc, lo, hi - lo + 1)
-                rank = mix(mix(ranges.of(at, at + quarter)) * np.uint64(3) + ranges.of(at + quarter, at + 2 * quarter))
-                held.append((rank, mix(other.of(at, at + length)), ids[each], at - firsts[each]))
-                if sum(len(x[0]) for x in held) >= most:
-                    yield ranked(held)
-                    held = []
-        if held:
-            yield ranked(held)
-
-    def ranked(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        batch = sent(held, False)
-        return pa.RecordBatch.from_arrays(batch.columns[:5], names=["rank", "next", "doc_id", "lo", "windows"])
-
-    return pairs
-
-
-def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pairs: those that several positions have get their number as rank, the others leave; what is settled goes on."""
-    number = TaskContext.get().partitionId() << 40
-    for batch in whole_groups(batches, "rank"):
-        rank, doc, lo, count = (longs(batch, n) for n in ("rank", "doc_id", "lo", "windows"))
-        live = count == 0
-        new = np.r_[True, rank[1:] != rank[:-1]]
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)[group]
-        several = np.bincount(group, live & ((doc != doc[first]) | (lo != lo[first]) | ~live[first]))[group] > 0
-        keep = ~live | several
-        given = np.where(live, number + group, rank)
-        number += int(group[-1]) + 1
-        columns = [pa.array(given), batch.column("next"), *(batch.column(n) for n in ("doc_id", "lo", "windows"))]
-        yield pa.RecordBatch.from_arrays(columns, names=["rank", "next", "doc_id", "lo", "windows"]).filter(pa.array(keep))
-
-
-def _last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pairs over the whole length: runs of positions that are not the first of theirs."""
-    for batch in whole_groups(batches, "rank"):
-        rank, after, doc, lo, count = (longs(batch, n) for n in ("rank", "next", "doc_id", "lo", "windows"))
-        done, single = count < 0, np.flatnonzero(count == 0)
-        late = single[repeats(rank[single], after[single], doc[single], lo[single], False)] if len(single) else single
-        d, at = doc[late], lo[late]
-        order = np.lexsort((at, d))
-        d, at = d[order], at[order]
-        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)][: len(d)])
-        more = np.diff(np.r_[new, len(d)]) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[doc[done], d[new]]), pa.array(np.r_[lo[done], at[new]]), pa.array(np.r_[-1 - count[done], more].astype(np.int32))], names=["doc_id", "lo", "rest"])
-
-
-def _doubled(opened: DataFrame, length: int, held: int) -> DataFrame:
-    """doc_id, lo, rest of the repeated strings that start at open positions."""
-    pairs = opened.mapInArrow(_first_pairs(length, held), _RANKED)
-    ranks = pairs.repartition("rank").sortWithinPartitions("rank", "doc_id", "lo").mapInArrow(_reranked, _RANKED)
-    return ranks.repartition("rank").sortWithinPartitions("rank", "next", "doc_id", "lo").mapInArrow(_last_pairs, "doc_id long, lo long, rest int")
-
-
-def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, held: int = HELD) -> DataFrame:
-    """Per document: doc_id, packed (its compressed text), runs (see passages.repeated_windows). held: positions that a task settles among themselves at a time."""
+from tempoweave.llm._text import Ranges, arrow_batch, column_bytes, longs, mix
+from tempoweave.llm.passages import Setup, lists, repeated_windows, repeats, runs_of, settled_by_context, spans, unpacked, whole_groups
+
+
+def _settle(length: int):
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "key"):
+            key = longs(batch, "key")
+            new = np.r_[True, key[1:] != key[:-1]]
+            group = np.cumsum(new) - 1
+            batch = batch.filter(pa.array(np.bincount(group)[group] > 1))
+            if not batch.num_rows:
+                continue
+            key, doc, lo, count = (longs(batch, n) for n in ("key", "doc_id", "lo", "windows"))
+            data, offsets = column_bytes(batch.column("text").cast(pa.large_binary()).view(pa.large_string()))
+            count = count.astype(np.int64)
+            row = np.repeat(np.arange(len(key)), count)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = offsets[row] + nth
+            rank = mix(Ranges(data).of(start, start + length))
+            place = lo[row] + nth
+            order = np.lexsort((place, doc[row], rank, key[row]))
+            k, r = key[row][order], rank[order]
+            late = np.zeros(len(row), bool)
+            late[order[repeats(k, r, doc[row][order], place[order], False)]] = True
+            at, first, more = runs_of(late, row, place)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(first), pa.array(more.astype(np.int32))], names=["doc_id", "lo", "rest"])
+
+    return settle
+
+
+def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, most: int = 1 << 16) -> DataFrame:
+    """Per document: doc_id, packed (its compressed text), runs (see passages.repeated_windows)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return repeated_windows(texts, Setup(length, gram, False, 0), lambda opened: _doubled(opened, length, held), "byte-passages")
+    setup = Setup(length, gram, False, most)
+    return repeated_windows(texts, setup, lambda opened: settled_by_context(opened, setup, _settle(length)), "byte-passages")
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

@@ -43,15 +43,15 @@ def test_joined_keeps_all_rows_past_2_gib():
     assert [b.num_rows for b in passages.whole_groups(iter(batches), "key")] == [22]
 
 
-@pytest.mark.parametrize("held", [1, 50])
-def test_prefix_doubling(spark, held):
-    """Few letters and short periods: strings that agree for a half, three quarters, or just under the length; nothing is settled within a task."""
-    rng = random.Random(held)
+@pytest.mark.parametrize("most", [0, 5, 1 << 16])
+def test_short_periods(spark, most):
+    """Few letters and short periods: strings that agree for a half, or just under, at or over the length."""
+    rng = random.Random(most)
     base = "".join(rng.choice("ab") for _ in range(400))
     rows = [(k, base[rng.randrange(200) :][: rng.randint(40, 180)] + "".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) + base[rng.randrange(300) :][: rng.choice((49, 50, 99, 100, 101))]) for k in range(1, 60)]
     rows += [(100, "ab" * 130), (101, "c" + "ab" * 130), (102, "a" * 205), (103, "é" * 120), (104, "xé" + "é" * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    assert got(remove_repeated_bytes(df, held=held), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(rows)
+    assert got(remove_repeated_bytes(df, most=most), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(rows)
 
 
 def test_repeats_under_one_id(spark):
@@ -63,8 +63,9 @@ def test_repeats_under_one_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(df).collect()) == sorted((len(t), 0) for _, t in rows)
     assert sorted((r["n_words"], r["n_removed"]) for r in remove_repeated_words(df).collect()) == sorted((len(t.split()), 0) for _, t in rows)
-    more = df.unionByName(spark.createDataFrame([(9, "x " + text)], "doc_id long, text string"))  # the repeats are found beside it
-    assert {r["doc_id"]: r["n_removed"] for r in remove_repeated_bytes(more).collect()}[9] == len(text)
+    for most in (0, 1 << 16):  # the repeats are found beside it
+        more = df.unionByName(spark.createDataFrame([(9, "x " + text)], "doc_id long, text string"))
+        assert {r["doc_id"]: r["n_removed"] for r in remove_repeated_bytes(more, most=most).collect()}[9] == len(text)
 
 
 def test_passages_of_words_that_hash_alike(spark):
@@ -91,6 +92,7 @@ def test_passage_across_blocks(spark):
 
 @pytest.mark.parametrize("most", [0, 3])
 def test_windows_of_frequent_grams(docs, texts, most):
+    assert got(remove_repeated_bytes(docs, most=most), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(texts)
     assert got(remove_repeated_words(docs, most=most), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(texts)
 
 
