@@ -66,7 +66,7 @@ def test_crops_by_metadata(spark):
 def test_encodings(spark, tmp_path):
     (tmp_path / "a_marker.csv").write_bytes("reference_time,value\n1.0,时间\n3.0,y\n".encode("gbk"))
     (tmp_path / "b_marker.csv").write_bytes(b"\xef\xbb\xbfreference_time,value\n1.0,x\n3.0,y\n")
-    (tmp_path / "c_marker.csv").write_bytes(b"")
+    (tmp_path / "c_marker.csv").write_bytes(b"reference_time,value\n")
     status = {r["path"].rsplit("/", 1)[-1]: (r["status"], r["n_kept"]) for r in jobs.clean_markers(spark, str(tmp_path), str(tmp_path / "out")).collect()}
     assert status == {"a_marker.csv": ("cleaned", 2), "b_marker.csv": ("cleaned", 2), "c_marker.csv": ("deleted_empty", 0)}
 
