@@ -1,4 +1,4 @@
-"""Times of day, dates and offsets as text."""
+"""Times of day, dates, offsets and numbers as text."""
 
 from __future__ import annotations
 
@@ -48,3 +48,8 @@ def offset_map(spec: Column) -> Column:
     pairs = F.str_to_map(s, F.lit(","), F.lit(":"))
     plain = F.transform_values(F.transform_keys(pairs, lambda k, v: F.trim(k)), lambda k, v: F.trim(v).try_cast("double"))
     return F.when(s.startswith("{"), F.from_json(s, "map<string,double>")).otherwise(plain)
+
+
+def fixed(x: Column, digits: int, sign: str = "") -> Column:
+    """The number with that many places, rounded from its exact binary value (ties to even) as in C and Python, null if it is null; `format_string` rounds the shortest decimal form half up (1.0005 to 1.001, not 1.000)."""
+    return F.udf(lambda v: None if v is None else format(v, f"{sign}.{digits}f"), "string")(x)

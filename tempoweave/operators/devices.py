@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tempoweave.functions.times import fixed
+
 #: Folder and ending of converted files by device type.
 CONVERTED = {"ecg": ("ECG", "_ecg.csv"), "eeg": ("EEG", ".vhdr"), "fnirs": ("fnirs", ".snirf")}
 
@@ -77,17 +79,18 @@ def match_plots(timeline: DataFrame, keys: list[str], *, bins: int = 20) -> tupl
 
 
 def crop_summary(crops: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the readable report of a crop; crops: device, reference, lo, hi, new_lo, new_hi, offset (the reference keeps its range)."""
-    number = lambda c: F.format_string("%.3f", c)
-    sign = F.format_string("%+.3f", "offset")
+    """Per key the readable report of a crop; crops: device, reference, lo, hi, new_lo, new_hi, offset (the reference keeps its range).  Null if one of its numbers is missing."""
+    number = lambda c: fixed(F.col(c), 3)
     line = F.when(F.col("device") == F.col("reference"), F.concat(F.lit("  "), "device", F.lit(": KEEP"))).otherwise(
-        F.concat(F.lit("  "), "device", F.lit(": CROP\n    Original: "), number("lo"), F.lit(" - "), number("hi"), F.lit("s\n    Cropped:  "), number("new_lo"), F.lit(" - "), number("new_hi"), F.lit("s\n    Offset:   "), sign, F.lit("s"))
+        F.concat(F.lit("  "), "device", F.lit(": CROP\n    Original: "), number("lo"), F.lit(" - "), number("hi"), F.lit("s\n    Cropped:  "), number("new_lo"), F.lit(" - "), number("new_hi"), F.lit("s\n    Offset:   "), fixed(F.col("offset"), 3, "+"), F.lit("s"))
     )
     own = F.col("device") == F.col("reference")
-    out = crops.groupBy(*keys, "reference").agg(F.max(F.when(own, F.col("lo"))).alias("a"), F.max(F.when(own, F.col("hi"))).alias("b"), F.array_sort(F.collect_list(F.struct("device", line.alias("line")))).alias("lines"))
+    out = crops.withColumn("line", line).groupBy(*keys, "reference").agg(F.max(F.when(own, F.col("lo"))).alias("a"), F.max(F.when(own, F.col("hi"))).alias("b"), F.array_sort(F.collect_list(F.struct("device", "line"))).alias("lines"))
+    out = out.withColumn("span", F.col("b") - F.col("a"))
     rule = "=" * 60
-    head = F.concat(F.lit(f"{rule}\nTIMELINE CROPPING SUMMARY\n{rule}\nReference (shortest): "), "reference", F.lit("\n  Range: "), number("a"), F.lit(" - "), number("b"), F.lit("s\n  Duration: "), F.format_string("%.3f", F.col("b") - F.col("a")), F.lit("s\n\nDevices processed:"))
-    return out.select(*keys, F.concat_ws("\n", head, F.transform("lines", lambda x: x["line"])).alias("summary"))
+    head = F.concat(F.lit(f"{rule}\nTIMELINE CROPPING SUMMARY\n{rule}\nReference (shortest): "), "reference", F.lit("\n  Range: "), number("a"), F.lit(" - "), number("b"), F.lit("s\n  Duration: "), number("span"), F.lit("s\n\nDevices processed:\n"))
+    whole = F.when(~F.exists("lines", lambda x: x["line"].isNull()), F.concat_ws("\n", F.transform("lines", lambda x: x["line"])))
+    return out.select(*keys, F.concat(head, whole).alias("summary"))
 
 
 def export_format(name: Column) -> Column:
