@@ -10,6 +10,8 @@ from tempoweave.functions.times import fixed
 
 #: Folder and ending of converted files by device type.
 CONVERTED = {"ecg": ("ECG", "_ecg.csv"), "eeg": ("EEG", ".vhdr"), "fnirs": ("fnirs", ".snirf")}
+#: Letters at the start of a name by which it is looked up inside file names.
+GRAM = 8
 
 
 def softmax(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -35,22 +37,36 @@ def search_name(name: Column, kind: Column) -> Column:
     return F.when((kind == "ecg") & F.lower(name).contains("_input"), F.replace(name, F.lit("_input"), F.lit("_ecg"))).otherwise(name)
 
 
+def _held_names(names: DataFrame, files: DataFrame) -> DataFrame:
+    """The stretches of files (folder, path, file, whole: only from the start) that can be a name (folder, search): folder, search, path.
+
+    Names are indexed by their first letters with the lengths that occur; of a file only places that begin like a name are cut, to these lengths.  All names are among the stretches, so an equality join finds every file that holds a name.
+    """
+    known = names.filter("search IS NOT NULL AND folder IS NOT NULL").select("folder", "search", F.length("search").alias("n")).withColumn("w", F.least("n", F.lit(GRAM)))
+    index = known.groupBy("folder", "w", F.substr("search", F.lit(1), F.col("w")).alias("gram")).agg(F.collect_set("n").alias("lengths"))
+    widths = known.groupBy("folder").agg(F.collect_set("w").alias("widths"))
+    last = F.when(F.col("whole") | (F.col("w") == 0), 1).otherwise(F.col("m") - F.col("w") + 1)
+    places = files.withColumn("m", F.length("file")).join(F.broadcast(widths), "folder").withColumn("w", F.explode("widths")).filter("w <= m").withColumn("at", F.explode(F.sequence(F.lit(1), last)))
+    cut = places.withColumn("gram", F.substr("file", F.col("at"), F.col("w"))).join(index, ["folder", "w", "gram"]).withColumn("n", F.explode("lengths")).filter("at + n - 1 <= m")
+    return cut.select("folder", F.substr("file", F.col("at"), F.col("n")).alias("search"), "path")
+
+
 def converted_files(devices: DataFrame, files: DataFrame, *, root: str = "Data/convert") -> DataFrame:
     """Per device (name, kind) the path of its converted file: the exact stem first, then a name that holds it, else the path that it would have.
 
-    files: path of what is there.  Names are joined by folder; of several fuzzy matches the first path is taken.  Null for other kinds.
+    files: path of what is there.  Names meet files by equality of stems and stretches; of several fuzzy matches the first path is taken.  Null for other kinds.
     """
     folder = F.create_map(*(F.lit(x) for k, (f, _) in CONVERTED.items() for x in (k, f)))
-    ending = F.create_map(*(F.lit(x) for k, (_, e) in CONVERTED.items() for x in (k, e)))
-    name = F.col("search")
-    asked = devices.withColumn("search", search_name(F.col("name"), F.col("kind"))).withColumn("folder", F.try_element_at(folder, F.col("kind"))).withColumn("end", F.try_element_at(ending, F.col("kind")))
-    there = files.select("path", F.regexp_extract("path", rf"^{root}/([^/]+)/", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
-    exact = F.when((F.col("file") == F.concat(name, F.col("end"))) | ((F.col("kind") == "ecg") & (F.col("file") == F.concat(name, F.lit(".csv")))), 1)
-    fuzzy = F.when(F.col("file").endswith(F.col("end")) & F.when(F.col("kind") == "ecg", F.col("file").startswith(name)).otherwise(F.col("file").contains(name)), 2)
-    ranked = asked.join(there, "folder").withColumn("rank", F.coalesce(exact, fuzzy)).filter("rank IS NOT NULL")
-    found = ranked.groupBy("name", "kind").agg(F.min(F.struct("rank", "path")).alias("best")).select("name", "kind", F.col("best.path").alias("found"))
-    built = F.concat(F.lit(f"{root}/"), "folder", F.lit("/"), name, F.when((F.col("kind") == "ecg") & name.endswith("_ecg"), F.lit("_ecg.csv")).otherwise(F.col("end")))
-    return asked.join(found, ["name", "kind"], "left").select("name", "kind", F.coalesce("found", built).alias("path"), F.col("found").isNotNull().alias("exists"))
+    ending = F.create_map(*(F.lit(x) for f, e in CONVERTED.values() for x in (f, e)))
+    name, file, end, ecg = F.col("search"), F.col("file"), F.col("end"), F.col("folder") == CONVERTED["ecg"][0]
+    asked = devices.withColumn("search", search_name(F.col("name"), F.col("kind"))).withColumn("folder", F.try_element_at(folder, F.col("kind"))).withColumn("end", F.try_element_at(ending, F.col("folder")))
+    there = files.select("path", F.regexp_extract("path", rf"^{root}/([^/]+)/", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file")).withColumn("end", F.try_element_at(ending, F.col("folder"))).filter("end IS NOT NULL")
+    stem = lambda tail: F.when(file.endswith(tail), F.substr(file, F.lit(1), F.length(file) - F.length(tail)))
+    exact = there.select("folder", "path", F.explode(F.array_compact(F.array(stem(end), F.when(ecg, stem(F.lit(".csv")))))).alias("search"), F.lit(1).alias("rank"))
+    fuzzy = _held_names(asked, there.filter(file.endswith(end)).select("folder", "path", "file", ecg.alias("whole"))).withColumn("rank", F.lit(2))
+    found = exact.unionByName(fuzzy).groupBy("folder", "search").agg(F.min(F.struct("rank", "path")).alias("best")).select("folder", "search", F.col("best.path").alias("found"))
+    built = F.concat(F.lit(f"{root}/"), "folder", F.lit("/"), name, F.when((F.col("kind") == "ecg") & name.endswith("_ecg"), F.lit("_ecg.csv")).otherwise(end))
+    return asked.join(found, ["folder", "search"], "left").select("name", "kind", F.coalesce("found", built).alias("path"), F.col("found").isNotNull().alias("exists"))
 
 
 def raw_durations(devices: DataFrame, files: DataFrame, *, ecg_rate: float = 250.0) -> DataFrame:
